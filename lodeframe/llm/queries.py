@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import decontaminate, simhash, toxicity, urls
+from lodeframe.llm import decontaminate, secrets, simhash, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -36,6 +36,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT row_number() OVER () AS n, page_id,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {"op8_urls": OP8_SQL}
