@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import decontaminate, secrets, simhash, toxicity, urls
+from lodeframe.llm import decontaminate, mixing, secrets, sharding, simhash, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -22,6 +22,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(table(spark, sf_dir, "documents"))
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +66,8 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_mix": op3_mix,
+    "op4_shards": op4_shards,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,
