@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import decontaminate, mixing, secrets, sharding, simhash, toxicity, urls
+from lodeframe.llm import decontaminate, embeddings, mixing, secrets, sharding, simhash, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -44,6 +44,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,
+    "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
 }
 
