@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import decontaminate, embeddings, mixing, secrets, sharding, simhash, toxicity, urls
+from lodeframe.llm import decontaminate, embeddings, mixing, secrets, sharding, simhash, substrings, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -30,6 +30,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
     "op4_shards": op4_shards,
+    "op5_substrings": op5_substrings,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_urls": op8_urls,

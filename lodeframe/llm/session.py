@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,14 @@ def word_count(text: Column) -> Column:
 
 def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """frame, written once as Parquet to the checkpoint folder and read back.
+
+    Smaller than checkpoint() for wide results, and as safe against lost executors.
+    """
+    spark = ready(frame.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
