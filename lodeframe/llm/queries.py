@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import decontaminate, embeddings, mixing, secrets, sharding, simhash, substrings, toxicity, urls
+from lodeframe.llm import decontaminate, embeddings, mixing, quotes, secrets, sharding, simhash, substrings, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -18,6 +18,10 @@ URL_RULES = [
 ]
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +77,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotes": op1_quotes,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
     "op4_shards": op4_shards,

@@ -17,9 +17,10 @@ Repeated rows stay; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.ranges import running_last
 from lodeframe.llm.session import ready
 
 DEFAULT_VERDICT = "allow"
@@ -74,18 +75,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
         _key(F.col("suffix"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "row_no", "page_id", "host", "path"
     )
     events = keyed.unionByName(_rule_events(rules), allowMissingColumns=True)
-    swept = events.repartitionByRange("key", "kind", "row_no").withColumn("part", F.spark_partition_id()).checkpoint()
-    carried = (
-        swept.filter("kind <> 1").groupBy("part").agg(F.max(F.struct("key", "kind", "state")).alias("last"))
-    )
-    parts = swept.select("part").distinct().join(carried, "part", "left")
-    before = parts.select("part", F.last("last.state", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("entry"))
-    running = Window.partitionBy("part").orderBy("key", "kind", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        swept.withColumn("here", F.last("state", ignorenulls=True).over(running))
-        .filter("kind = 1")
-        .join(F.broadcast(before), "part", "left")  # one row per partition
-        .select("row_no", "page_id", "host", "path", F.coalesce("here", "entry")["active"].alias("active"))
-    )
+    found = running_last(events, [], ["key", "kind", "row_no"], "state", "here").filter("kind = 1").select("row_no", "page_id", "host", "path", F.col("here.active").alias("active"))
     best = found.groupBy("row_no").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("active").alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
