@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lodeframe.llm import decontaminate, embeddings, mixing, quotes, secrets, sharding, simhash, substrings, toxicity, urls
 from lodeframe.llm.session import table
 
@@ -87,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op8_urls": OP8_SQL}

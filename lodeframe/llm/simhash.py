@@ -162,8 +162,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one document of each component, columns unchanged.
 
-    The document with the smallest id stays; of rows that repeat it, one.
+    The document with the smallest id stays; of rows that repeat it, one.  Rows
+    without an id stay.
     """
-    kept = simhash_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    kept = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
