@@ -1,0 +1,94 @@
+"""File listings, whole-file reads, and the JSON log sink.
+
+Listings go through Spark's file sources, so any store that Spark reads will do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.schema import INDEXED_FOLDERS, SKIPPED_DIRS
+
+FILES = "path string, modified timestamp, content string"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _glob(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The patterns that match something, for readers that fail on none."""
+    out = []
+    for pattern in patterns:
+        p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        if found is not None and len(found):
+            out.append(pattern)
+    return out
+
+
+def _whole(reader_paths: list[str], spark: SparkSession, **options) -> DataFrame:
+    if not reader_paths:
+        return spark.createDataFrame([], FILES)
+    read = spark.read
+    for k, v in options.items():
+        read = read.option(k, v)
+    # wholetext must be the method's argument: as an option its default would win
+    frame = read.text(reader_paths, wholetext=True)
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    return frame.select(F.url_decode(path).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
+
+
+def pi_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modified, content of the JSONL files one directory below folder; none if it is missing."""
+    return _whole(_glob(spark, [f"{folder}/*/*.jsonl"]), spark)
+
+
+def claude_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """JSONL files one or two directories below folder, without those of `subagents`."""
+    found = _whole(_glob(spark, [f"{folder}/*/*.jsonl", f"{folder}/*/*/*.jsonl"]), spark)
+    return found.filter(~F.element_at(F.split("path", "/"), -2).eqNullSafe("subagents") | (F.size(F.split(F.substring_index("path", folder.rstrip("/") + "/", -1), "/")) == 2))
+
+
+def all_sessions(spark: SparkSession, pi_folder: str | None, claude_folder: str | None = None) -> DataFrame:
+    """Both layouts, by path; only the first where the second is None."""
+    parts = [pi_sessions(spark, pi_folder)] if pi_folder else []
+    parts += [claude_sessions(spark, claude_folder)] if claude_folder else []
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more).orderBy("path")
+    return out
+
+
+def note_files(spark: SparkSession, folder: str, folders: tuple[str, ...] | None = None) -> DataFrame:
+    """*.org files at any depth by path, without the skipped directories; `folders` keeps only those note folders."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], FILES)
+    found = _whole([folder], spark, recursiveFileLookup="true", pathGlobFilter="*.org")
+    below = F.split(F.substring_index("path", folder.rstrip("/"), -1), "/")
+    dirs = F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0)))
+    found = found.filter(~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in SKIPPED_DIRS])))
+    return (keep_folders(found, folders) if folders else found).orderBy("path")
+
+
+def note_folder(path):
+    """The segment after the first `org` segment of a path, else `unknown`."""
+    parts = F.split(path, "/")
+    at = F.array_position(parts, "org").cast("int")
+    return F.when(at > 0, F.coalesce(F.get(parts, at), F.lit("unknown"))).otherwise("unknown")
+
+
+def keep_folders(files: DataFrame, folders: tuple[str, ...] = INDEXED_FOLDERS) -> DataFrame:
+    return files.filter(note_folder(F.col("path")).isin(*folders))
+
+
+def recent(files: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """Files modified less than `hours` before as_of."""
+    return files.filter(F.col("modified") > as_of - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append rows as JSON lines."""
+    rows.write.mode("append").json(path)
