@@ -52,8 +52,8 @@ def token_set(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two sets; both empty is 1, one empty is 0."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
+    both = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
+    return both.otherwise(bind(F.size(F.array_intersect(a, b)), lambda common: common / (F.size(a) + F.size(b) - common)))
 
 
 def hangul_terms(text: Column) -> Column:

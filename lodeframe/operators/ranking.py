@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.score import decay, min_max, parse_time
-from lodeframe.functions.text import jaccard, token_set
+from lodeframe.functions.text import bind, token_set
 
 
 def rerank_by_score(hits: DataFrame) -> DataFrame:
@@ -27,6 +27,23 @@ def filter_score(hits: DataFrame, least: float) -> DataFrame:
     return hits.filter(F.col("score") >= least)
 
 
+def _similar(hits: DataFrame) -> DataFrame:
+    """qid, rank, sims: each hit's Jaccard to its query's hits, in rank order.
+
+    Common words are counted by an equi-join on (qid, word), so long texts spread over tasks.
+    """
+    words = hits.select("qid", "rank", F.explode(token_set(F.coalesce("text", F.lit("")))).alias("word"))
+    sizes = words.groupBy("qid", "rank").agg(F.count("*").alias("n"))
+    a, b = words.select("qid", F.col("rank").alias("i"), "word"), words.select("qid", F.col("rank").alias("j"), "word")
+    common = a.join(b, ["qid", "word"]).groupBy("qid", "i", "j").agg(F.count("*").alias("common"))
+    sized = hits.select("qid", "rank").join(sizes, ["qid", "rank"], "left").select("qid", "rank", F.coalesce("n", F.lit(0)).alias("n"))
+    grid = sized.select("qid", F.col("rank").alias("i"), F.col("n").alias("ni")).join(sized.select("qid", F.col("rank").alias("j"), F.col("n").alias("nj")), "qid")
+    shared = F.coalesce("common", F.lit(0))
+    sim = F.when((F.col("ni") == 0) & (F.col("nj") == 0), 1.0).when((F.col("ni") == 0) | (F.col("nj") == 0), 0.0).otherwise(shared / (F.col("ni") + F.col("nj") - shared))
+    pairs = grid.join(common, ["qid", "i", "j"], "left").select("qid", F.col("i").alias("rank"), F.struct("j", sim.alias("sim")).alias("s"))
+    return pairs.groupBy("qid", "rank").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["sim"]).alias("sims"))
+
+
 def mmr(hits: DataFrame, weight: float = 0.7) -> DataFrame:
     """hits (qid, id, score, rank, text, ...) with `rank` by maximal marginal relevance.
 
@@ -34,26 +51,32 @@ def mmr(hits: DataFrame, weight: float = 0.7) -> DataFrame:
     picked; ties go to the higher score, then the earlier row.  No row is dropped and
     no score changed.  A query's hits are one array, as many as the top-k before it.
     """
-    scaled = hits.withColumn("_norm", min_max(F.col("score"), "qid"))
-    item = F.struct("rank", F.col("_norm").alias("norm"), "score", token_set(F.coalesce("text", F.lit(""))).alias("words"), "id")
-    lists = scaled.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    alike = F.transform("items", lambda a: F.transform("items", lambda b: jaccard(a["words"], b["words"])))
-    lists = lists.withColumn("alike", alike)
-
-    def step(state, _):
-        def value(x, i):
-            gain = F.lit(weight) * x["norm"] - F.lit(1 - weight) * F.get(state["near"], i)
-            return F.struct((-gain).alias("gain"), (-x["score"]).alias("score"), i.alias("i"))
-
-        open_ = F.filter(F.transform("items", value), lambda v: ~F.array_contains(state["picked"], v["i"]))
-        pick = F.array_min(open_)["i"]
-        near = F.zip_with(state["near"], F.get("alike", pick), lambda a, b: F.greatest(a, b))
-        return F.struct(F.array_append(state["picked"], pick).alias("picked"), near.alias("near"))
-
-    start = F.struct(F.array().cast("array<int>").alias("picked"), F.transform("items", lambda _: F.lit(0.0)).alias("near"))
-    order = F.aggregate(F.sequence(F.lit(1), F.size("items")), start, step, lambda s: F.transform(s["picked"], lambda i: F.get("items", i)["id"]))
+    hits = hits.persist()  # top-k rows, used by each of the joins below; a lost part is computed again
+    scaled = hits.select("qid", "id", "rank", "score", min_max(F.col("score"), "qid").alias("norm")).join(_similar(hits), ["qid", "rank"])
+    lists = scaled.groupBy("qid").agg(F.collect_list(F.struct("rank", "norm", "score", "id", "sims")).alias("items"))
+
+    def order(items):
+        """ids in the order picked."""
+
+        def step(state, _):
+            def value(x, i):
+                gain = F.lit(weight) * x["norm"] - F.lit(1 - weight) * F.get(state["near"], i)
+                return F.struct((-gain).alias("gain"), (-x["score"]).alias("score"), i.alias("i"))
+
+            open_ = F.filter(F.transform(items, value), lambda v: ~F.array_contains(state["picked"], v["i"]))
+
+            def after(pick):
+                near = F.zip_with(state["near"], F.get(items, pick)["sims"], lambda a, b: F.greatest(a, b))
+                return F.struct(F.array_append(state["picked"], pick).alias("picked"), near.alias("near"))
+
+            return bind(F.array_min(open_)["i"], after)
+
+        start = F.struct(F.array().cast("array<int>").alias("picked"), F.transform(items, lambda _: F.lit(0.0)).alias("near"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(items)), start, step, lambda s: F.transform(s["picked"], lambda i: F.get(items, i)["id"]))
+
+    # the sorted hits are bound, else every use in the fold would sort them again;
     # explode_outer: a plain explode would copy the fold into a filter below
-    picks = lists.select("qid", F.posexplode_outer(order).alias("_at", "id")).select("qid", "id", (F.col("_at") + 1).alias("_rank"))
+    picks = lists.select("qid", F.posexplode_outer(bind(F.array_sort("items"), order)).alias("_at", "id")).select("qid", "id", (F.col("_at") + 1).alias("_rank"))
     return hits.join(picks, ["qid", "id"]).withColumn("rank", F.col("_rank")).drop("_rank")
 
 
