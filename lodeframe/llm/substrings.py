@@ -200,15 +200,17 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
     seen = stored(source.mapInArrow(_bundle_batches, "anchor long, bundle long, doc_id long, text_hash int, at int, n int"))
     anchors = seen.groupBy("anchor").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.min("bundle").alias("b0"), F.max("bundle").alias("b1"))
-    anchors = anchors.filter("least_id < most_id").select("anchor", "least_id", (F.col("b0") != F.col("b1")).alias("several"))
+    # stored, as an aggregation right below a join on its key would keep AQE from splitting a frequent anchor
+    anchors = stored(anchors.filter("least_id < most_id").select("anchor", "least_id", (F.col("b0") != F.col("b1")).alias("several")))
     hits = stored(seen.join(anchors, "anchor"))
     plain = hits.filter(~F.col("several") & (F.col("doc_id") > F.col("least_id"))).select("doc_id", "text_hash", "at", "n")
 
     several = hits.filter("several")
     classes = stored(several.groupBy("anchor", "bundle").agg(F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("own")))
-    crowded = classes.groupBy("anchor").agg((F.count("*") > HOT).alias("hot"))
+    crowded = stored(classes.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")))
     wanted = (
-        classes.join(crowded, "anchor")
+        classes.join(crowded, "anchor", "left")
+        .withColumn("hot", F.coalesce("hot", F.lit(False)))
         .groupBy("own.doc_id", "own.text_hash")
         .agg(F.collect_list(F.struct("anchor", "bundle", F.col("own.at").alias("at"), F.col("own.n").alias("n"), "hot")).alias("wanted"))
         .withColumnRenamed("doc_id", "least_id")
@@ -220,7 +222,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = contents.repartition(shards, "shard").mapInArrow(_shard_batches, "anchor long, bundle long, skip int, least array<long>")
     per_class = found.groupBy("anchor", "bundle").agg(F.collect_set(F.struct("skip", "least")).alias("parts"))  # at most n parts of a bundle
     least = F.flatten(F.transform(F.array_sort("parts"), lambda p: p["least"]))
-    judged = several.join(per_class.select("anchor", "bundle", least.alias("least")), ["anchor", "bundle"])
+    judged = several.join(stored(per_class.select("anchor", "bundle", least.alias("least"))), ["anchor", "bundle"])
     smaller = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i)), lambda i: i.isNotNull())
     edge = judged.select("doc_id", "text_hash", "at", F.explode(smaller).alias("j")).select("doc_id", "text_hash", (F.col("at") + F.col("j")).cast("int").alias("at"), F.lit(1).alias("n"))
     return plain.unionByName(edge).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
