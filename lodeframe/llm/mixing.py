@@ -15,8 +15,8 @@ BLOCKS blocks.
 
 Defined results: a null text has no words; documents without words are taken like
 their block and add nothing.  A null source is a source, ordered last.  Rows that
-repeat an id are taken together or not.  An empty table gives no rows.  Columns
-that clash with those of the mix are kept by mix(), whose own start with `mix_`.
+repeat an id are taken together or not.  An empty table gives no rows.  Extra
+columns, whatever their names, are ignored by mix_table() and kept by mix().
 """
 
 from __future__ import annotations
@@ -145,13 +145,17 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs, once per draw, with mix_shard and mix_order (a shard's local shuffle)."""
+    """The mix itself: rows of docs, once per draw, with mix_shard and mix_order (a shard's local shuffle).
+
+    Where docs has columns of these names, the new ones get a leading underscore.
+    """
     _, draws, n = plan(docs, **options)
     draws = draws.select(*_AT, "mix_draws")
-    keyed = docs.select("*", *_keys(docs))
-    joined = keyed.join(F.broadcast(draws) if n <= BROADCAST_ROWS else draws, _AT)
-    out = joined.select(*[keyed[c] for c in docs.columns], "mix_hash", F.explode(_taken()).alias("mix_draw"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("mix_draw.shard").alias("mix_shard"), F.xxhash64("mix_hash", "mix_draw.pass", "mix_draw.shard").alias("mix_order"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("mix_id"), *_keys(docs)).select("row", F.col("mix_id").alias("doc_id"), *_AT, "mix_hash")
+    out = keyed.join(F.broadcast(draws) if n <= BROADCAST_ROWS else draws, _AT).select("row", "mix_hash", F.explode(_taken()).alias("draw"))
+    shard, order = ("_" * any(c.lower() == name for c in docs.columns) + name for name in ("mix_shard", "mix_order"))
+    return out.select("row.*", F.col("draw.shard").alias(shard), F.xxhash64("mix_hash", "draw.pass", "draw.shard").alias(order))
 
 
 def write_mix(docs: DataFrame, path: str, parts_per_shard: int = 8, **options) -> None:
