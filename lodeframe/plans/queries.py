@@ -433,11 +433,11 @@ def incremental_diff(spark, sf_dir):
 
 @query("""
 SELECT conv_id, turn, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 4 = 0)
-UNION ALL SELECT conv_id, turn, upper(text) FROM conversations WHERE conv_id % 4 = 0 AND turn % 2 = 0""")
+UNION ALL SELECT conv_id, turn, 'new ' || text FROM conversations WHERE conv_id % 4 = 0 AND turn % 2 = 0""")
 def upsert_by_file(spark, sf_dir):
     """All rows of the files that a batch brings are replaced by the batch's."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return store.replaced(rows, rows.filter("conv_id % 4 = 0 AND turn % 2 = 0").withColumn("text", F.upper("text")), "conv_id")
+    return store.replaced(rows, rows.filter("conv_id % 4 = 0 AND turn % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text")), "conv_id")
 
 
 @query("SELECT conv_id, 0 AS n FROM conversations GROUP BY conv_id")
