@@ -133,7 +133,8 @@ def link_edges(classes: DataFrame, tile: int = TILE) -> DataFrame:
 
     keys = [F.shiftleft(F.lit(t).cast("long"), 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for t, (a, b, c) in enumerate(TRIPLES)]
     postings = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # checkpointed, so that AQE can split a frequent key in the join
+    lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").checkpoint()
     cut = postings.join(lists, "key").withColumn("side", F.ceil(F.col("n") / tile).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("side")))
     tiles = cut.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)).alias("other"))
     bucket = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
