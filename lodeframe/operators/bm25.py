@@ -2,7 +2,8 @@
 
 The index is two tables: postings (term, id, tf, length) and term statistics
 (term, df) with the corpus totals n and avg_length.  A search joins the distinct
-terms of the queries to the postings; any matching term counts.
+terms of the queries to the postings; any matching term counts.  explode_outer keeps
+the optimizer from tokenising a second time in a filter on the array's size.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeframe.functions.text import token_set, tokens
+from lodeframe.functions.text import TOKEN, token_set, tokens
+from lodeframe.sources.spread import spread
 
 K1, B = 1.2, 0.75
 #: Query terms are broadcast up to this many rows; beyond it the join shuffles.
@@ -39,15 +41,16 @@ class TextIndex:
 
 def build_index(docs: DataFrame) -> TextIndex:
     """Index of docs (id, text); a null text has no terms but counts as a document."""
+    docs = spread(docs.select("id", "text"))
     counted = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).withColumn("length", F.size("words"))
-    postings = counted.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf")).select("term", "id", "tf", "length")
-    terms = docs.select(F.explode(token_set(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    postings = counted.select("id", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL").groupBy("term", "id", "length").agg(F.count("*").alias("tf")).select("term", "id", "tf", "length")
+    terms = docs.select(F.explode_outer(token_set(F.col("text"))).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     return TextIndex(postings, terms, totals)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", F.explode(token_set(F.col("text"))).alias("term"))
+    return queries.select("qid", F.explode_outer(token_set(F.col("text"))).alias("term")).filter("term IS NOT NULL")
 
 
 def text_search(queries: DataFrame, docs: DataFrame | TextIndex, limit: int = 10, score: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
@@ -64,10 +67,12 @@ def text_search(queries: DataFrame, docs: DataFrame | TextIndex, limit: int = 10
         hits = docs.postings.join(terms, "term", "left_semi")
         df, totals = docs.terms.join(terms, "term", "left_semi"), docs.totals
     else:
+        docs = spread(docs.select("id", "text"))
         counted = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).select("id", "words", F.size("words").alias("length"))
-        hits = counted.select("id", "length", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+        hits = counted.select("id", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL").join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+        hits = hits.persist()  # read twice: for df and for the scores; a lost part is computed again
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+        totals = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0))).alias("avg_length"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     stats = df.crossJoin(F.broadcast(totals)).withColumn("idf", idf)  # totals is one row

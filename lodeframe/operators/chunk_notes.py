@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.text import SPACE, bind, enriched, trim_all, utf16_length
 from lodeframe.schema import FOLDER_LIMITS
 from lodeframe.sources.files import note_folder
+from lodeframe.sources.spread import spread
 
 MIN_FILE, MIN_HEADING, MIN_CONTENT = 50, 20, 30
 HEADING = rf"^(\*+){SPACE}+(.+?)(?:{SPACE}+(:[a-zA-Z0-9_:]+:))?{SPACE}*$"
@@ -178,8 +179,8 @@ def _limits(folder: Column, which: int) -> Column:
 
 def note_headings(files: DataFrame) -> DataFrame:
     """path, heading fields and hierarchy of every heading of files (path, content)."""
-    cut = files.select("path", headings(F.col("content")).alias("all"))
-    rows = cut.select("path", "all", F.posexplode("all").alias("i", "h"))
+    cut = spread(files.select("path", "content")).select("path", headings(F.col("content")).alias("all"))
+    rows = cut.select("path", "all", F.posexplode_outer("all").alias("i", "h")).filter("h IS NOT NULL")
     return rows.select("path", "h.*", hierarchy(F.col("all"), F.col("i")).alias("hierarchy"))
 
 
@@ -188,7 +189,7 @@ def note_chunks(files: DataFrame) -> DataFrame:
 
     id, text, rawText, path, folder, lineNumber, endLineNumber, chunkType, metadata, hierarchy, heading.
     """
-    base = files.select("path", "content", front_matter(F.col("content"), F.col("path")).alias("metadata"), headings(F.col("content")).alias("all"), F.split("content", "\n").alias("lines"))
+    base = spread(files.select("path", "content")).select("path", "content", front_matter(F.col("content"), F.col("path")).alias("metadata"), headings(F.col("content")).alias("all"), F.split("content", "\n").alias("lines"))
     base = base.filter(utf16_length(F.col("content")) >= MIN_FILE).drop("content")
     one = F.posexplode_outer(F.when(F.size("all") > 0, F.transform("all", lambda h, i: i)).otherwise(F.array().cast("array<int>"))).alias("_p", "i")
     rows = base.select("path", "metadata", "all", "lines", one)

@@ -32,7 +32,7 @@ def _similar(hits: DataFrame) -> DataFrame:
 
     Common words are counted by an equi-join on (qid, word), so long texts spread over tasks.
     """
-    words = hits.select("qid", "rank", F.explode(token_set(F.coalesce("text", F.lit("")))).alias("word"))
+    words = hits.select("qid", "rank", F.explode_outer(token_set(F.coalesce("text", F.lit("")))).alias("word")).filter("word IS NOT NULL")
     sizes = words.groupBy("qid", "rank").agg(F.count("*").alias("n"))
     a, b = words.select("qid", F.col("rank").alias("i"), "word"), words.select("qid", F.col("rank").alias("j"), "word")
     common = a.join(b, ["qid", "word"]).groupBy("qid", "i", "j").agg(F.count("*").alias("common"))

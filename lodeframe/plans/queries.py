@@ -16,6 +16,7 @@ from lodeframe.functions import text as tx
 from lodeframe.operators import bm25, chunk_notes, chunk_sessions, evaluate, fusion, knn, ranking
 from lodeframe.plans import search, store
 from lodeframe.schema import NOTE_CONFIG, SESSION_CONFIG, configure
+from lodeframe.sources.spread import spread
 
 AS_OF = "2024-02-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,8 +411,8 @@ def note_headings(spark, sf_dir):
 SELECT '/org/notes/' || doc_id || '.org' AS path, (i + 1)::INT AS line, coalesce(list_filter(coalesce(after, []), lambda h: h.level <= hw.level)[1].i, n)::INT AS section_end FROM hw""")
 def note_sections(spark, sf_dir):
     """A section runs to the next heading of its level or a lower one."""
-    cut = _notes(spark, sf_dir).select("path", chunk_notes.headings(F.col("content")).alias("all"), F.size(F.split("content", "\n")).alias("n"))
-    rows = cut.select("path", "all", "n", F.posexplode("all").alias("i", "h"))
+    cut = spread(_notes(spark, sf_dir)).select("path", chunk_notes.headings(F.col("content")).alias("all"), F.size(F.split("content", "\n")).alias("n"))
+    rows = cut.select("path", "all", "n", F.posexplode_outer("all").alias("i", "h")).filter("h IS NOT NULL")
     return rows.select("path", F.col("h.lineNumber").alias("line"), chunk_notes.section_end(F.col("all"), F.col("i"), F.col("n")).cast("int").alias("section_end"))
 
 
