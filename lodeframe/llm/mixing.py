@@ -106,7 +106,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] = WEIGH
     each = blocks.join(known, ["mix_null", "mix_name"]).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
     order = Window.partitionBy("mix_null", "mix_name", "pass").orderBy(F.xxhash64("mix_block", "pass", F.lit(SEED + 2)), "mix_block")
     each = each.withColumn("place", F.row_number().over(order) - 1).withColumn("below", F.sum("words").over(order) - F.col("words"))
-    each = each.withColumn("whole", (F.col("pass") < F.col("passes")) | (F.col("below") + F.col("words") <= F.col("rest")))
+    each = each.withColumn("whole", (F.col("pass") < F.col("passes")) | ((F.col("rest") > 0) & (F.col("below") + F.col("words") <= F.col("rest"))))
     each = each.filter(F.col("whole") | (F.col("below") < F.col("rest"))).withColumn("draw", F.col("pass") * F.col("blocks") + F.col("place")).checkpoint()
     # the part of each source's last block: documents in hash order, up to the nearest to the rest
     partial = each.filter(~F.col("whole")).select(*_AT, (F.col("rest") - F.col("below")).alias("wanted"))
