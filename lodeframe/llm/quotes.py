@@ -105,12 +105,18 @@ def _body(runs: Column) -> Column:
 
 def _links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, run, level, origin: the source of each linked passage."""
-    cut = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.xxhash64("text").alias("copy"), _runs(F.col("text")).alias("runs"))
-    quoted = cut.filter(F.exists("runs", lambda r: r["level"] > 0)).select("conv_id", "turn", "copy", F.posexplode("runs").alias("run", "r")).filter("r.level > 0")
-    quoted = quoted.select("conv_id", "turn", "copy", "run", "r.level", F.explode(_units(F.col("r.lines"))).alias("u")).select("conv_id", "turn", "copy", "run", "level", "u.*").checkpoint()
+    # explode_outer keeps the optimizer from cutting each text again in a filter on the array's size
+    known = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.xxhash64("text").alias("copy"), "text")
+    cut = known.filter(F.regexp("text", F.lit(r"(?m)^[ \t]*>"))).select("conv_id", "turn", "copy", F.posexplode_outer(_runs(F.col("text"))).alias("run", "r")).filter("r.level > 0")
+    quoted = cut.select("conv_id", "turn", "copy", "run", "r.level", F.explode_outer(_units(F.col("r.lines"))).alias("u")).filter("u IS NOT NULL")
+    quoted = quoted.select("conv_id", "turn", "copy", "run", "level", "u.*").checkpoint()
+
     # own text: each run at level 0, and all of them together
-    own_runs = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["lines"])
-    own = cut.select("conv_id", "turn", F.explode(F.flatten(F.transform(F.array_append(own_runs, F.flatten(own_runs)), _units))).alias("u")).select("conv_id", "turn", "u.hash")
+    def own_units(runs):
+        own = F.transform(F.filter(runs, lambda r: r["level"] == 0), lambda r: r["lines"])
+        return _bind(own, lambda x: F.flatten(F.transform(F.array_append(x, F.flatten(x)), _units)))
+
+    own = known.select("conv_id", "turn", F.explode_outer(_bind(_runs(F.col("text")), own_units)).alias("u")).filter("u IS NOT NULL").select("conv_id", "turn", "u.hash")
     own = own.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
     events = quoted.select("conv_id", "hash", "turn", F.lit(0).alias("kind"), "copy", "run", "level", "grain", "chars", F.lit(None).cast("long").alias("origin")).unionByName(
         own.select("conv_id", "hash", "turn", F.lit(1).alias("kind"), F.col("turn").cast("long").alias("origin")), allowMissingColumns=True
