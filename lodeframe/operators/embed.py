@@ -12,7 +12,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 BATCH = 100
 #: Fixed values of the retry rule: attempts, first wait, longest wait (seconds), jitter.
@@ -59,23 +59,35 @@ def with_retry(call: Callable[[], object], attempts: int = ATTEMPTS, sleep: Call
             wait *= 2
 
 
-def embed_documents(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, concurrency: int | None = None) -> DataFrame:
+def embed_documents(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, concurrency: int | None = None, keep_errors: bool = False) -> DataFrame:
     """chunks (text, ...) with `vector`; `concurrency` caps the calls that run at a time.
 
-    A vector stays in the row of its text, so no order is relied on.
+    A vector stays in the row of its text, so no order is relied on.  With keep_errors a
+    batch that fails for good gives null vectors and its message in `error`, and the job
+    goes on; otherwise the job fails.
     """
     if concurrency:
         chunks = chunks.coalesce(concurrency)
     at = chunks.columns.index("text")
-    schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType()))])
+    more = [StructField("error", StringType())] if keep_errors else []
+    schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for rows in batches:
             for lo in range(0, len(rows), batch):
                 part = rows.slice(lo, batch)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                vectors = with_retry(lambda: embedder.embed(texts, "document"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([list(map(float, v)) for v in vectors], type=pa.list_(pa.float32()))], names=[*part.schema.names, "vector"])
+                error = None
+                try:
+                    vectors = [list(map(float, v)) for v in with_retry(lambda: embedder.embed(texts, "document"))]
+                except Exception as e:
+                    if not keep_errors:
+                        raise
+                    vectors, error = [None] * len(texts), str(e)[:500]
+                columns = [*part.columns, pa.array(vectors, type=pa.list_(pa.float32()))]
+                if keep_errors:
+                    columns.append(pa.array([error] * len(texts), type=pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return chunks.mapInArrow(run, schema)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from lodeframe.operators.bm25 import build_index
 from lodeframe.operators.chunk_notes import as_chunks, note_chunks
@@ -19,12 +20,19 @@ def build_text_index(store: ChunkStore) -> None:
 
 
 def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Embedder, concurrency: int | None) -> dict:
+    """Embed and upsert; a file with a chunk that could not be embedded is left out whole and counted."""
     n_files = files.count()
     if not n_files:
         return {"indexed": 0, "new_chunks": 0, "total_chunks": store.count(), "message": "All files already indexed"}
-    written = store.upsert(embed_documents(chunks, embedder, concurrency=concurrency))
+    seen = Observation("indexing")
+    embedded = embed_documents(chunks, embedder, concurrency=concurrency, keep_errors=True).observe(seen, F.count("*").alias("chunks"), F.count("error").alias("failed")).persist()
+    bad = embedded.filter("error IS NOT NULL").select("sessionFile").distinct()
+    written = store.upsert(embedded.join(bad, "sessionFile", "left_anti").drop("error"))
+    errors, metrics = bad.count(), seen.get
+    embedded.unpersist()
     build_text_index(store)
-    return {"indexed": n_files, "new_chunks": written, "total_chunks": store.count()}
+    report = {"indexed": n_files - errors, "new_chunks": written, "total_chunks": store.count()}
+    return report | ({"errors": errors, "failed_chunks": metrics["failed"]} if errors else {})
 
 
 def index_sessions(store: ChunkStore, files: DataFrame, embedder: Embedder, force: bool = False, concurrency: int | None = None) -> dict:

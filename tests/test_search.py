@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.operators import bm25, evaluate, fusion, knn, ranking
 from lodeframe.operators.embed import HashingEmbedder, embed_documents, with_retry
-from lodeframe.plans import search
+from lodeframe.plans import benchmark, search
 from lodeframe.present import markdown, response, shown
 from lodeframe.schema import NOTE_CONFIG, configure
 
@@ -193,6 +193,18 @@ def test_metrics(spark):
     assert {r["qid"]: r["delta"] for r in evaluate.changes(scored, better).collect()} == {2: 0.5, 3: 0.5}
 
 
+def test_benchmark_runs_both_sides(spark, tmp_path):
+    e = HashingEmbedder(64)
+    notes = corpus(spark, e)
+    queries = spark.createDataFrame([(1, "shuffle join", ["f3", "f4"], "c1", "easy"), (2, "vector search", ["nowhere"], "c2", "hard")], "qid long, text string, expected array<string>, category string, difficulty string")
+    results = benchmark.run(queries, notes, e, as_of())
+    got = {(r["qid"], r["mmr_on"]): r for r in results.collect()}
+    assert len(got) == 4 and got[1, False]["hit"] == got[1, True]["hit"] and not got[2, False]["hit"] and len(got[1, True]["top"]) == 3
+    report = benchmark.report(results, str(tmp_path / "log"))
+    assert report["without"].filter("level = 'overall'").first()["queries"] == 2 and report["listing"].count() > 3
+    assert spark.read.json(str(tmp_path / "log")).count() == 4 and report["changes"].count() <= 2
+
+
 def test_retry(spark):
     calls, waits = [], []
 

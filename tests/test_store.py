@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe import cli
-from lodeframe.operators.embed import HashingEmbedder
+from lodeframe.operators.embed import HashingEmbedder, embed_documents
 from lodeframe.plans import jobs
 from lodeframe.plans.store import ChunkStore, to_reindex
 from lodeframe.schema import CHUNK, Paths
 from lodeframe.sources import files as src
 from lodeframe.streaming.incremental import index_stream
+from lodeframe.streaming.progress import IndexProgress
 
 
 def rows(spark, *files, n=2, mark=""):
@@ -99,6 +100,28 @@ def test_stream_indexes_each_file_once(spark, home, tmp_path):
     assert s.files().count() == 4 and s.count() == 4
 
 
+def test_files_that_fail_to_embed_are_left_out_and_counted(spark, home, tmp_path):
+    class Picky(HashingEmbedder):
+        def embed(self, texts, task="document"):
+            if any("window functions" in t for t in texts):
+                raise RuntimeError("no such model")
+            return super().embed(texts, task)
+
+    s = ChunkStore(spark, str(tmp_path / "picky"), 8, buckets=2)
+    files = src.all_sessions(spark, f"{home}/.pi/agent/sessions", f"{home}/.claude/projects").repartition(3, "path")
+    report = jobs.index_sessions(s, files, Picky(8))
+    assert report["errors"] >= 1 and report["indexed"] + report["errors"] == 3 and s.count() == report["new_chunks"]
+    assert s.rows().filter("text LIKE '%window functions%'").count() == 0
+    with pytest.raises(Exception, match="no such model"):
+        embed_documents(spark.createDataFrame([("window functions",)], "text string"), Picky(8)).collect()
+
+
+def test_progress_lines():
+    p = IndexProgress(10)
+    p.files, p.seconds = 4, 2.0
+    assert p.line() == "4/10 files, 2.0/s, 3 s left, 0 errors" and IndexProgress().line() == "0 files, 0.0/s, 0 errors"
+
+
 def test_to_reindex(spark):
     files = spark.createDataFrame([("/new", "2024-01-01"), ("/old", "2024-01-01"), ("/fresh", "2024-01-31"), ("/cur-7.jsonl", "2024-01-01")], "path string, m string").select("path", F.col("m").cast("timestamp").alias("modified"))
     indexed = spark.createDataFrame([("/old",), ("/old",), ("/fresh",), ("/cur-7.jsonl",)], "sessionFile string")
