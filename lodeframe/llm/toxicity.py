@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.session import ready
+from lodeframe.llm.session import ready, stored
 
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 20
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     )
     marked = spark.createDataFrame(marked.collect(), "label_id long, toxic boolean")  # at most max_rows
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), F.col("doc_id") == F.col("label_id"))
+    train = stored(train.select("doc_id", "toxic", "text"))  # docs is read once
     counts = train.select("toxic", "text").mapInArrow(_count_batches, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).checkpoint()
     sums = counts.agg(F.max("toxic"), F.max("clean"), F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     sizes = {r["toxic"]: r["n"] for r in train.select("toxic").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
