@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodeframe.llm import decontaminate, embeddings, mixing, quotes, secrets, sharding, simhash, substrings, toxicity, urls
+from lodeframe.llm import decontaminate, embeddings, mixing, oracles, quotes, secrets, sharding, simhash, substrings, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -61,22 +61,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-OP8_SQL = """
-WITH p AS (
-  SELECT row_number() OVER () AS n, page_id,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-r(rule_host, rule_path, verdict) AS (VALUES
-  ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
-  ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-m AS (
-  SELECT p.*, rule_host || rule_path AS rule, verdict,
-    row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS k
-  FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": op1_quotes,
     "op2_decontaminate": op2_decontaminate,
@@ -91,4 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op8_urls": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": oracles.OP2_SQL,
+    "op5_substrings": oracles.OP5_SQL,
+    "op8_urls": oracles.OP8_SQL,
+    "op9_embeddings": oracles.OP9_SQL,
+}
