@@ -76,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quotes": oracles.OP1_SQL,
     "op2_decontaminate": oracles.OP2_SQL,
     "op5_substrings": oracles.OP5_SQL,
     "op8_urls": oracles.OP8_SQL,
     "op9_embeddings": oracles.OP9_SQL,
+    "op10_secrets": oracles.OP10_SQL,
 }

@@ -114,7 +114,7 @@ def _links(messages: DataFrame) -> DataFrame:
     # own text: each run at level 0, and all of them together
     def own_units(runs):
         own = F.transform(F.filter(runs, lambda r: r["level"] == 0), lambda r: r["lines"])
-        return _bind(own, lambda x: F.flatten(F.transform(F.array_append(x, F.flatten(x)), _units)))
+        return _bind(own, lambda x: F.flatten(F.transform(F.array_distinct(F.array_append(x, F.flatten(x))), _units)))
 
     own = known.select("conv_id", "turn", F.explode_outer(_bind(_runs(F.col("text")), own_units)).alias("u")).filter("u IS NOT NULL").select("conv_id", "turn", "u.hash")
     own = own.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
