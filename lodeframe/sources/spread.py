@@ -10,7 +10,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large table has more partitions than that and is never shuffled by this.
     """
-    context = df.sparkSession.sparkContext
-    wanted = context.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(wanted) if have < wanted else df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # it has shuffles of its own, and to ask for its partitions would run them
+    return df.repartition(wanted) if plan.execute().getNumPartitions() < wanted else df

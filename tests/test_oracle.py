@@ -15,14 +15,14 @@ from tests.conftest import TESTDATA
 def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if isinstance(v, float):
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
         return f"{v:.6f}"
     return str(v)
 
 
 def rows(df: pd.DataFrame):
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else plain(v) for v in r) for r in df.astype(object).values.tolist())
+    return sorted(tuple("" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else plain(v) for v in r) for r in df.astype(object).values.tolist())
 
 
 @pytest.fixture(scope="module")
