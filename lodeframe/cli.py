@@ -6,7 +6,8 @@ status | reindex [--force] | index-sessions | index-notes | compact [sessions|no
 
 Answers are JSON on stdout; errors are JSON on stderr with exit code 1.  The offline
 hashing embedder is used unless an embedder factory `module:function` is named in
-LODEFRAME_EMBEDDER; it is called with a dimension.
+LODEFRAME_EMBEDDER; it is called with a dimension.  INDEX_CONCURRENCY (2) caps the
+embedding calls that run at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.operators.embed import Embedder, HashingEmbedder
+from lodeframe.operators.embed import CONCURRENCY, Embedder, HashingEmbedder
 from lodeframe.plans import jobs, search
 from lodeframe.plans.store import ChunkStore
 from lodeframe.present import response, shown
@@ -65,6 +66,7 @@ def run(spark: SparkSession, args: list[str], paths: Paths | None = None) -> str
     paths = paths or Paths()
     command, positional, flags = parse(args)
     sessions, notes = ChunkStore(spark, paths.session_store, SESSION_DIM), ChunkStore(spark, paths.note_store, NOTE_DIM)
+    calls = int(os.environ.get("INDEX_CONCURRENCY", CONCURRENCY))
     files = lambda: all_sessions(spark, paths.pi_sessions, paths.claude_sessions)
     query = " ".join(positional)
     if command in ("search-sessions", "search", "search-knowledge", "knowledge"):
@@ -78,19 +80,19 @@ def run(spark: SparkSession, args: list[str], paths: Paths | None = None) -> str
         if command in ("search-knowledge", "knowledge"):
             if not notes.exists():
                 raise Failure("Notes are not indexed")
-            found = search.knowledge_search(asked, notes.rows(), embedder(NOTE_DIM), now, limit)
+            found = search.knowledge_search(asked, notes.rows(), embedder(NOTE_DIM), now, limit, index=jobs.text_index(notes))
             return response(query, shown(found).collect())
-        spare = (notes.rows(), embedder(NOTE_DIM)) if notes.exists() else (None, None)
-        found = search.session_search(asked, sessions.rows(), embedder(SESSION_DIM), now, limit, flags.get("source"), *spare)
+        spare = {"notes": notes.rows(), "note_embedder": embedder(NOTE_DIM), "note_index": jobs.text_index(notes)} if notes.exists() else {}
+        found = search.session_search(asked, sessions.rows(), embedder(SESSION_DIM), now, limit, flags.get("source"), index=jobs.text_index(sessions), **spare)
         rows = shown(found).collect()
         return response(query, rows, fallback=any(r["fallback"] for r in rows))
     if command == "status":
         own, other = jobs.status(sessions, files()), jobs.status(notes)
         return json.dumps({"sessions": {k: own[k] for k in ("chunks", "indexed_files", "total_files")}, "knowledge": {k: other[k] for k in ("chunks", "indexed")}})
     if command in ("reindex", "index-sessions"):
-        return json.dumps(jobs.index_sessions(sessions, files(), embedder(SESSION_DIM), flags.get("force") == "true"))
+        return json.dumps(jobs.index_sessions(sessions, files(), embedder(SESSION_DIM), flags.get("force") == "true", calls))
     if command == "index-notes":
-        return json.dumps(jobs.index_notes(notes, jobs.notes_to_index(spark, paths.notes), embedder(NOTE_DIM), flags.get("force") == "true"))
+        return json.dumps(jobs.index_notes(notes, jobs.notes_to_index(spark, paths.notes), embedder(NOTE_DIM), flags.get("force") == "true", calls))
     if command == "compact":
         return json.dumps(jobs.compact({"sessions": sessions, "notes": notes}, positional[0] if positional else "all"))
     raise Failure("Unknown command", usage=USAGE)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
-BATCH = 100
+BATCH, CONCURRENCY = 100, 2
 #: Fixed values of the retry rule: attempts, first wait, longest wait (seconds), jitter.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, JITTER = 5, 2.0, 30.0, 0.2
 RETRYABLE = r"(?i)(rate[_ ]limit|too many requests|429|resource has been exhausted|spending cap|5\d\d|cloudflare)"
@@ -92,6 +92,11 @@ def embed_documents(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, c
     return chunks.mapInArrow(run, schema)
 
 
+def embed_query(text: str, embedder: Embedder) -> list[float]:
+    """The vector of one query text."""
+    return list(map(float, with_retry(lambda: embedder.embed([text], "query"))[0]))
+
+
 def embed_queries(queries: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
     """queries (qid, text) with `vector`; queries are few and are embedded on the driver."""
     rows = queries.collect()

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.operators.bm25 import build_index
+from lodeframe.operators.bm25 import TextIndex, build_index
 from lodeframe.operators.chunk_notes import as_chunks, note_chunks
 from lodeframe.operators.chunk_sessions import extract_sessions
 from lodeframe.operators.embed import Embedder, embed_documents
 from lodeframe.plans.store import ChunkStore, to_reindex, unindexed
 from lodeframe.schema import INDEXED_FOLDERS
-from lodeframe.sources.files import note_files
+from lodeframe.sources.files import exists, note_files
 
 
 def build_text_index(store: ChunkStore) -> None:
-    """Write the full-text index of the current rows beside the table."""
-    build_index(store.rows().select("id", "text")).write(f"{store.path}/fts")
+    """Write the full-text index of the current rows beside the table, under the name of their state."""
+    build_index(store.rows().select("id", "text")).write(f"{store.path}/fts/{store.digest()}")
+
+
+def text_index(store: ChunkStore) -> TextIndex | None:
+    """The stored index if it is that of the current rows."""
+    path = f"{store.path}/fts/{store.digest()}"
+    return TextIndex.read(store.spark, path) if exists(store.spark, f"{path}/totals/_SUCCESS") else None
 
 
 def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Embedder, concurrency: int | None) -> dict:

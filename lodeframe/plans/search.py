@@ -91,6 +91,7 @@ def session_search(
     config: RetrieverConfig = SESSION_CONFIG,
     index: TextIndex | None = None,
     fts_score: str = "bm25",
+    note_index: TextIndex | None = None,
 ) -> DataFrame:
     """The best `limit` session chunks of each of queries (qid, text), eked out by notes where thin.
 
@@ -103,5 +104,5 @@ def session_search(
     if notes is None or note_embedder is None:
         return hits.filter(F.col("rank") <= limit).withColumn("fallback", F.lit(False))
     poor = asked.join(F.broadcast(thin_queries(hits, queries)), "qid", "left_semi")
-    spare = _hybrid(poor, notes, None, note_embedder, limit, 0.05, as_of, NOTE_CONFIG, fts_score)
+    spare = _hybrid(poor, notes, note_index, note_embedder, limit, 0.05, as_of, NOTE_CONFIG, fts_score)
     return splice(hits, spare, limit)

@@ -8,6 +8,7 @@ the manifest of before or after, never a part of a write.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -47,6 +48,10 @@ class ChunkStore:
         options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(draft, target, options)
 
+    def digest(self) -> str:
+        """A name for the current state of the rows."""
+        return hashlib.sha1(json.dumps(self.manifest(), sort_keys=True).encode()).hexdigest()
+
     def exists(self) -> bool:
         return exists(self.spark, f"{self.path}/manifest.json")
 

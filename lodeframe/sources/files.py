@@ -62,6 +62,11 @@ def all_sessions(spark: SparkSession, pi_folder: str | None, claude_folder: str
     return out
 
 
+def sessions_by_source(spark: SparkSession, source: str, folder: str) -> DataFrame:
+    """Sessions of one layout, `pi` or `claude`."""
+    return pi_sessions(spark, folder) if source == "pi" else claude_sessions(spark, folder)
+
+
 def note_files(spark: SparkSession, folder: str, folders: tuple[str, ...] | None = None) -> DataFrame:
     """*.org files at any depth by path, without the skipped directories; `folders` keeps only those note folders."""
     if not exists(spark, folder):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe import cli
-from lodeframe.operators.embed import HashingEmbedder, embed_documents
+from lodeframe.operators.embed import HashingEmbedder, embed_documents, embed_query
 from lodeframe.plans import jobs
 from lodeframe.plans.store import ChunkStore, to_reindex
 from lodeframe.schema import CHUNK, Paths
@@ -59,6 +59,7 @@ def home(tmp_path):
 
 def test_listings(spark, home):
     pi, claude = src.pi_sessions(spark, f"{home}/.pi/agent/sessions"), src.claude_sessions(spark, f"{home}/.claude/projects")
+    assert src.sessions_by_source(spark, "pi", f"{home}/.pi/agent/sessions").count() == 1 and src.sessions_by_source(spark, "claude", f"{home}/.claude/projects").count() == 2
     assert [os.path.basename(r["path"]) for r in pi.collect()] == ["a b.jsonl"]
     assert sorted(os.path.basename(r["path"]) for r in claude.collect()) == ["s.jsonl", "t.jsonl"]
     assert src.all_sessions(spark, f"{home}/.pi/agent/sessions", f"{home}/.claude/projects").count() == 3
@@ -83,6 +84,9 @@ def test_command_line(spark, home, monkeypatch):
     assert found["fallback"] and found["count"] >= 3 and found["query"] == "range joins"
     assert all(r["source"] != "pi" for r in ask("search", "range joins", "--source", "claude")["results"] if "source" in r)
     assert ask("knowledge", "range joins")["results"][0]["project"] == "notes"
+    store = ChunkStore(spark, paths.session_store, 3072)
+    assert jobs.text_index(store).totals.first()["n"] == 5
+    assert embed_query("range joins", HashingEmbedder(8)) == HashingEmbedder(8).embed(["range joins"])[0]
     assert ask("compact", "sessions")["sessions"]["rows"] == 5
     for bad in (["search"], ["nothing"], ["search", "x", "--limit", "many"]):
         with pytest.raises(cli.Failure):
