@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm.session import ready, word_count
+from lodeframe.sources.spread import spread
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -93,7 +94,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] = WEIGH
     draws: the block, source_size, target, mix_draws: array of (pass, shard, cut_hash, cut_id), cut null for a whole block.
     """
     spark = ready(docs.sparkSession)
-    rows = docs.select("doc_id", word_count(F.col("text").cast("string")).alias("size"), *_keys(docs)).checkpoint()
+    rows = spread(docs.select("doc_id", "text", "source")).select("doc_id", word_count(F.col("text").cast("string")).alias("size"), *_keys(docs)).checkpoint()
     blocks = rows.groupBy(*_AT).agg(F.sum("size").alias("words")).checkpoint()
     sources = blocks.groupBy("mix_null", "mix_name").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).collect()
     sources.sort(key=lambda r: (r["mix_null"], r["mix_name"].encode()))

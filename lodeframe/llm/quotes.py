@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.ranges import positions, running_last
 from lodeframe.llm.session import ready
+from lodeframe.sources.spread import spread
 
 MIN_LINE = 12
 MARKS = r"^[ \t]*((?:>[ \t]?)*)"
@@ -145,7 +146,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """
     ready(messages.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = messages.select("conv_id", "turn", "role", text.alias("text"))
+    rows = spread(messages.select("conv_id", "turn", "role", text.alias("text")))
     links = _links(rows).checkpoint()
     nearest = F.min(F.struct("level", (-F.col("origin")).alias("back")))["back"]
     replies = links.groupBy("conv_id", "turn").agg((-nearest).alias("reply_to"), F.count("*").alias("n_linked"))

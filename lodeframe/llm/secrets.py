@@ -21,6 +21,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.sources.spread import spread
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -135,6 +137,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     access = F.filter(_matches(text, ACCESS), lambda m: m["stop"] - m["start"] >= MIN_ACCESS)
     # a match of HEX is a whole run, so only runs of the least length need be matched
     runs = _matches(text, HEX[:-1] + "{%d,}" % MIN_HEX)
+    docs = spread(docs.select("doc_id", "text"))
     return docs.select("doc_id", F.concat(kind(0, assign), kind(1, access), kind(2, runs)).alias("base"), kind(3, _entropy_spans(text)).alias("entropy"))
 
 

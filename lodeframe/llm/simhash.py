@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.graph import components, local_labels
 from lodeframe.llm.session import ready
+from lodeframe.sources.spread import spread
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -65,7 +66,7 @@ def _fingerprint_batches(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the SimHash of each whole text as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
 def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

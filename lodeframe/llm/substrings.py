@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm.fmindex import FMIndex
 from lodeframe.llm.kernels import Words, mix64, shingle_hashes, text_chunks, window_hashes, _powers
 from lodeframe.llm.session import ready, stored
+from lodeframe.sources.spread import spread
 
 WINDOW = 50
 ANCHOR = 25
@@ -198,7 +199,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
-    seen = stored(source.mapInArrow(_bundle_batches, "anchor long, bundle long, doc_id long, text_hash int, at int, n int"))
+    seen = stored(spread(source).mapInArrow(_bundle_batches, "anchor long, bundle long, doc_id long, text_hash int, at int, n int"))
     anchors = seen.groupBy("anchor").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.min("bundle").alias("b0"), F.max("bundle").alias("b1"))
     # stored, as an aggregation right below a join on its key would keep AQE from splitting a frequent anchor
     anchors = stored(anchors.filter("least_id < most_id").select("anchor", "least_id", (F.col("b0") != F.col("b1")).alias("several")))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.session import ready, stored
+from lodeframe.sources.spread import spread
 
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 20
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     ready(docs.sparkSession)
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(model.scorer(), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(model.scorer(), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -221,4 +222,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
             z = np.array([weights[features(x.as_py())].sum() for x in batch.column(at)], dtype=np.float64)
             yield batch.filter(pa.array(_logistic(z + bias) < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return spread(docs).mapInArrow(clean, docs.schema)
