@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}\uFEFF]"
+#: Session path layouts and the home prefixes of their directory names.
+CLAUDE_MARK, CLAUDE_SESSIONS, PI_SESSIONS = "/.claude/", "/.claude/projects/", "/.pi/agent/sessions/"
+REPOS_NAME, HOME_NAME, HOME_ITSELF = r"^home-[^-]+-repos-(?:gh|work|3rd)-(.+)$", r"^home-[^-]+-(.+)$", r"^home-[^-]+$"
+#: Token and Hangul runs.
 TOKEN = r"[\p{L}\p{N}_]+"
 HANGUL = r"[\uAC00-\uD7AF]+"
 
@@ -61,7 +65,7 @@ def hangul_terms(text: Column) -> Column:
 
 
 def source_of(path: Column) -> Column:
-    return F.when(F.contains(path, F.lit("/.claude/")), "claude").otherwise("pi")
+    return F.when(F.contains(path, F.lit(CLAUDE_MARK)), "claude").otherwise("pi")
 
 
 def project_of(path: Column) -> Column:
@@ -74,17 +78,16 @@ def project_of(path: Column) -> Column:
     def named(parts):
         own = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2)).otherwise(F.lit("."))
         return (
-            F.when(F.contains(path, F.lit("/.claude/projects/")), after(parts, "projects"))
-            .when(F.contains(path, F.lit("/.pi/agent/sessions/")), after(parts, "sessions"))
+            F.when(F.contains(path, F.lit(CLAUDE_SESSIONS)), after(parts, "projects"))
+            .when(F.contains(path, F.lit(PI_SESSIONS)), after(parts, "sessions"))
             .otherwise(own)
         )
 
     def short(name):
-        repos, home = r"^home-[^-]+-repos-(?:gh|work|3rd)-(.+)$", r"^home-[^-]+-(.+)$"
         return (
-            F.when(F.regexp(name, F.lit(repos)), F.regexp_extract(name, repos, 1))
-            .when(F.regexp(name, F.lit(home)), F.regexp_extract(name, home, 1))
-            .when(F.regexp(name, F.lit(r"^home-[^-]+$")), "home")
+            F.when(F.regexp(name, F.lit(REPOS_NAME)), F.regexp_extract(name, REPOS_NAME, 1))
+            .when(F.regexp(name, F.lit(HOME_NAME)), F.regexp_extract(name, HOME_NAME, 1))
+            .when(F.regexp(name, F.lit(HOME_ITSELF)), "home")
             .when(name == "", "unknown")
             .otherwise(name)
         )
