@@ -4,7 +4,8 @@ Equal vectors collapse to one class with a count.  Classes are rotated to princi
 axes (fitted on a bounded sample; the fit only steers the pruning) and cut into
 ranges of the first axis of at most BLOCK classes; a range that ties keep larger is
 cut by hash.  Linked unit vectors differ by at most sqrt(2 - 2t) along any axis, so
-only pairs of ranges that near meet, one task per pair.  Inside, tiles accumulate
+only pairs of ranges that near each other meet, one task per pair; the driver knows
+one row per range.  Inside, tiles accumulate
 the products of the leading axes; with the product of the suffix norms this bounds
 the cosine, and pairs below the threshold stop there.  The rest is verified by the
 cosine of the original vectors in double precision.  A task reports links as counts
@@ -36,7 +37,9 @@ BLOCK = 8_192
 TILE = 1_024
 LEADING = 16
 SAMPLE = 20_000
-#: Largest table of block pairs that is broadcast.
+#: Components that the sample holds at most, whatever the dimension.
+SAMPLE_VALUES = 2_000_000
+#: Largest table of blocks that is broadcast.
 BROADCAST_ROWS = 200_000
 _MARGIN = 1e-7
 
@@ -136,7 +139,9 @@ def _pair_task(axes_of: dict[int, np.ndarray], threshold: float):
 def link_classes(classes: DataFrame, total: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """class_id, links, to over classes (class_id, n, dim, vector): partial link counts and forest edges."""
     spark = classes.sparkSession
-    sample = classes.select("dim", "vector").sample(min(1.0, SAMPLE / max(1, total)), seed=7).limit(2 * SAMPLE).collect()
+    widest = classes.agg(F.max("dim")).first()[0] or 1
+    size = max(256, min(SAMPLE, SAMPLE_VALUES // widest))
+    sample = classes.select("dim", "vector").sample(min(1.0, size / max(1, total)), seed=7).limit(2 * size).collect()
     axes_of: dict[int, np.ndarray] = {}
     edges: list[tuple[int, int, float, float]] = []
     count = max(1, ceil(total / block))
@@ -162,17 +167,29 @@ def link_classes(classes: DataFrame, total: int, threshold: float = THRESHOLD, b
 
     placed = classes.select("class_id", "n", "dim", "vector").mapInArrow(place, "class_id long, n long, dim int, vector array<float>, axis double, lane int").checkpoint()
     ranges = placed.groupBy("dim", "lane").agg(F.count("*").alias("rows"), F.min("axis").alias("lo"), F.max("axis").alias("hi")).collect()
+    ranges.sort(key=lambda r: (r["dim"], r["lane"]))
     blocks = [(r["dim"], r["lane"], s, ceil(r["rows"] / block), r["lo"], r["hi"]) for r in ranges for s in range(ceil(r["rows"] / block))]
     reach = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    sides = []
-    for i, a in enumerate(blocks):
-        for j in range(i, len(blocks)):
-            b = blocks[j]
-            if a[0] == b[0] and a[4] - b[5] <= reach and b[4] - a[5] <= reach:
-                pair = i * len(blocks) + j
-                sides += [(*a[:4], pair, 2)] if i == j else [(*a[:4], pair, 0), (*b[:4], pair, 1)]
-    met = spark.createDataFrame(sides, "dim int, lane int, salt long, salts long, pair long, side int")
-    rows = placed.join(F.broadcast(met) if len(sides) <= BROADCAST_ROWS else met, ["dim", "lane"]).filter(F.pmod(F.xxhash64("class_id"), F.col("salts")) == F.col("salt"))  # block pairs only
+    # ranges lie in order along the axis, so the blocks that a block may meet are a run of indices
+    table, first_met, last_met = [], 0, [0] * len(blocks)
+    for j, b in enumerate(blocks):
+        while blocks[first_met][0] != b[0] or b[4] - blocks[first_met][5] > reach:
+            first_met += 1
+        table.append((*b[:4], j, first_met))
+    last = len(blocks) - 1
+    for i in range(len(blocks) - 1, -1, -1):
+        while blocks[last][0] != blocks[i][0] or blocks[last][4] - blocks[i][5] > reach:
+            last -= 1
+        last_met[i] = last
+    table = [(*t, end) for t, end in zip(table, last_met)]
+    met = spark.createDataFrame(table, "dim int, lane int, salt long, salts long, at long, first long, last long")
+    rows = placed.join(F.broadcast(met) if len(table) <= BROADCAST_ROWS else met, ["dim", "lane"]).filter(F.pmod(F.xxhash64("class_id"), F.col("salts")) == F.col("salt"))
+    # side 2: the block within itself; 0 and 1: the earlier and the later of two blocks
+    pairs = F.transform(
+        F.sequence(F.col("first"), F.col("last")),
+        lambda k: F.struct((F.least(k, F.col("at")) * len(table) + F.greatest(k, F.col("at"))).alias("pair"), F.when(k == F.col("at"), 2).when(k > F.col("at"), 0).otherwise(1).alias("side")),
+    )
+    rows = rows.select("class_id", "n", "vector", F.explode(pairs).alias("p")).select(F.col("p.pair").alias("pair"), F.col("p.side").alias("side"), "class_id", "n", "vector")
     rows = rows.select("pair", "side", "class_id", "n", "vector").repartition("pair").sortWithinPartitions("pair", "side")
     return rows.mapInArrow(_pair_task(axes_of, threshold), "class_id long, links long, to long")
 
