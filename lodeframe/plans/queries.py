@@ -269,14 +269,14 @@ def thin_fallback(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT conv_id AS qid, turn, CASE conv_id % 3 WHEN 0 THEN '보편 학문이란 knowledge' WHEN 1 THEN '바흐, 보편' ELSE 'no terms' END AS text FROM conversations WHERE turn = 0),
+WITH q AS (SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 3 WHEN 0 THEN '보편 학문이란 knowledge' WHEN 1 THEN '바흐, 보편' ELSE text END AS text, conv_id % 3 AS k FROM conversations),
 d(term, e) AS (VALUES ('보편', ['universal', 'general']), ('바흐', ['bach']), ('학문이란', ['study', 'universal']))
-SELECT qid, CASE conv_id_mod WHEN 0 THEN '보편 학문이란 knowledge universal general study' WHEN 1 THEN '바흐, 보편 bach universal general' ELSE text END AS enriched
-FROM (SELECT *, qid % 3 AS conv_id_mod FROM q)""")
+SELECT qid, CASE k WHEN 0 THEN '보편 학문이란 knowledge universal general study' WHEN 1 THEN '바흐, 보편 bach universal general' ELSE text END AS enriched FROM q""")
 def query_expansion(spark, sf_dir):
     """Hangul terms bring their dictionary expansions, each once, to the embedded text."""
     k = F.col("conv_id") % 3
-    said = read(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("qid"), F.when(k == 0, "보편 학문이란 knowledge").when(k == 1, "바흐, 보편").otherwise("no terms").alias("text"))
+    text = F.when(k == 0, "보편 학문이란 knowledge").when(k == 1, "바흐, 보편").otherwise(F.col("text"))
+    said = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), text.alias("text"))
     words = spark.createDataFrame([("보편", ["universal", "general"]), ("바흐", ["bach"]), ("학문이란", ["study", "universal"])], "term string, expansions array<string>")
     return search.expand_queries(said, words).select("qid", "enriched")
 
