@@ -20,6 +20,8 @@ from lodeframe.llm import decontaminate, mixing, sharding, simhash, toxicity
 from lodeframe.llm.session import stored, table
 
 SHARDS = 8
+#: Near duplicates of the corpus: words of a shingle and least Jaccard similarity (op7's query keeps its own limits).
+NEAR_WIDTH, NEAR_SIMILARITY = 5, 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, NEAR_WIDTH, NEAR_SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -24,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm import overlap
 from lodeframe.llm.graph import components, local_labels
-from lodeframe.llm.session import ready
+from lodeframe.llm.session import ready, stored
 from lodeframe.sources.spread import spread
 
 MAX_DISTANCE = 3
@@ -64,6 +66,13 @@ def _fingerprint_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _node_batches(batches, width: int):
+    """Rows (doc_id, tie, text) to (doc_id, tie, node): the node is the fingerprint."""
+    for batch in batches:
+        got = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(2).cast(pa.large_binary())), dtype=np.uint64, count=len(batch))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "tie", "node"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the SimHash of each whole text as a signed long."""
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
@@ -161,12 +170,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return simhash_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def _similar_names(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tie, node) of rows (doc_id, tie, text), and (node, label) of components of nodes by similarity."""
+    prints = stored(overlap.nodes(spread(rows), width, similarity, partial(fingerprint, width=width)))
+    classes = prints.groupBy("fp").agg(F.min("node").alias("least_node"), F.max("node").alias("most_node")).checkpoint()
+    by_fp = link_edges(classes.select("fp")).distinct()
+    ends = [classes.select(F.col("fp").alias(x), F.col("least_node").alias(f"node_{x}")) for x in ("a", "b")]
+    near = by_fp.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    equal = classes.filter("least_node < most_node").select(F.col("least_node").alias("a"), F.col("most_node").alias("b"))
+    suggested = near.unionByName(equal).filter("a <> b").checkpoint()
+    return prints, components(overlap.links(rows, prints, suggested, width, similarity)).checkpoint()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs without all but one document of each component, columns unchanged.
 
-    The document with the smallest id stays; of rows that repeat it, one.  Rows
-    without an id stay.
+    Links are fingerprints of `width` words at MAX_DISTANCE or, if a similarity is given,
+    sets of `width`-word shingles with at least that Jaccard similarity.  Then the byte
+    index suggests pairs, overlap.links() adds those that it cannot reach, and all are
+    compared exactly.
+
+    The row with the smallest id stays, of several the one with the smallest hash of
+    all its columns.  Rows without an id stay only where their component has no id, one
+    of each.
     """
-    kept = simhash_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    ready(docs.sparkSession)
+    tie = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    rows = docs.select("doc_id", tie.alias("tie"), F.col("text").cast("string").alias("text"))
+    if similarity is None:
+        prints = spread(rows).mapInArrow(partial(_node_batches, width=width), f"doc_id {dict(docs.dtypes)['doc_id']}, tie long, node long").checkpoint()
+        found = components(link_edges(prints.select(F.col("node").alias("fp")).distinct().checkpoint())).checkpoint()
+    else:
+        prints, found = _similar_names(rows, width, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    least = prints.groupBy("node").agg(F.min(order).alias("own"), F.count("*").alias("rows"))
+    named = least.join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "own", "rows", F.coalesce("component", "node").alias("label")).checkpoint()
+    groups = named.groupBy("label").agg(F.min("own").alias("own"), F.sum("rows").alias("rows")).filter("rows > 1").checkpoint()
+    members = prints.select("node", "tie").join(named.select("node", "label").join(groups.select("label"), "label"), "node")
+    # only rows of groups are shuffled, and few others; the tie tells rows apart but for repeated ones
+    bits = overlap.sieve(members)
+    tied = docs.select(tie.alias("tie"), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(docs.columns)])
+    gone = members.join(groups.select(F.col("own.tie").alias("tie")), "tie", "left_anti").select("tie").distinct().checkpoint()
+    grouped = overlap.sifted(tied, bits).join(gone, "tie", "left_anti").dropDuplicates(["tie"])
+    return grouped.unionByName(overlap.sifted(tied, bits, inside=False)).drop("tie").toDF(*docs.columns)
