@@ -50,3 +50,11 @@ def test_the_stage_keeps_one_document_of_each_group_at_five_words_and_0_8(spark)
     stage = dict(corpus_pipeline.STAGES)["simhash"]
     want = brute_kept([(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()])
     assert sorted(r["doc_id"] for r in stage(spark, frame, TESTDATA).collect()) == want
+
+
+@pytest.mark.parametrize("limits", [(), (5, 0.8)])
+def test_a_repeated_id_with_another_text_is_not_lost(spark, limits):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    frame = docs(spark, [one, two]).unionByName(docs(spark, [three, two], start=1)).unionByName(docs(spark, [one, three]))
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame, *limits).collect())
+    assert got == [(0, one), (1, two), (1, three)]
