@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeframe.llm import overlap, session, simhash
@@ -58,3 +59,13 @@ def test_a_repeated_id_with_another_text_is_not_lost(spark, limits):
     frame = docs(spark, [one, two]).unionByName(docs(spark, [three, two], start=1)).unionByName(docs(spark, [one, three]))
     got = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame, *limits).collect())
     assert got == [(0, one), (1, two), (1, three)]
+
+
+@pytest.mark.parametrize("limits", [(), (5, 0.8)])
+def test_rows_without_an_id_join_their_component(spark, limits):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    frame = docs(spark, [one, two])
+    nameless = docs(spark, [one, three, three]).withColumn("doc_id", F.lit(None).cast("long"))
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame.unionByName(nameless), *limits).collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(0, one), (1, two)]
+    assert len([x for x in got if x[0] is None]) == 1 and got.count((None, one)) == 0
