@@ -59,6 +59,18 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest hash of every run of `width`, by blocks whose places fit the low bits."""
+    low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    step = int(low) + 1 - width
+    out = []
+    for at in range(0, len(x) - width + 1, step):
+        part = x[at : at + step + width - 1]
+        keyed = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        out.append((_sliding_min(keyed, width) & low).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def bundles(words: Words) -> tuple[np.ndarray, ...]:
     """(row, first window in the row, windows, anchor, bundle hash) of each bundle of the words' rows."""
     hashes = words.hashes()
@@ -68,9 +80,7 @@ def bundles(words: Words) -> tuple[np.ndarray, ...]:
     counts = np.diff(words.first)
     row = np.repeat(np.arange(len(counts)), counts)
     runs = window_hashes(hashes, ANCHOR)
-    place = np.arange(len(runs), dtype=np.uint64)
-    keyed = ((runs >> _PLACE_BITS) << _PLACE_BITS) | place
-    pick = (_sliding_min(keyed, WINDOW - ANCHOR + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    pick = _sliding_argmin(runs, WINDOW - ANCHOR + 1)
     inside = row[: len(pick)] == row[WINDOW - 1 :]
     begins = inside.copy()
     begins[1:] &= ~(inside[:-1] & (pick[1:] == pick[:-1]))
