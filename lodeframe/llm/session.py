@@ -48,4 +48,14 @@ def stored(frame: DataFrame) -> DataFrame:
     spark = ready(frame.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of stored() that nothing depends on any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,8 +5,9 @@ share at least five bytes.  Any five of eight positions hold three that lie in o
 half (0-3 or 4-7), so the index posts every distinct fingerprint under the eight
 triples of positions inside a half: each linked pair meets in a posting list.
 There, shared positional bytes are tallied, pairs below five are dropped, and the
-rest is verified by Hamming distance.  Posting lists of many fingerprints are cut
-into tiles of bounded size; a tile reports a spanning forest, not its pairs.
+rest is verified by Hamming distance.  Posting lists of many fingerprints are posted
+again by five positions, and cut into tiles of bounded size; a tile reports a
+spanning forest, not its pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero; it links like
 any other.  A null doc_id keeps its row and never names a component unless all ids
@@ -16,18 +17,18 @@ columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import overlap
 from lodeframe.llm.graph import components, local_labels
-from lodeframe.llm.session import ready, stored
+from lodeframe.llm.session import discard, ready, stored
 from lodeframe.sources.spread import spread
 
 MAX_DISTANCE = 3
@@ -35,6 +36,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of a posting-list tile side.
 TILE = 256
+#: Fingerprints of a posting list beyond which it is cut by two more positions.
+HOT = 4096
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
@@ -135,17 +138,30 @@ def _tile_edges(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in last], names=["a", "b"])
 
 
-def link_edges(classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints `fp` that span every link at MAX_DISTANCE."""
+def _byte(i: int) -> Column:
+    return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
+
+
+def _posted(positions: tuple[int, ...], mark: int) -> Column:
+    """Key of the bytes at the positions; mark tells keys of other positions apart."""
+    return reduce(lambda key, i: key * 256 + _byte(i), positions, F.lit(mark).cast("long"))
 
-    def byte(i):
-        return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
 
-    keys = [F.shiftleft(F.lit(t).cast("long"), 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for t, (a, b, c) in enumerate(TRIPLES)]
-    postings = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+def link_edges(classes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints `fp` that span every link at MAX_DISTANCE.
+
+    A list of more than HOT fingerprints is posted again under its triple and each two
+    of the five other positions: a linked pair shares two of these at least.
+    """
+    postings = classes.select("fp", F.explode(F.array(*[_posted(t, i + 1) for i, t in enumerate(TRIPLES)])).alias("key"))
     # checkpointed, so that AQE can split a frequent key in the join
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").checkpoint()
-    cut = postings.join(lists, "key").withColumn("side", F.ceil(F.col("n") / tile).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("side")))
+    listed = postings.join(lists, "key")
+    finer = F.array(*[F.array(*[_posted((*t, *two), 8 + 16 * i + k) for k, two in enumerate(combinations(sorted({*range(8)} - {*t}), 2))]) for i, t in enumerate(TRIPLES)])
+    again = listed.filter(F.col("n") > HOT).select("fp", F.explode(F.get(finer, (F.shiftright("key", 24) - 1).cast("int"))).alias("key"))
+    small = again.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").checkpoint()
+    listed = listed.filter(F.col("n") <= HOT).unionByName(again.join(small, "key"))
+    cut = listed.withColumn("side", F.ceil(F.col("n") / tile).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("side")))
     tiles = cut.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)).alias("other"))
     bucket = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     return (
@@ -160,7 +176,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).checkpoint()
     found = components(link_edges(classes)).checkpoint()
     labelled = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    # checkpointed, so that AQE can split a large component in the join
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id")).checkpoint()
     names = labelled.select("fp", "label").join(least, "label").select("fp", "component_id").checkpoint()
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
@@ -172,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _similar_names(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, node) of rows (doc_id, tie, text), and (node, label) of components of nodes by similarity."""
-    prints = stored(overlap.nodes(spread(rows), width, similarity, partial(fingerprint, width=width)))
+    prints = stored(overlap.nodes(spread(rows), width, partial(fingerprint, width=width)))
     classes = prints.groupBy("fp").agg(F.min("node").alias("least_node"), F.max("node").alias("most_node")).checkpoint()
     by_fp = link_edges(classes.select("fp")).distinct()
     ends = [classes.select(F.col("fp").alias(x), F.col("least_node").alias(f"node_{x}")) for x in ("a", "b")]
@@ -208,8 +225,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: floa
     groups = named.groupBy("label").agg(F.min("own").alias("own"), F.sum("rows").alias("rows")).filter("rows > 1").checkpoint()
     members = prints.select("node", "tie").join(named.select("node", "label").join(groups.select("label"), "label"), "node")
     # only rows of groups are shuffled, and few others; the tie tells rows apart but for repeated ones
-    bits = overlap.sieve(members)
+    bits = overlap.sieve(members, "tie")
     tied = docs.select(tie.alias("tie"), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(docs.columns)])
     gone = members.join(groups.select(F.col("own.tie").alias("tie")), "tie", "left_anti").select("tie").distinct().checkpoint()
+    if similarity is not None:
+        discard(prints)
     grouped = overlap.sifted(tied, bits).join(gone, "tie", "left_anti").dropDuplicates(["tie"])
     return grouped.unionByName(overlap.sifted(tied, bits, inside=False)).drop("tie").toDF(*docs.columns)

@@ -26,9 +26,9 @@ def brute_kept(rows, width=5, similarity=0.8):
     return sorted(set(union_find(pairs, ids).values()))
 
 
-@pytest.mark.parametrize("frequent", [overlap.FREQUENT, 10**9])
-def test_near_duplicates_at_a_similarity_equal_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+@pytest.mark.parametrize("block", [overlap.BLOCK, 7])
+def test_near_duplicates_at_a_similarity_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "BLOCK", block)
     rng = random.Random(5)
     base = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([30, 60, 100, 400]))) for _ in range(12)]
     texts = list(base)
@@ -69,3 +69,20 @@ def test_rows_without_an_id_join_their_component(spark, limits):
     got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame.unionByName(nameless), *limits).collect()]
     assert sorted(x for x in got if x[0] is not None) == [(0, one), (1, two)]
     assert len([x for x in got if x[0] is None]) == 1 and got.count((None, one)) == 0
+
+
+@pytest.mark.parametrize("chunk, pairs", [(overlap.CHUNK, overlap.PAIRS), (5, 2)])
+def test_a_frequent_passage_loses_no_link_and_deals_out_no_pairs(spark, monkeypatch, chunk, pairs):
+    monkeypatch.setattr(overlap, "CHUNK", chunk)
+    monkeypatch.setattr(overlap, "PAIRS", pairs)
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for _ in range(60):  # similar by the passage only, each with a chain of near copies
+        words = passage + [f"w{rng.randrange(9**6)}" for _ in range(rng.choice([6, 14, 30]))]
+        for _ in range(3):
+            texts.append(" ".join(words))
+            words[rng.randrange(40, len(words))] = f"z{rng.randrange(9**6)}"
+    frame = docs(spark, texts)
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame, 5, 0.8).collect())
+    assert got == brute_kept(list(enumerate(texts))) and 60 <= len(got) < 180
