@@ -142,6 +142,39 @@ def test_equal_texts_stay_together_where_balance_allows(spark):
     assert sum(len(g) > 1 for g in groups.values()) <= 7
 
 
+def test_rows_that_repeat_id_and_text_are_parted(spark):
+    for text in ("fourteen bytes", None):
+        frame = spark.createDataFrame([(7, text, "en")] * 1000 + [(None, text, None)] * 1000, "doc_id long, text string, lang string").repartition(3)
+        got = sharding.shard_table(frame, 8).collect()
+        rows = [sum(r["shard"] == k for r in got) for k in range(8)]
+        assert sum(rows) == 2000 and max(rows) - min(rows) <= 5
+        assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(n)) for k, n in enumerate(rows))
+
+
+def test_a_node_splits_its_widest_dimension_at_the_weighted_median(spark):
+    rng = random.Random(8)
+    points = [(rng.randrange(65536), rng.randrange(20000), rng.choice([1, 3, 90])) for _ in range(3000)]
+    rows = [(i, s, rng.randrange(65536), 0, i % 65536, 0, 0, x, y) for i, (x, y, s) in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id int, size long, h0 int, h1 int, d0 int, u0 int, u1 int, c0 int, c1 int")
+    got = {r["id"]: r["node"] for r in sharding.kd_leaves(frame, 2, 4).collect()}
+
+    def leaves(ids, first, k):
+        if k == 1:
+            assert {got[i] for i in ids} == {first}
+            return
+        spread = [max(points[i][d] for i in ids) - min(points[i][d] for i in ids) for d in (0, 1)]
+        d = spread.index(max(spread))
+        left = [i for i in ids if got[i] < first + k // 2]
+        right = [i for i in ids if got[i] >= first + k // 2]
+        assert max(points[i][d] for i in left) <= min(points[i][d] for i in right)
+        total = sum(points[i][2] for i in ids)
+        assert abs(sum(points[i][2] for i in left) - total * (k // 2) / k) <= max(90, 0.002 * total)
+        leaves(left, first, k // 2)
+        leaves(right, first + k // 2, k - k // 2)
+
+    leaves(range(len(rows)), 0, 4)
+
+
 def test_few_or_no_rows_and_target_bytes(spark):
     frame = spark.createDataFrame([(i, "abc", "en") for i in range(3)], "doc_id long, text string, lang string")
     assert sorted(r["slot"] for r in sharding.shard_table(frame, 1).collect()) == [0, 1, 2]
@@ -281,9 +314,10 @@ def brute_components(rows):
     return sorted((d, f"{k:016x}", least[root[k]]) for k in keys for d in prints[k])
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 8])
-def test_simhash_equals_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, hot", [(simhash.TILE, simhash.HOT), (8, simhash.HOT), (8, 3)])
+def test_simhash_equals_brute_force(spark, monkeypatch, tile, hot):
     monkeypatch.setattr(simhash.link_edges, "__defaults__", (tile,))
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(12)
     base = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([40, 300]))) for _ in range(25)]
     texts = list(base)
@@ -358,6 +392,8 @@ def test_queries_return_a_row_per_row(spark):
 
 
 def test_pipeline_stages_take_effect(spark):
+    from tests.llm.test_near_duplicates import brute_kept
+
     frame = session.table(spark, TESTDATA, "documents")
     columns, seen = frame.columns, [{r["doc_id"]: r["text"] for r in frame.collect()}]
     model = toxicity.fit(frame, session.table(spark, TESTDATA, "labels"))
@@ -369,7 +405,7 @@ def test_pipeline_stages_take_effect(spark):
         assert all(seen[0][d] == t for d, t in seen[-1]), name
     ids = [set(seen[0])] + [{d for d, _ in s} for s in seen[1:]]
     assert ids[1] == ids[0] - toxic
-    assert ids[2] == {c for *_, c in brute_components(seen[1])}
+    assert ids[2] == set(brute_kept(seen[1]))
     from tests.llm.test_filters import brute_contained
 
     items = [(r["item_id"], r["text"]) for r in session.table(spark, TESTDATA, "benchmark").collect()]
