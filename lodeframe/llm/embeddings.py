@@ -5,15 +5,16 @@ axes (fitted on a bounded sample; the fit only steers the pruning) and cut into
 ranges of the first axis of at most BLOCK classes; a range that ties keep larger is
 cut by hash.  Linked unit vectors differ by at most sqrt(2 - 2t) along any axis, so
 only pairs of ranges that near each other meet, one task per pair; the driver knows
-one row per range.  Inside, tiles accumulate
-the products of the leading axes; with the product of the suffix norms this bounds
-the cosine, and pairs below the threshold stop there.  The rest is verified by the
-cosine of the original vectors in double precision.  A task reports links as counts
-per class and a spanning forest, never as pairs.
+one row per range.  Inside, tiles accumulate the products of the leading axes, then
+of twice as many, and so on; after each step the product of the suffix norms bounds
+what is left of the cosine, and pairs that cannot reach the threshold stop.  The rest
+is verified by the cosine of the original vectors.  All of it is in double precision;
+float vectors travel as floats, which loses nothing.  A task reports links as counts per
+class and a spanning forest, never as pairs.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite
 components links with nothing: no links, itself as component.  Vectors of different
-length never link.  A null vec_id keeps its row and names no component unless alone.
+length never link; very long ones come in smaller blocks.  A null vec_id keeps its row and names no component unless alone.
 Repeated rows are vectors of their own and link.  Extra columns are ignored; an
 empty table gives no rows.
 """
@@ -31,8 +32,10 @@ from lodeframe.llm.graph import components, local_labels
 from lodeframe.llm.session import ready
 
 THRESHOLD = 0.9
-#: Classes in a range of the first axis.
-BLOCK = 8_192
+#: Classes in a range of the first axis, at most, and components of all of its vectors.
+BLOCK, BLOCK_VALUES = 32_768, 1 << 21
+#: Least classes in a range that is made smaller to keep all cores busy.
+LEAST_BLOCK = 512
 #: Vectors of a tile side, axes accumulated first, vectors the rotation is fitted on.
 TILE = 1_024
 LEADING = 16
@@ -60,8 +63,12 @@ def compare(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray, weight_a: np.
     b, weight_b = (a, weight_a) if own else (b, weight_b)
     ra, rb = a @ axes, b @ axes
     order_a, order_b = np.argsort(ra[:, 0], kind="stable"), np.argsort(rb[:, 0], kind="stable")
-    k = min(LEADING, axes.shape[1])
-    tail_a, tail_b = (np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0)) for r in (ra, rb))
+    # places where the accumulation is looked at, and what is left of each vector there
+    dim = axes.shape[1]
+    stops = [min(LEADING, dim)]
+    while stops[-1] < dim:
+        stops.append(min(2 * stops[-1], dim))
+    tails_a, tails_b = ([np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0)) for k in stops] for r in (ra, rb))
     reach = sqrt(max(0.0, 2 - 2 * threshold)) + _MARGIN
     links_a, links_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
     shift = 0 if own else len(a)
@@ -72,14 +79,19 @@ def compare(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray, weight_a: np.
             y = order_b[j : j + TILE]
             if ra[x[0], 0] - rb[y[-1], 0] > reach or rb[y[0], 0] - ra[x[-1], 0] > reach:
                 continue
-            bound = ra[x, :k] @ rb[y, :k].T
-            bound += np.outer(tail_a[x], tail_b[y])
-            p, q = np.nonzero(bound >= threshold - _MARGIN)
-            p, q = x[p], y[q]
+            k = stops[0]
+            sums = ra[x, :k] @ rb[y, :k].T
+            p, q = np.nonzero(sums + np.outer(tails_a[0][x], tails_b[0][y]) >= threshold - _MARGIN)
+            sums, p, q = sums[p, q], x[p], y[q]
             if own and i == j:
-                p, q = p[p < q], q[p < q]
+                once = p < q
+                sums, p, q = sums[once], p[once], q[once]
             for at in range(0, len(p), 1 << 16):
-                u, v = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                u, v, total = p[at : at + (1 << 16)], q[at : at + (1 << 16)], sums[at : at + (1 << 16)]
+                for low, high, ta, tb in zip(stops, stops[1:], tails_a[1:], tails_b[1:]):
+                    total = total + np.einsum("ij,ij->i", ra[u, low:high], rb[v, low:high])
+                    live = total + ta[u] * tb[v] >= threshold - _MARGIN
+                    u, v, total = u[live], v[live], total[live]
                 near = np.einsum("ij,ij->i", a[u], b[v]) >= threshold
                 u, v = u[near], v[near]
                 links_a += np.bincount(u, weights=weight_b[v], minlength=len(a)).astype(np.int64)
@@ -137,9 +149,14 @@ def _pair_task(axes_of: dict[int, np.ndarray], threshold: float):
 
 
 def link_classes(classes: DataFrame, total: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """class_id, links, to over classes (class_id, n, dim, vector): partial link counts and forest edges."""
+    """class_id, links, to over classes (class_id, n, dim, vector): partial link counts and forest edges.
+
+    With b ranges there are up to b (b + 1) / 2 tasks: small tables get enough ranges for every core.
+    """
     spark = classes.sparkSession
     widest = classes.agg(F.max("dim")).first()[0] or 1
+    ranges_for_cores = ceil(2 * sqrt(spark.sparkContext.defaultParallelism))
+    block = max(1, min(block, BLOCK_VALUES // widest, max(LEAST_BLOCK, ceil(total / ranges_for_cores))))
     size = max(256, min(SAMPLE, SAMPLE_VALUES // widest))
     sample = classes.select("dim", "vector").sample(min(1.0, size / max(1, total)), seed=7).limit(2 * size).collect()
     axes_of: dict[int, np.ndarray] = {}
@@ -165,7 +182,7 @@ def link_classes(classes: DataFrame, total: int, threshold: float = THRESHOLD, b
                     lane[mine] = np.searchsorted([hi for e, _, _, hi in edges if e == d][:-1], axis[mine], side="right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(axis), pa.array(lane)], names=[*batch.schema.names, "axis", "lane"])
 
-    placed = classes.select("class_id", "n", "dim", "vector").mapInArrow(place, "class_id long, n long, dim int, vector array<float>, axis double, lane int").checkpoint()
+    placed = classes.select("class_id", "n", "dim", "vector").mapInArrow(place, f"class_id long, n long, dim int, vector {classes.schema['vector'].dataType.simpleString()}, axis double, lane int").checkpoint()
     ranges = placed.groupBy("dim", "lane").agg(F.count("*").alias("rows"), F.min("axis").alias("lo"), F.max("axis").alias("hi")).collect()
     ranges.sort(key=lambda r: (r["dim"], r["lane"]))
     blocks = [(r["dim"], r["lane"], s, ceil(r["rows"] / block), r["lo"], r["hi"]) for r in ranges for s in range(ceil(r["rows"] / block))]
@@ -197,7 +214,8 @@ def link_classes(classes: DataFrame, total: int, threshold: float = THRESHOLD, b
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     ready(vectors.sparkSession)
-    vector = F.col("embedding").cast("array<float>")
+    floats = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    vector = F.col("embedding") if floats else F.col("embedding").cast("array<double>")
     fine = F.coalesce(
         (F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0), F.lit(False)
     )
@@ -205,12 +223,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     grouped = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least_id"))
     classes = grouped.withColumn("class_id", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")).checkpoint()
     found = link_classes(classes, classes.count(), threshold).checkpoint()
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
+    links = found.groupBy("class_id").agg(F.sum("links").alias("links")).checkpoint()
     reach = components(found.select(F.col("class_id").alias("a"), F.col("to").alias("b")))
     labelled = classes.join(links, "class_id", "left").join(reach.withColumnRenamed("node", "class_id"), "class_id", "left")
     labelled = labelled.select("class_id", "vector", "least_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component")).checkpoint()
-    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(least, "component").select("vector", "n_links", "component_id")
+    # checkpointed, so that AQE can split a large component and a frequent vector in the joins
+    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id")).checkpoint()
+    named = labelled.join(least, "component").select("vector", "n_links", "component_id").checkpoint()
     out = rows.join(named, "vector", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

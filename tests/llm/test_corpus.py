@@ -381,6 +381,19 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     assert embeddings.near_duplicates(frame.filter("false")).count() == 0
 
 
+def test_embeddings_are_compared_in_double_precision(spark):
+    close = [1.0, 1e-9, 0.0]
+    vectors = [[1e39, 1e39, 0.0], [1e39, 1e39, 0.0], [2e39, 2e39, 0.0], [1e-50, 0.0, 0.0], close, [1e300, 0.0, 1e290], [0.0, 0.0, 1e-320], [0.0, 0.0, 5.0], [0.0, 0.0, 0.0]]
+    # two doubles that are one float, on both sides of the threshold
+    t = embeddings.THRESHOLD
+    vectors += [[0.0, -1.0, 0.0], [0.0, -t, (1 - t * t) ** 0.5 * (1 - 1e-12)], [0.0, -t, (1 - t * t) ** 0.5 * (1 + 1e-12)]]
+    rows = list(enumerate(vectors))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(9)] == [(2, 0)] * 3 + [(2, 3)] * 3 + [(1, 6)] * 2 + [(0, 8)]
+    assert got[9] == (1, 9) and got[10] == (2, 9) and got[11] == (1, 9)
+
+
 # ---- queries and pipeline
 
 
