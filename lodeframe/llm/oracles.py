@@ -65,21 +65,22 @@ _ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss]
 
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-{_places('a', _ASSIGN)}, {_places('c', 'AKIA[A-Z0-9]+')}, {_places('x', '[0-9a-f]+')}, {_places('y', '[A-Za-z0-9+/_=-]{20,}')},
+{_places('a', _ASSIGN)}, {_places('c', 'AKIA[A-Z0-9]+')}, {_places('x', '[0-9a-f]+')}, {_places('y', '[A-Za-z0-9+/_-]{20,}={0,2}')},
 base AS (
   SELECT r, 0 AS kind, start, start + length(hit) AS stop FROM a WHERE length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 8
   UNION ALL SELECT r, 1, start, start + length(hit) FROM c WHERE length(hit) >= 16
   UNION ALL SELECT r, 2, start, start + length(hit) FROM x WHERE length(hit) >= 32),
-cand AS (SELECT r, start, hit, CASE WHEN regexp_full_match(hit, '[0-9a-f]+') THEN 3.2 ELSE 3.9 END::DOUBLE AS bits, row_number() OVER () AS n FROM y
-  WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
+cand AS (SELECT r, start, hit, CASE WHEN regexp_full_match(hit, '[0-9]+') THEN 3.2 WHEN regexp_full_match(hit, '[0-9a-f]+') THEN 3.2 WHEN regexp_full_match(hit, '[0-9A-F]+') THEN 3.2
+    WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN 3.5 WHEN regexp_full_match(hit, '[A-Za-z]+') THEN 4.0 ELSE 3.9 END::DOUBLE AS bits, row_number() OVER () AS n FROM y
+  WHERE (regexp_matches(hit, '[0-9]') OR regexp_full_match(hit, '[A-Za-z]+')) AND (regexp_matches(hit, '[A-Za-z]') OR regexp_full_match(hit, '[0-9]+'))
     AND NOT regexp_full_match(hit, '[0-9a-fA-F]{{8}}-([0-9a-fA-F]{{4}}-){{3}}[0-9a-fA-F]{{12}}')
-    AND NOT regexp_full_match(hit, '/?([A-Za-z_-]+/)+[A-Za-z0-9_-]{{0,19}}')
-    AND NOT regexp_matches(lower(hit), 'example|sample|placeholder|0123456789|abcdefghij|xxxxxx')),
-win AS (SELECT n, r, start, bits, e, string_split(hit[e - 19:e], '') AS w FROM (SELECT *, unnest(range(20, length(hit) + 1)) AS e FROM cand)),
-hot AS (SELECT n, r, start, e FROM win
+    AND NOT regexp_full_match(hit, '/?([A-Za-z_-]+/)+[A-Za-z0-9_-]{{0,19}}')),
+win AS (SELECT n, r, start, bits, hit, e, string_split(hit[e - 19:e], '') AS w FROM (SELECT *, unnest(range(20, length(hit) + 1)) AS e FROM cand)),
+hot AS (SELECT n, r, start, hit, e FROM win
   WHERE log2(20) - list_sum(list_transform(list_distinct(w), lambda c: len(list_filter(w, lambda o: o = c)) * log2(len(list_filter(w, lambda o: o = c))))) / 20 >= bits - 1e-9),
 isle AS (SELECT *, sum(CASE WHEN e - before <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY e) AS isle FROM (SELECT *, lag(e) OVER (PARTITION BY n ORDER BY e) AS before FROM hot)),
-extra AS (SELECT r, 3 AS kind, start + min(e) - 20 AS start, start + max(e) AS stop FROM isle GROUP BY n, r, start, isle),
+extra AS (SELECT r, 3 AS kind, start + min(e) - 20 AS start, start + max(e) AS stop FROM isle GROUP BY n, r, start, hit, isle
+  HAVING NOT regexp_matches(lower(hit[min(e) - 19:max(e)]), 'example|sample|placeholder|0123456789|abcdefghij|xxxxxx')),
 named AS (SELECT r, kind, start, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || stop AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM extra)),
 told AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS x, count(*) FILTER (kind = 3) AS e,
   coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(s, ',' ORDER BY start, kind) AS spans FROM named GROUP BY r)

@@ -1,13 +1,16 @@
 """Secret scan: fixed patterns plus sliding-window Shannon entropy, in SQL functions only.
 
 Base kinds are found by pattern.  The entropy kind looks at candidate strings (long
-runs of token characters).  Each character class that a candidate fits - hex, or
-the base64 alphabet - has its own window threshold in bits.  A window slides over
-the candidate with a count per symbol that is raised for the entering and lowered
-for the leaving character, so that the running sum of c*log2(c) gives the entropy
-without a recount; merged windows at or above the threshold become one span.
-Candidates that an allow pattern fits (words, numbers, paths, uuids, repeated or
-sequential fillers) are suppressed before.
+runs of token characters).  The first character class that a candidate fits - digits,
+hex of lower, upper or mixed case, letters, the base64 alphabet - has its own window
+threshold in bits.  A window slides over the candidate with a count per symbol that is
+raised for the entering and lowered for the leaving character, so that the running sum
+of c*log2(c) gives the entropy without a recount; merged windows at or above the
+threshold become one span.  Candidates that an allow pattern fits (words, paths, dates,
+uuids, repeated symbols) are suppressed before, and spans that hold a known filler after.
+
+Folds over matches and characters run in pieces of PIECE, so that their cost is linear
+in the text for all that a row may hold.
 
 Defined results: null texts are empty: no spans, hash of the empty string.  Spans
 are code points, end exclusive.  Very long texts and candidates are scanned whole.
@@ -16,6 +19,7 @@ Repeated rows stay; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -30,22 +34,45 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
+#: Items of a fold whose results are copied when another is found.
+PIECE = 256
 #: Runs that are scanned for entropy.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Character class -> alphabet and least bits of a window of 20.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Character class -> alphabet and least bits of a window of 20; the first that holds all of a candidate is its class.
 CLASSES = {
-    "hex": ("0123456789abcdef", 3.2),
-    "base64": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.9),
+    "decimal": (_DIGITS, 3.2),
+    "hex": (_DIGITS + "abcdef", 3.2),
+    "upper hex": (_DIGITS + "ABCDEF", 3.2),
+    "mixed hex": (_DIGITS + "abcdefABCDEF", 3.5),
+    "letters": (_LOWER + _LOWER.upper(), 4.0),
+    "base64": (_DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 3.9),
 }
-#: Candidates never reported: no digit beside letters, a uuid, slash paths of words, one symbol repeated, known fillers.
+#: Candidates never reported: no digit or no letter beside other signs, a uuid, slash paths of words, one symbol repeated.
 ALLOW = (
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
+    r"^[^0-9]*[^0-9A-Za-z][^0-9]*$",
+    r"^[^A-Za-z]*[^0-9A-Za-z][^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]{0,19}$",
     r"^(.)\1*$",
-    r"(?i)example|sample|placeholder|0123456789|abcdefghij|xxxxxx",
 )
+#: Spans never reported hold one of these.
+FILLER = r"(?i)example|sample|placeholder|0123456789|abcdefghij|xxxxxx"
+
+
+def _fold(items: Column, zero: list[Column], found: str, step: Callable[[Column, Column], Column], empty: Column) -> Column:
+    """What step(state, item) appends to the state's `found`, an array of the type named, over all items.
+
+    Pieces keep the arrays that are copied short; empty is the result without items.
+    """
+    none = F.array().cast(found).alias("found")
+
+    def run(items):  # a variable of a lambda, so that the items are made once
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int")), lambda i: F.slice(items, i * PIECE + 1, F.lit(PIECE)))
+        states = F.aggregate(pieces, F.array(F.struct(*zero, none)), lambda told, piece: F.concat(told, F.array(F.aggregate(piece, F.element_at(told, -1).withField("found", none), step))))
+        return F.when(F.size(items) > 0, F.flatten(F.transform(states, lambda s: s["found"]))).otherwise(empty)
+
+    return F.get(F.transform(F.array(items), run), F.lit(0))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -56,16 +83,15 @@ def _matches(text: Column, pattern: str) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
+    pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    kind = "array<struct<start:int,stop:int,hit:string>>"
 
     def step(state, x):
         start = state["at"] + F.length(x["gap"])
         stop = start + F.length(x["hit"])
         return F.struct(stop.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit")))).alias("found"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(F.size(hits) > 0, found).otherwise(none)
+    return _fold(pairs, [F.lit(0).alias("at")], kind, step, F.array().cast(kind))
 
 
 def _weight(count: Column) -> Column:
@@ -73,13 +99,13 @@ def _weight(count: Column) -> Column:
     return F.when(count <= 1, F.lit(0.0)).otherwise(count * F.log2(count.cast("double")))
 
 
-def _window_spans(run: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
+def _window_spans(run: Column, alphabet: Column, bits: Column, window: int = WINDOW) -> Column:
     """Merged spans (from the run's start) of windows with at least `bits` of entropy."""
     spans = "array<struct<start:int,stop:int>>"
-    places = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(alphabet), c))
-    # 0 marks a place before the run; symbols count from 1
-    steps = F.zip_with(places, F.concat(F.array_repeat(F.lit(0), window), places), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
-    steps = F.slice(steps, 1, F.size(places))
+    places = F.transform(F.split(run, ""), lambda c: F.instr(alphabet, c))
+    # 0 marks a place before the run, and one more item after it closes the last span; symbols count from 1
+    both = F.zip_with(F.array_append(places, F.lit(-1)), F.concat(F.array_repeat(F.lit(0), window), places), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+    steps = F.filter(both, lambda x: x["new"].isNotNull())
 
     def moved(counts, at, by):
         return F.transform(counts, lambda c, i: F.when(i == at, c + by).otherwise(c))
@@ -93,29 +119,30 @@ def _window_spans(run: Column, alphabet: str, bits: float, window: int = WINDOW)
         counts = F.when(x["old"] > 0, moved(counts, x["old"], -1)).otherwise(counts)
         at = state["at"] + 1
         hot = (at >= window) & (F.lit(log2(window)) - total / window >= bits - 1e-9)
-        last = F.element_at(state["found"], -1)
-        joined = F.when(
-            F.size(state["found"]) > 0,
-            F.when(last["stop"] >= at - window, F.concat(F.slice(state["found"], 1, F.size(state["found"]) - 1), F.array(F.struct(last["start"].alias("start"), at.alias("stop"))))).otherwise(
-                F.concat(state["found"], F.array(F.struct((at - window).alias("start"), at.alias("stop"))))
-            ),
-        ).otherwise(F.array(F.struct((at - window).alias("start"), at.alias("stop"))))
-        return F.struct(counts.alias("counts"), total.alias("total"), at.alias("at"), F.when(hot, joined).otherwise(state["found"]).alias("found"))
-
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.array().cast(spans).alias("found")
-    )
-    return F.aggregate(steps, zero, step, lambda s: s["found"])
+        # an open span ends where the next hot window starts behind it, or with the run
+        is_open = state["stop"] > 0
+        last = x["new"] < 0
+        apart = hot & (state["stop"] < at - window)
+        closes = is_open & (last | F.coalesce(apart, F.lit(False)))
+        found = F.when(closes, F.concat(state["found"], F.array(F.struct(state["start"].alias("start"), state["stop"].alias("stop"))))).otherwise(state["found"])
+        start = F.when(hot & (~is_open | apart), at - window).otherwise(state["start"])
+        return F.when(last, F.struct(state["counts"].alias("counts"), state["total"].alias("total"), at.alias("at"), state["start"].alias("start"), state["stop"].alias("stop"), found.alias("found"))).otherwise(
+            F.struct(counts.alias("counts"), total.alias("total"), at.alias("at"), start.alias("start"), F.when(hot, at).otherwise(state["stop"]).alias("stop"), found.alias("found"))
+        )
+
+    zero = [F.array_repeat(F.lit(0), F.length(alphabet) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("stop")]
+    return _fold(steps, zero, spans, step, F.array().cast(spans))
 
 
 def _entropy_spans(text: Column) -> Column:
     found = _matches(text, CANDIDATE)
     fine = F.filter(found, lambda m: ~F.exists(F.array(*[F.lit(p) for p in ALLOW]), lambda p: F.regexp(m["hit"], p)))
-    is_hex = lambda m: F.regexp(m["hit"], F.lit("^[0-9a-f]+$"))
+    classes = F.array(*[F.struct(F.lit(alphabet).alias("alphabet"), F.lit(bits).alias("bits")) for alphabet, bits in CLASSES.values()])
 
     def spans(m):
-        moved = lambda got: F.transform(got, lambda s: F.struct((m["start"] + s["start"]).alias("start"), (m["start"] + s["stop"]).alias("stop")))
-        return F.when(is_hex(m), moved(_window_spans(m["hit"], *CLASSES["hex"]))).otherwise(moved(_window_spans(m["hit"], *CLASSES["base64"])))
+        own = F.transform(F.slice(F.filter(classes, lambda c: F.length(F.call_function("translate", m["hit"], c["alphabet"], F.lit(""))) == 0), 1, 1), lambda c: _window_spans(m["hit"], c["alphabet"], c["bits"]))
+        told = F.filter(F.flatten(own), lambda s: ~F.regexp(F.substring(m["hit"], s["start"] + 1, s["stop"] - s["start"]), F.lit(FILLER)))
+        return F.transform(told, lambda s: F.struct((m["start"] + s["start"]).alias("start"), (m["start"] + s["stop"]).alias("stop")))
 
     return F.flatten(F.transform(fine, spans))
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -197,7 +198,7 @@ def brute_secrets(text):
         run = m[0]
         if any(re.search(p, run) for p in secrets.ALLOW):
             continue
-        _, bits = secrets.CLASSES["hex" if re.fullmatch("[0-9a-f]+", run) else "base64"]
+        bits = next(bits for alphabet, bits in secrets.CLASSES.values() if set(run) <= set(alphabet))
         merged = []
         for end in range(20, len(run) + 1):
             w = run[end - 20 : end]
@@ -206,7 +207,7 @@ def brute_secrets(text):
                     merged[-1][1] = end
                 else:
                     merged.append([end - 20, end])
-        extra += [(m.start() + a, 3, m.start() + b) for a, b in merged]
+        extra += [(m.start() + a, 3, m.start() + b) for a, b in merged if not re.search(secrets.FILLER, run[a:b])]
     write = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
     return [*(sum(k == i for _, k, _ in base) for i in range(3)), hashlib.sha256(write(base).encode()).hexdigest(), write(base + extra)]
 
@@ -225,6 +226,22 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(frame.filter("false")).count() == 0 and secrets.scan(frame.unionByName(frame)).count() == 2 * len(texts)
 
 
+def test_secrets_of_every_class_and_of_long_texts(spark):
+    rng = random.Random(12)
+    random_of = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    for name, least in (("hex", 0.95), ("upper hex", 0.95), ("mixed hex", 0.8), ("base64", 0.8), ("letters", 0.5)):
+        frame = docs(spark, [f"see {random_of(secrets.CLASSES[name][0].strip('='), 40)} there" for _ in range(300)])
+        assert secrets.scan(frame).filter("n_entropy > 0").count() >= 300 * least, name
+    words = docs(spark, ["internationalization_of_configurations", "a/path/of/words/and/more", "2024-01-01/2024-12-31-0001", "x" * 40, "sample_key=" + random_of("abcdef0123456789", 40)])
+    assert [r["n_entropy"] for r in secrets.scan(words).orderBy("doc_id").collect()] == [0, 0, 0, 0, 1]
+    many = " ".join(f"token={random_of('abcdefgh', 8)}" for _ in range(100_000))
+    run = random_of("0123456789abcdef", 60_000)
+    began = time.perf_counter()
+    got = secrets.scan(docs(spark, [many, run])).orderBy("doc_id").collect()
+    assert time.perf_counter() - began < 60
+    assert got[0]["n_assign"] == 100_000 and got[0]["spans"].endswith(f"assign:{len(many) - 14}:{len(many)}") and got[1]["n_hex"] == 1
+
+
 def test_op10_equals_brute_force(spark):
     got = {r["doc_id"]: [r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]] for r in queries.op10_secrets(spark, TESTDATA).collect()}
     assert got == {r["doc_id"]: brute_secrets(r["text"]) for r in session.table(spark, TESTDATA, "documents").select("doc_id", "text").collect()}
