@@ -2,14 +2,16 @@
 
 Features are hashed character n-grams (3 to 6 code points of the lower-cased whole
 text), present or absent.  Over the training rows, each feature's document counts
-by class give the naive Bayes log-count ratio r; the features with the strongest
-class difference enter a logistic regression on r * presence, fitted by L-BFGS.
+by class give the naive Bayes log-count ratio r; the features seen at least three
+times whose presence depends on the class (chi-square of at least `least_chi`) enter a
+logistic regression on r * presence, fitted by L-BFGS.  Its l2 penalty is the one of
+`penalties` with the least log loss in cross-validation inside the training rows.
 
-Bounds, all parameters of fit(): at most `max_rows` labelled rows are learnt from
-(a deterministic sample by hash of doc_id when there are more) and `max_features`
-features are kept, so what reaches the driver does not grow with the corpus.
+Bound, a parameter of fit(): at most `max_rows` labelled rows are learnt from (a
+deterministic sample by hash of doc_id when there are more), so what reaches the driver
+does not grow with the corpus; features are at most 2^HASH_BITS, whatever the texts.
 
-Defined results: null and empty texts get the score of no features.  Labels that
+Defined results: very long texts count and score whole.  Null and empty texts get the score of no features.  Labels that
 are null or have a null doc_id are ignored; of repeated labels for a document the
 highest counts.  Without both classes among the training rows the score is the
 smoothed base rate.  Repeated rows stay; extra columns are ignored (score) or kept
@@ -18,6 +20,7 @@ smoothed base rate.  Repeated rows stay; extra columns are ignored (score) or ke
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,10 @@ from lodeframe.sources.spread import spread
 ORDERS = (3, 4, 5, 6)
 HASH_BITS = 20
 MAX_ROWS = 12_000
-MAX_FEATURES = 8_192
+LEAST_CHI = 20.0
+PENALTIES = (1e-2, 1e-3, 1e-4)
+#: Parts of the cross-validation, and rows that it uses at most.
+FOLDS, FOLD_ROWS = 3, 4_000
 THRESHOLD = 0.3
 HELD_OUT_REMAINDER = 2
 
@@ -136,6 +142,23 @@ def _fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, l2:
     return theta[:k], float(theta[k])
 
 
+def _penalty(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalties: tuple[float, ...]) -> float:
+    """The penalty of least log loss over FOLDS parts of the rows (at most FOLD_ROWS, which come in a fixed order)."""
+    part = np.arange(len(rows[:FOLD_ROWS])) % FOLDS
+    if len(penalties) == 1 or min(len(set(y[: len(part)][part != k])) for k in range(FOLDS)) < 2:
+        return penalties[0]
+    losses = []
+    for l2 in penalties:
+        loss = 0.0
+        for k in range(FOLDS):
+            told, asked = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            weights, bias = _fit_logistic([rows[i] for i in told], y[told], ratios, l2, steps=40)
+            z = np.array([(weights * ratios)[rows[i]].sum() for i in asked]) + bias
+            loss += (np.logaddexp(0, z) - y[asked] * z).sum()
+        losses.append(loss)
+    return penalties[int(np.argmin(losses))]
+
+
 @dataclass
 class ToxicityModel:
     kept: np.ndarray
@@ -160,7 +183,7 @@ class ToxicityModel:
         return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, alpha: float = 1.0, l2: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, least_chi: float = LEAST_CHI, alpha: float = 1.0, penalties: tuple[float, ...] = PENALTIES) -> ToxicityModel:
     """Learn from labels (doc_id, toxic) outside the held-out fold, joined to docs (doc_id, text)."""
     spark = ready(docs.sparkSession)
     marked = (
@@ -183,9 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
     mean = (F.col("toxic") + F.col("clean")) / F.lit(float(p + q))
     gap = F.col("toxic") / F.lit(float(p)) - F.col("clean") / F.lit(float(q))
-    strength = gap * gap / F.greatest(mean * (1 - mean), F.lit(1.0 / (p + q)))
-    top = counts.filter("toxic + clean >= 3").orderBy(strength.desc(), "bucket").limit(max_features).collect()
-    top.sort(key=lambda r: r["bucket"])
+    chi = gap * gap / F.greatest(mean * (1 - mean), F.lit(1.0 / (p + q))) * F.lit(p * q / (p + q))
+    top = sorted(counts.filter("toxic + clean >= 3").filter(chi >= least_chi).collect(), key=lambda r: r["bucket"])
     kept = np.array([r["bucket"] for r in top], dtype=np.int64)
     toxic, clean = (np.array([r[c] for r in top], dtype=float) for c in ("toxic", "clean"))
     ratios = np.log((toxic + alpha) / (sums[2] + alpha * sums[4])) - np.log((clean + alpha) / (sums[3] + alpha * sums[4]))
@@ -197,9 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.binary())], names=["doc_id", "toxic", "found"])
 
     rows = train.select("doc_id", "toxic", "text").mapInArrow(present, "doc_id long, toxic boolean, found binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("found").alias("found")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     y = np.array([r["toxic"] for r in rows], dtype=float)
-    weights, bias = _fit_logistic([np.frombuffer(bytes(r["found"]), dtype="<i4") for r in rows], y, ratios, l2)
+    found = [np.frombuffer(bytes(r["found"]), dtype="<i4") for r in rows]
+    weights, bias = _fit_logistic(found, y, ratios, _penalty(found, y, ratios, penalties))
     return ToxicityModel(kept, weights * ratios, bias)
 
 

@@ -288,6 +288,53 @@ def test_toxicity_learns_from_the_training_fold_only(spark):
     assert toxicity.score(frame, nothing).count() == len(rows)
 
 
+def test_toxic_documents_of_the_held_out_fold_are_found(spark):
+    found = {}
+    for sf in ("sf0.01", "sf0.1"):
+        where = TESTDATA.replace("sf0.001", sf)
+        got = queries.op6_toxicity(spark, where).filter("held_out").join(session.table(spark, where, "labels").select("doc_id", "toxic"), "doc_id")
+        found[sf] = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    big, small = found["sf0.1"], found["sf0.01"]
+    assert big[1, 1] / (big[1, 1] + big[1, 0]) >= 0.9 and big[1, 1] / (big[1, 1] + big.get((0, 1), 0)) >= 0.9
+    # five of the 14 hold none of the words that the others differ by
+    assert small[1, 1] >= 9 and small.get((0, 1), 0) <= 1
+
+
+def test_the_fit_equals_a_plain_one(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["vile", "nice", "tree", "road", "house"][i % 3 == 0 and j % 2 :]) for j in range(9)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels, penalties=(1e-3,))
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    sets = [set(np.concatenate(toxicity.buckets(t)).tolist()) for t in texts]
+    y = np.array(["vile" in texts[i] for i in train], dtype=float)
+    p, q = y.sum(), len(y) - y.sum()
+    count = {}
+    for i, bad in zip(train, y):
+        for b in sets[i]:
+            count.setdefault(b, [0, 0])[0 if bad else 1] += 1
+    sums = [sum(c[k] for c in count.values()) for k in (0, 1)]
+    ratio = {}
+    for b, (t, c) in count.items():
+        mean = (t + c) / len(y)
+        if t + c >= 3 and (t / p - c / q) ** 2 / max(mean * (1 - mean), 1 / len(y)) * p * q / len(y) >= toxicity.LEAST_CHI:
+            ratio[b] = np.log((t + 1) / (sums[0] + len(count))) - np.log((c + 1) / (sums[1] + len(count)))
+    kept = sorted(ratio)
+    assert model.kept.tolist() == kept
+    x = np.array([[ratio[b] * (b in sets[i]) for b in kept] for i in train])
+    w, bias = np.zeros(len(kept)), 0.0
+    for _ in range(60):  # Newton steps on the same loss
+        z = 1 / (1 + np.exp(-(x @ w + bias)))
+        full = np.column_stack([x, np.ones(len(y))])
+        grad = full.T @ (z - y) / len(y) + np.append(1e-3 * w, 0)
+        hess = (full * (z * (1 - z))[:, None]).T @ full / len(y) + np.diag([1e-3] * len(kept) + [1e-9])
+        step = np.linalg.solve(hess, grad)
+        w, bias = w - step[:-1], bias - step[-1]
+    want = 1 / (1 + np.exp(-(x @ w + bias)))
+    got = [model.score_text(texts[i]) for i in train]
+    assert np.abs(np.array(got) - want).max() < 0.02
+
+
 # ---- SimHash
 
 
