@@ -75,13 +75,14 @@ class FMIndex:
         self.first = np.searchsorted(text[order], np.arange(sigma + 1))
         self.matrix = WaveletMatrix(text[order - 1], sigma)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges [lo, hi) of equally long patterns (rows), by backward search.
+    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix ranges [lo, hi) of equally long patterns (rows) by backward search, and symbols matched.
 
         A pattern whose range shrinks to one suffix is left at that suffix: it occurs
-        nowhere else, so its matching statistic stays below the pattern's length.
+        nowhere else, and its matching statistic is the number of symbols before that.
         """
         lo, hi = self.first[patterns[:, -1]].copy(), self.first[patterns[:, -1] + 1].copy()
+        matched = (hi - lo > 1).astype(np.int64)
         for step in range(patterns.shape[1] - 2, -1, -1):
             live = np.flatnonzero(hi - lo > 1)
             if not len(live):
@@ -89,4 +90,5 @@ class FMIndex:
             symbols = patterns[live, step]
             a, b = self.matrix.counts_before(symbols, lo[live], hi[live])
             lo[live], hi[live] = self.first[symbols] + a, self.first[symbols] + b
-        return lo, hi
+            matched[live] += hi[live] - lo[live] > 1
+        return lo, hi, matched

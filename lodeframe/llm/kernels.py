@@ -6,6 +6,7 @@ single-byte in UTF-8, so splitting bytes equals splitting code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,11 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
+#: Items of a prefix sum: bounds the memory of texts of any length.
+PIECE = 1 << 20
+
 _U64 = np.uint64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _tables(seed: int) -> tuple[np.ndarray, int]:
@@ -36,7 +41,7 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte values, base**i and base**-i modulo 2**64 for i < n at least."""
     have = _POWERS.get(seed)
     if have is None or len(have[1]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         values, base = _tables(seed)
         inverse = pow(base, -1, 2**64)
 
@@ -45,9 +50,7 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             out[0] = 1
             return np.cumprod(out)
 
-        have = (values, run(base), run(inverse))
-        if size <= 1 << 22:
-            _POWERS[seed] = have
+        have = _POWERS[seed] = (values, run(base), run(inverse))
     return have
 
 
@@ -80,15 +83,20 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, seed: int = 1, lower: bool = False) -> np.ndarray:
-        """64-bit polynomial hash of every word, independent of its place."""
-        n = len(self.data)
-        if not n:
-            return np.zeros(0, dtype=np.uint64)
-        values, power, inverse = _powers(seed, n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        data = _LOWER[self.data] if lower else self.data
-        np.cumsum(values[data] * power[:n], out=sums[1:])
-        return mix64((sums[self.stops] - sums[self.starts]) * inverse[self.starts] + (self.stops - self.starts).astype(np.uint64))
+        """64-bit polynomial hash of every word, independent of its place; bytes are taken PIECE at a time."""
+        out = np.zeros(len(self.starts), dtype=np.uint64)
+        values, power, inverse = _powers(seed, min(PIECE, max(1, len(self.data))))
+        for lo in range(0, len(self.data), PIECE):
+            data = self.data[lo : lo + PIECE]
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(values[_LOWER[data] if lower else data] * power[: len(data)], out=sums[1:])
+            a, b = np.searchsorted(self.starts, (lo, lo + len(data)))
+            starts, stops = self.starts[a:b] - lo, np.minimum(self.stops[a:b] - lo, len(data))
+            out[a:b] = (sums[stops] - sums[starts]) * inverse[starts]
+            if a and self.stops[a - 1] > lo:  # a word that began in an earlier piece
+                rest = int(sums[min(int(self.stops[a - 1]) - lo, len(data))])
+                out[a - 1 : a] += _U64(rest * pow(int(power[1]), lo - int(self.starts[a - 1]), 2**64) % 2**64)
+        return mix64(out + (self.stops - self.starts).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
@@ -108,10 +116,25 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    _, power, inverse = _powers(seed + 2000, len(words))
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * power[: len(words)], out=sums[1:])
-    return mix64((sums[width:] - sums[:-width]) * inverse[:n])
+    _, power, inverse = _powers(seed + 2000, PIECE)
+    out = np.empty(n, dtype=np.uint64)
+    for lo in range(0, n, PIECE - width):
+        part = words[lo : lo + PIECE - 1]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        k = min(PIECE - width, n - lo)
+        out[lo : lo + k] = (sums[width : width + k] - sums[:k]) * inverse[:k]
+    return mix64(out)
+
+
+def word_slices(text: bytes, size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, about `size` bytes at a time."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end].split()
+        at = end
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -9,7 +9,7 @@ rest is verified by Hamming distance.  Posting lists of many fingerprints are po
 again by five positions, and cut into tiles of bounded size; a tile reports a
 spanning forest, not its pairs.
 
-Defined results: null, empty and blank texts have fingerprint zero; it links like
+Defined results: very long texts are hashed in slices.  Null, empty and blank texts have fingerprint zero; it links like
 any other.  A null doc_id keeps its row and never names a component unless all ids
 of the component are null.  Repeated rows stay, each with its result.  Extra
 columns are ignored.  An empty table gives no rows.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import overlap
 from lodeframe.llm.graph import components, local_labels
+from lodeframe.llm.kernels import word_slices
 from lodeframe.llm.session import discard, ready, stored
 from lodeframe.sources.spread import spread
 
@@ -43,23 +44,29 @@ _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of one UTF-8 text."""
-    words = (text or b"").translate(_FOLD).split()
-    if not words:
-        return 0
+def _shingles(words: list[bytes], width: int, seed: int) -> np.ndarray:
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    width = min(width, len(words))
     starts = [0, *(gaps + 1).tolist()]
     stops = [*gaps.tolist(), len(joined)][width - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 8192):
-        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), dtype="<u8", count=len(stops))
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of one UTF-8 text."""
+    ones, total, tail = np.zeros(64, dtype=np.int64), 0, []
+    for words in word_slices((text or b"").translate(_FOLD)):
+        words = tail + words
+        if len(words) >= width:
+            hashes = _shingles(words, width, seed)
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.uint32)
+            total += len(hashes)
+        tail = words[max(0, len(words) - width + 1) :] if width > 1 else []
+    if not total and tail:  # fewer words than the width: the whole sequence
+        ones, total = np.unpackbits(_shingles(tail, len(tail), seed).view(np.uint8), bitorder="little").astype(np.int64), 1
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def _fingerprint_batches(batches):

@@ -7,19 +7,21 @@ row per 13 words.
 
 1. Bundles are aggregated by anchor before anything is searched.  An anchor seen in
    one document only has no repeats.  Equal bundles collapse to their smallest id.
-2. The distinct bundles of anchors that have several go to shards by anchor (those
-   of an anchor with more than HOT bundles by window).  A shard builds a compressed
-   FM-index over their words, taken as runs of STRIDE words at stride STRIDE so that
-   a window is WINDOW / STRIDE symbols; every window of the shard's bundles is
-   streamed through backward search over the wavelet matrix, and the range of
-   suffixes gives the smallest document that holds the window.
+2. The distinct bundles of all other anchors go to shards by anchor.  Those of an
+   anchor with more than HOT bundles go window by window, equal windows merged first.
+   A shard builds a compressed FM-index over their words, taken as runs of STRIDE words
+   at stride STRIDE so that a window is WINDOW / STRIDE symbols.  Every bundle of the
+   shard is streamed through backward search over the wavelet matrix, which gives each
+   position its matching statistic; where it reaches a window, the range of suffixes
+   gives the smallest document that holds it.
 3. Windows found in a smaller document become intervals per document.
 
 No text leaves its document except the distinct bundles of step 2, and no shard
 grows with a group of copies.
 
 Defined results: null, empty and short texts have no windows; nothing is removed and
-the hash is that of the words joined by one space.  Rows with a null doc_id neither
+the hash is that of the words joined by one space.  Very long texts are bundled in
+slices of SLICE words and rewritten in slices too.  Rows with a null doc_id neither
 lose words nor cause losses.  Rows that repeat a doc_id are not smaller than each
 other; each is judged by its own text.  Extra columns are ignored; an empty table
 gives no rows.
@@ -35,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.fmindex import FMIndex
-from lodeframe.llm.kernels import Words, mix64, shingle_hashes, text_chunks, window_hashes, _powers
-from lodeframe.llm.session import ready, stored
+from lodeframe.llm.kernels import Words, _powers, mix64, shingle_hashes, text_chunks, window_hashes, word_slices
+from lodeframe.llm.session import discard, ready, stored
 from lodeframe.sources.spread import spread
 
 WINDOW = 50
@@ -46,7 +48,11 @@ STRIDE = 10
 HOT = 64
 #: Bundles per shard aimed at.
 SHARD_BUNDLES = 20_000
+#: Words of a row that are bundled at once.
+SLICE = 1 << 20
 _PLACE_BITS = np.uint64(24)
+_PIECES = ["window", "anchor", "bundle", "skip", "n", "least_id", "words"]
+_ENTRY = ["window", "anchor", "bundle", "n", "least_id", "words"]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,13 +77,11 @@ def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bundles(words: Words) -> tuple[np.ndarray, ...]:
-    """(row, first window in the row, windows, anchor, bundle hash) of each bundle of the words' rows."""
-    hashes = words.hashes()
+def bundles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, anchor, bundle hash) of each bundle; rows own `counts` of the word hashes, in order."""
     empty = np.zeros(0, dtype=np.int64)
     if len(hashes) < WINDOW:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    counts = np.diff(words.first)
     row = np.repeat(np.arange(len(counts)), counts)
     runs = window_hashes(hashes, ANCHOR)
     pick = _sliding_argmin(runs, WINDOW - ANCHOR + 1)
@@ -92,44 +96,70 @@ def bundles(words: Words) -> tuple[np.ndarray, ...]:
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
     whole = mix64((sums[first + n + WINDOW - 1] - sums[first]) * inverse[first] + n.astype(np.uint64))
-    return row[first], first - words.first[row[first]], n, runs[pick[first]], whole
+    return row[first], first - (np.cumsum(counts) - counts)[row[first]], n, runs[pick[first]], whole
+
+
+def _sliced(words: Words):
+    """(word hashes, words per row, first word) of the rows; a row of more than SLICE words comes in slices.
+
+    Slices overlap by a window less one word: each window begins in one of them.
+    """
+    hashes, counts = words.hashes(), np.diff(words.first)
+    if len(counts) > 1 or len(hashes) <= SLICE:
+        yield hashes, counts, 0
+        return
+    for at in range(0, len(hashes) - WINDOW + 1, SLICE):
+        part = hashes[at : at + SLICE + WINDOW - 1]
+        yield part, np.array([len(part)]), at
 
 
 def _bundle_batches(batches):
     for batch in batches:
         for start, _, data, offsets in text_chunks(batch.column(2)):
-            row, at, n, anchor, whole = bundles(Words(data, offsets))
-            if len(row):
-                take = pa.array(row + start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "bundle", "doc_id", "text_hash", "at", "n"],
-                )
+            for hashes, counts, word in _sliced(Words(data, offsets)):
+                row, at, n, anchor, whole = bundles(hashes, counts)
+                if len(row):
+                    take = pa.array(row + start)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((at + word).astype(np.int32)), pa.array(n.astype(np.int32))],
+                        names=["anchor", "bundle", "doc_id", "text_hash", "at", "n"],
+                    )
 
 
 def _content_batches(batches):
-    """Rows (wanted: array of (anchor, bundle, at, n, hot), least_id, text) to (shard, anchor, bundle, skip, n, least_id, words)."""
+    """Rows (wanted: array of (anchor, bundle, at, n, hot), least_id, text) to (window, anchor, bundle, skip, n, least_id, words).
+
+    A bundle of a frequent anchor gives a row per window, named by its hash; a batch tells the words of a window once.
+    """
     kind = pa.list_(pa.int64())
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), kind]
     for batch in batches:
-        out = []
+        out, told = [], set()
         for wanted, least, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
             hashes = Words(data, np.array([0, len(data)])).hashes()
             for w in wanted:
                 own = hashes[w["at"] : w["at"] + w["n"] + WINDOW - 1]
                 if w["hot"]:
-                    keys = window_hashes(own, WINDOW).view(np.int64).tolist()
-                    out += [(k, w["anchor"], w["bundle"], j, 1, least, own[j : j + WINDOW].view(np.int64)) for j, k in enumerate(keys)]
+                    for j, k in enumerate(window_hashes(own, WINDOW).view(np.int64).tolist()):
+                        out.append((k, w["anchor"], w["bundle"], j, 1, least, None if k in told else own[j : j + WINDOW].view(np.int64)))
+                        told.add(k)
                 else:
-                    out.append((w["anchor"], w["anchor"], w["bundle"], 0, w["n"], least, own.view(np.int64)))
-        for at in range(0, len(out), 4096):
-            part = list(zip(*out[at : at + 4096]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), kind]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(part, types)], names=["shard", "anchor", "bundle", "skip", "n", "least_id", "words"])
+                    out.append((None, w["anchor"], w["bundle"], 0, w["n"], least, own.view(np.int64)))
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=_PIECES)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), types)], names=_PIECES)
 
 
 def least_documents(contents: list[np.ndarray], windows: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For every window of every bundle, in order: the smallest id among the bundles that hold it."""
+    """For every window of every bundle, in order: the smallest id among the bundles that hold it.
+
+    The index holds all bundles, and each is streamed through it: a position's matching
+    statistic is the number of symbols from it that occur elsewhere too, and where that
+    reaches a whole window the range of suffixes tells the documents.
+    """
     width = WINDOW // STRIDE
     sizes = np.array([len(c) for c in contents])
     flat = np.concatenate(contents).view(np.uint64)
@@ -155,12 +185,15 @@ def least_documents(contents: list[np.ndarray], windows: np.ndarray, least: np.n
     # the windows: (bundle, j) begins at the symbol of offset j
     begin = where[offset < windows[owner]]
     patterns = text[begin[:, None] + np.arange(width)]
-    lo, hi = index.search(patterns)
-    by_suffix = np.append(holder[index.suffixes], np.iinfo(np.int64).max)
-    spans, back = np.unique(lo * (len(text) + 1) + hi, return_inverse=True)
-    a, b = spans // (len(text) + 1), spans % (len(text) + 1)
-    best = np.minimum.reduceat(by_suffix, np.stack([a, b], axis=1).ravel())[::2]
-    return best[back]
+    lo, hi, matched = index.search(patterns)
+    out = np.repeat(least, windows)
+    long = np.flatnonzero(matched == width)
+    if len(long):
+        by_suffix = np.append(holder[index.suffixes], np.iinfo(np.int64).max)
+        spans, back = np.unique(lo[long] * (len(text) + 1) + hi[long], return_inverse=True)
+        a, b = spans // (len(text) + 1), spans % (len(text) + 1)
+        out[long] = np.minimum.reduceat(by_suffix, np.stack([a, b], axis=1).ravel())[::2][back]
+    return out
 
 
 def _shard_batches(batches):
@@ -177,7 +210,7 @@ def _shard_batches(batches):
     found = least_documents([flat[a:b] for a, b in zip(offsets, offsets[1:])], n, least)
     ends = np.cumsum(n)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found))
-    out = pa.table({"anchor": table.column("anchor"), "bundle": table.column("bundle"), "skip": table.column("skip"), "least": lists})
+    out = pa.table({"window": table.column("window"), "anchor": table.column("anchor"), "bundle": table.column("bundle"), "least": lists})
     yield from out.to_batches(max_chunksize=4096)
 
 
@@ -186,21 +219,33 @@ def _remove_batches(batches):
     for batch in batches:
         total, removed, digest = [], [], []
         for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-            words = (text.as_py() or "").encode().split()
-            gone = 0
-            if spans:
-                drop = np.zeros(len(words) + 1, dtype=np.int64)
-                at = np.array([(s["at"], s["at"] + s["n"] + WINDOW - 1) for s in spans])
-                np.add.at(drop, at[:, 0], 1)
-                np.add.at(drop, at[:, 1], -1)
-                keep = np.cumsum(drop)[:-1] == 0
-                gone = int((~keep).sum())
-                kept = [w for w, k in zip(words, keep) if k]
-            else:
-                kept = words
-            total.append(len(words))
+            # starts and ends of the removed words, merged and in order
+            edges = sorted((s["at"], s["at"] + s["n"] + WINDOW - 1) for s in spans or [])
+            at, gone, first, sha = 0, 0, True, hashlib.sha256()
+            drop: list[list[int]] = []
+            for a, b in edges:
+                if drop and a <= drop[-1][1]:
+                    drop[-1][1] = max(drop[-1][1], b)
+                else:
+                    drop.append([a, b])
+            for words in word_slices((text.as_py() or "").encode()):
+                kept, here = [], 0
+                while drop and drop[0][0] < at + len(words):
+                    a, b = drop[0]
+                    kept += words[here : max(here, a - at)]
+                    here = min(b - at, len(words))
+                    gone += here - max(0, a - at)
+                    if b > at + len(words):
+                        break
+                    drop.pop(0)
+                kept += words[here:]
+                if kept:
+                    sha.update((b"" if first else b" ") + b" ".join(kept))
+                    first = False
+                at += len(words)
+            total.append(at)
             removed.append(gone)
-            digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            digest.append(sha.hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
@@ -210,14 +255,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text"))
     seen = stored(spread(source).mapInArrow(_bundle_batches, "anchor long, bundle long, doc_id long, text_hash int, at int, n int"))
-    anchors = seen.groupBy("anchor").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.min("bundle").alias("b0"), F.max("bundle").alias("b1"))
+    anchors = seen.groupBy("anchor").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"))
     # stored, as an aggregation right below a join on its key would keep AQE from splitting a frequent anchor
-    anchors = stored(anchors.filter("least_id < most_id").select("anchor", "least_id", (F.col("b0") != F.col("b1")).alias("several")))
+    anchors = stored(anchors.filter("least_id < most_id").select("anchor"))
     hits = stored(seen.join(anchors, "anchor"))
-    plain = hits.filter(~F.col("several") & (F.col("doc_id") > F.col("least_id"))).select("doc_id", "text_hash", "at", "n")
+    discard(seen, anchors)
 
-    several = hits.filter("several")
-    classes = stored(several.groupBy("anchor", "bundle").agg(F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("own")))
+    classes = stored(hits.groupBy("anchor", "bundle").agg(F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("own")))
     crowded = stored(classes.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")))
     wanted = (
         classes.join(crowded, "anchor", "left")
@@ -228,20 +272,30 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .withColumnRenamed("text_hash", "own_hash")
     )
     joined = source.join(wanted, (F.col("doc_id") == F.col("least_id")) & (F.col("text_hash") == F.col("own_hash"))).select("wanted", "least_id", "text")
-    contents = joined.mapInArrow(_content_batches, "shard long, anchor long, bundle long, skip int, n int, least_id long, words array<long>")
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count() // SHARD_BUNDLES + 1)
-    found = contents.repartition(shards, "shard").mapInArrow(_shard_batches, "anchor long, bundle long, skip int, least array<long>")
-    per_class = found.groupBy("anchor", "bundle").agg(F.collect_set(F.struct("skip", "least")).alias("parts"))  # at most n parts of a bundle
-    least = F.flatten(F.transform(F.array_sort("parts"), lambda p: p["least"]))
-    judged = several.join(stored(per_class.select("anchor", "bundle", least.alias("least"))), ["anchor", "bundle"])
+    pieces = stored(joined.mapInArrow(_content_batches, "window long, anchor long, bundle long, skip int, n int, least_id long, words array<long>"))
+    discard(classes, crowded)
+    # equal windows of frequent anchors are one entry of the index, merged before they are dealt out
+    windows = pieces.filter("window IS NOT NULL").groupBy("window").agg(F.min("least_id").alias("least_id"), F.first("words", ignorenulls=True).alias("words"))
+    entries = pieces.filter("window IS NULL").select(F.col("anchor").alias("shard"), "window", "anchor", "bundle", "n", "least_id", "words")
+    entries = entries.unionByName(windows.select(F.col("window").alias("shard"), "window", F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("bundle"), F.lit(1).alias("n"), "least_id", "words"))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.count() // SHARD_BUNDLES + 1)
+    found = stored(entries.repartition(shards, "shard").select(*_ENTRY).mapInArrow(_shard_batches, "window long, anchor long, bundle long, least array<long>"))
+    told = found.filter("window IS NOT NULL").select("window", F.get("least", F.lit(0)).alias("one"))
+    parts = pieces.filter("window IS NOT NULL").select("window", "anchor", "bundle", "skip").join(told, "window")
+    parts = parts.groupBy("anchor", "bundle").agg(F.sort_array(F.collect_list(F.struct("skip", "one"))).alias("parts"))  # at most n parts of a bundle
+    least = stored(found.filter("window IS NULL").select("anchor", "bundle", "least").unionByName(parts.select("anchor", "bundle", F.col("parts.one").alias("least"))))
+    discard(pieces, found)
     smaller = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i)), lambda i: i.isNotNull())
-    edge = judged.select("doc_id", "text_hash", "at", F.explode(smaller).alias("j")).select("doc_id", "text_hash", (F.col("at") + F.col("j")).cast("int").alias("at"), F.lit(1).alias("n"))
-    return plain.unionByName(edge).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    judged = hits.join(least, ["anchor", "bundle"]).select("doc_id", "text_hash", "at", "n", smaller.alias("smaller"))
+    runs = F.when(F.size("smaller") == F.col("n"), F.array(F.struct("at", "n"))).otherwise(F.transform("smaller", lambda j: F.struct((F.col("at") + j).cast("int").alias("at"), F.lit(1).alias("n"))))
+    spans = stored(judged.filter(F.size("smaller") > 0).select("doc_id", "text_hash", F.explode(runs).alias("run")).groupBy("doc_id", "text_hash").agg(F.collect_set("run").alias("spans")))
+    discard(hits, least)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    spans = stored(repeated_windows(docs)).withColumnRenamed("doc_id", "span_id").withColumnRenamed("text_hash", "span_hash")
+    spans = repeated_windows(docs).withColumnRenamed("doc_id", "span_id").withColumnRenamed("text_hash", "span_hash")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     joined = rows.join(spans, (F.col("doc_id") == F.col("span_id")) & (F.hash("text") == F.col("span_hash")), "left")

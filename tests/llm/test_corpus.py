@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lodeframe.llm import embeddings, fmindex, graph, mixing, queries, session, sharding, simhash, substrings, toxicity
+from lodeframe.llm import embeddings, fmindex, graph, kernels, mixing, queries, session, sharding, simhash, substrings, toxicity
 from tests.conftest import TESTDATA
 from tests.llm.test_filters import DOCS, LONG, docs
 
@@ -202,9 +202,13 @@ def brute_substrings(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_substrings_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, slice_", [(64, 1 << 20), (2, 1 << 20), (64, 60)])
+def test_substrings_equal_brute_force(spark, monkeypatch, hot, slice_):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SLICE", slice_)
+    if slice_ == 60:
+        monkeypatch.setattr(kernels, "PIECE", 101)
+        monkeypatch.setattr(kernels.word_slices, "__defaults__", (64,))
     rng = random.Random(5)
     fresh = lambda n: [f"w{rng.randrange(5000)}é" for _ in range(n)]
     passages = [fresh(rng.choice([49, 50, 51, 80, 300])) for _ in range(8)]
@@ -239,7 +243,11 @@ def test_fm_index_finds_all_occurrences():
     text[-1] = 0
     index = fmindex.FMIndex(text, 6)
     starts = [i for i in rng.integers(0, 2990, 400) if (text[i : i + 5] > 0).all()]
-    lo, hi = index.search(np.array([text[i : i + 5] for i in starts]))
+    lo, hi, matched = index.search(np.array([text[i : i + 5] for i in starts]))
+    assert ((matched == 5) == (hi - lo > 1)).all()
+    for i, k in zip(starts, matched):  # the longest suffix of the pattern that occurs elsewhere too
+        again = [sum((text[j : j + n] == text[i + 5 - n : i + 5]).all() for j in range(len(text) - n + 1)) > 1 for n in range(1, 6)]
+        assert k == (again + [False]).index(False)
     windows = {tuple(text[i : i + 5]): set() for i in starts}
     for i in range(len(text) - 4):
         if tuple(text[i : i + 5]) in windows:
