@@ -7,10 +7,11 @@ at least one sketch hash: the search loses nothing, however long the document is
 Documents too short for a partition skip it.  Candidates are verified by exact
 containment of word shingles.  Documents are only mapped, never shuffled.
 
-The item index is broadcast in blocks of at most BLOCK_SHINGLES shingles; a larger
-benchmark is searched block by block, each against all documents.
+The item index is broadcast in blocks of about BLOCK_SHINGLES shingles; a larger
+benchmark is searched block by block, each against all documents, and the driver holds
+one block at a time.
 
-Defined results: words are compared with A-Z lower-cased, split at ASCII white
+Defined results: very long texts are searched whole, a chunk of their own.  Words are compared with A-Z lower-cased, split at ASCII white
 space.  Items under five words are one shingle of all their words; items without
 words never match.  Null texts have no words.  Repeated items and
 repeated documents are each reported.  Empty tables give no rows; extra columns are kept by
@@ -19,6 +20,7 @@ drop_contaminated() and ignored otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import ceil
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.kernels import Words, shingle_hashes, text_chunks
-from lodeframe.llm.session import WORD, ready
+from lodeframe.llm.session import WORD, ready, stored
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -117,16 +119,22 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES) -> list[ItemIndex]:
-    """Indexes of bounded size that together hold every item."""
+def item_blocks(items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES) -> tuple[int, Iterator[ItemIndex]]:
+    """How many indexes of bounded size together hold every item, and the indexes one after another."""
     rows = items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     count = max(1, ceil(words / block))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [ItemIndex([(r["item_id"], r["text"].encode()) for r in rows.filter(part == i).collect()], threshold) for i in range(count)]
 
+    def build():
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+        dealt = stored(dealt.repartition("block")) if count > 1 else dealt
+        for i in range(count):
+            yield ItemIndex([(r["item_id"], r["text"].encode()) for r in dealt.filter(F.col("block") == i).collect()], threshold)
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    return count, build()
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment of each item held by each document."""
     ready(docs.sparkSession)
     columns = docs.select("doc_id", F.col("text").cast("string"))
@@ -144,11 +152,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         return columns.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, n_shingles long, n_found long")
 
-    found = reduce(DataFrame.unionByName, [over(x) for x in item_blocks(items, threshold)])
+    count, blocks = item_blocks(items, threshold, block)
+    # a result is stored before the next block is read: the driver holds one
+    found = reduce(DataFrame.unionByName, (stored(over(x)) if count > 1 else over(x) for x in blocks))
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of docs that hold no item, columns unchanged."""
     ready(docs.sparkSession)
     at = docs.columns.index("text")
@@ -162,4 +172,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
 
         return frame.mapInArrow(run, docs.schema)
 
-    return reduce(over, item_blocks(items, threshold), docs)
+    count, blocks = item_blocks(items, threshold, block)
+    return reduce(lambda frame, index: stored(over(frame, index)) if count > 1 else over(frame, index), blocks, docs)
