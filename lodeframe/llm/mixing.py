@@ -9,13 +9,14 @@ tree: at each node, the draws that go left are multivariate-hypergeometric given
 the node's counts.  Every shard then takes the next draws of each source's permuted
 blocks, so shards share no draw, and shuffles its documents by a hash of its own.
 
-Per source the driver holds one total and one count per shard, and blocks are
-aggregated before any shuffle; a source of a third of all rows is spread over
-BLOCKS blocks.
+Per source the driver holds one total and one count per shard (sources are kinds of
+origin, thousands at most; a column of urls is not one), and blocks are aggregated
+before any shuffle; a source of a third of all rows is spread over BLOCKS blocks.
 
-Defined results: a null text has no words; documents without words are taken like
+Defined results: very long texts are rows like others, so that a target may be missed by
+half of one.  A null text has no words; documents without words are taken like
 their block and add nothing.  A null source is a source, ordered last.  Rows that
-repeat an id are taken together or not.  An empty table gives no rows.  Extra
+repeat an id, or have none and repeat a text, are taken together or not.  An empty table gives no rows.  Extra
 columns, whatever their names, are ignored by mix_table() and kept by mix().
 """
 
@@ -76,11 +77,13 @@ def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.nda
 
 
 def _keys(docs: DataFrame) -> list[Column]:
+    # rows without an id are told apart by their text
+    row = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))]
     return [
         F.col("source").isNull().alias("mix_null"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_name"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(BLOCKS)).cast("int").alias("mix_block"),
-        F.xxhash64(F.col("doc_id"), F.lit(SEED + 1)).alias("mix_hash"),
+        F.pmod(F.xxhash64(*row, F.lit(SEED)), F.lit(BLOCKS)).cast("int").alias("mix_block"),
+        F.xxhash64(*row, F.lit(SEED + 1)).alias("mix_hash"),
     ]
 
 
@@ -111,9 +114,16 @@ def plan(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] = WEIGH
     each = each.filter(F.col("whole") | (F.col("below") < F.col("rest"))).withColumn("draw", F.col("pass") * F.col("blocks") + F.col("place")).checkpoint()
     # the part of each source's last block: documents in hash order, up to the nearest to the rest
     partial = each.filter(~F.col("whole")).select(*_AT, (F.col("rest") - F.col("below")).alias("wanted"))
-    inside = rows.join(F.broadcast(partial), _AT)  # one row per source at most
-    run = F.sum("size").over(Window.partitionBy(*_AT).orderBy("mix_hash", "doc_id")) - F.col("size")
+    inside = rows.join(F.broadcast(partial), _AT).withColumn("bin", F.shiftright("mix_hash", 48))  # one row per source at most
+    # bins of the hash first, so that only the rows of one bin of 65,536 meet in a task
+    before = F.sum("words").over(Window.partitionBy(*_AT).orderBy("bin")) - F.col("words")
+    bins = inside.groupBy(*_AT, "wanted", "bin").agg(F.sum("size").alias("words")).withColumn("start", before)
+    bins = bins.filter("start <= wanted").groupBy(*_AT).agg(F.max(F.struct("bin", "start")).alias("last")).select(*_AT, "last.bin", "last.start")
+    inside = inside.join(F.broadcast(bins), [*_AT, "bin"])  # one row per source at most
+    run = F.sum("size").over(Window.partitionBy(*_AT).orderBy("mix_hash", "doc_id")) - F.col("size") + F.col("start")
     cuts = inside.withColumn("below", run).filter(F.col("wanted") - F.col("below") >= F.col("size") / 2).groupBy(*_AT).agg(F.max(F.struct("mix_hash", "doc_id")).alias("cut"))
+    none = F.struct(F.shiftleft("bin", 48).alias("mix_hash"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"))  # the bins before it only
+    cuts = bins.join(cuts, _AT, "left").select(*_AT, F.coalesce("cut", none).alias("cut"))
     drawn = {(r["mix_null"], r["mix_name"]): r["n"] for r in each.groupBy("mix_null", "mix_name").agg(F.count("*").alias("n")).collect()}
     split = split_quotas([drawn.get((r["mix_null"], r["mix_name"]), 0) for r in sources], shards) if sources else np.zeros((shards, 0), dtype=np.int64)
     ends = np.cumsum(split, axis=0)
