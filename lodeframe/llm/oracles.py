@@ -103,7 +103,7 @@ parts AS (SELECT r, run, level, lines FROM runs UNION ALL SELECT r, -1, 0, lines
 u AS (
   SELECT r, run, level, 3 AS grain, {_NORMAL.format("array_to_string(lines, chr(10))")} AS unit FROM parts
   UNION ALL SELECT r, run, level, 2, {_NORMAL.format("p")} FROM (SELECT r, run, level, unnest(regexp_split_to_array(array_to_string(lines, chr(10)), '\n[ \t]*\n')) AS p FROM parts)
-  UNION ALL SELECT r, run, level, 1, x FROM (SELECT r, run, level, {_NORMAL.format("y")} AS x FROM (SELECT r, run, level, unnest(lines) AS y FROM parts)) WHERE length(x) >= 12),
+  UNION ALL SELECT r, run, level, 1, x FROM (SELECT r, run, level, {_NORMAL.format("y")} AS x FROM (SELECT r, run, level, unnest(lines) AS y FROM parts)) WHERE length(x) >= 12 OR level = 0),
 known AS (SELECT u.*, m.conv_id, m.turn FROM u JOIN m USING (r) WHERE unit <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 own AS (SELECT DISTINCT conv_id, turn, unit FROM known WHERE level = 0),
 met AS (SELECT k.r, k.run, k.level, k.grain, k.unit, max(o.turn) AS source FROM known k JOIN own o ON o.conv_id = k.conv_id AND o.unit = k.unit AND o.turn < k.turn WHERE k.level > 0 GROUP BY ALL),

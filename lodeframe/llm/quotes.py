@@ -17,8 +17,10 @@ is collected per conversation.
 Defined results: null and empty texts have an empty body and no quotes.  Messages
 without a linked quote start threads of their own.  Rows with a null conv_id or turn
 link with nothing and have null position.  Rows that share conv_id and turn are one
-node: they share reply_to (the latest), thread, depth and position.  Lines shorter
-than MIN_LINE normalised characters link only as part of a passage or paragraph.
+node: they share reply_to (the latest), thread, depth and position.  Quoted
+lines shorter than MIN_LINE normalised characters link only as a whole passage or
+paragraph, which may be a single line of an earlier message.  Very long texts are cut
+whole, within their row.
 Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -83,8 +85,8 @@ def _normal(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")))
 
 
-def _units(lines: Column) -> Column:
-    """array<struct<grain, hash, chars>> of a run: itself, its paragraphs, its lines."""
+def _units(lines: Column, least: int = MIN_LINE) -> Column:
+    """array<struct<grain, hash, chars>> of a run: itself, its paragraphs, its lines of at least so many characters."""
 
     def unit(grain):
         return lambda x: F.struct(F.lit(grain).alias("grain"), F.xxhash64(x).alias("hash"), F.length(x).alias("chars"))
@@ -92,7 +94,7 @@ def _units(lines: Column) -> Column:
     def of(joined):
         whole = F.array(_normal(joined))
         paragraphs = F.transform(F.split(joined, r"\n[ \t]*\n"), _normal)
-        single = F.filter(F.transform(lines, _normal), lambda x: F.length(x) >= MIN_LINE)
+        single = F.filter(F.transform(lines, _normal), lambda x: F.length(x) >= least)
         parts = F.concat(F.transform(whole, unit(PASSAGE)), F.transform(paragraphs, unit(PARAGRAPH)), F.transform(single, unit(LINE)))
         return F.filter(parts, lambda u: u["chars"] > 0)
 
@@ -115,7 +117,7 @@ def _links(messages: DataFrame) -> DataFrame:
     # own text: each run at level 0, and all of them together
     def own_units(runs):
         own = F.transform(F.filter(runs, lambda r: r["level"] == 0), lambda r: r["lines"])
-        return _bind(own, lambda x: F.flatten(F.transform(F.array_distinct(F.array_append(x, F.flatten(x))), _units)))
+        return _bind(own, lambda x: F.flatten(F.transform(F.array_distinct(F.array_append(x, F.flatten(x))), lambda r: _units(r, 1))))
 
     own = known.select("conv_id", "turn", F.explode_outer(_bind(_runs(F.col("text")), own_units)).alias("u")).filter("u IS NOT NULL").select("conv_id", "turn", "u.hash")
     own = own.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
