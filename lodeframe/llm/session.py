@@ -17,12 +17,15 @@ TEXT_BATCH_ROWS = 512
 def ready(spark: SparkSession) -> SparkSession:
     """Arrow batches of bounded size; a checkpoint folder from spark.checkpoint.dir.
 
-    Only where that setting is absent, as in a local test, a temporary folder is used.
+    Only where that setting is absent and the master is local, as in a test, a temporary
+    folder is used: on a cluster it would be one machine's own.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodeframe-checkpoint-"))
     return spark
 

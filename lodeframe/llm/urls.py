@@ -12,7 +12,8 @@ The state at a partition's border is carried from one row per partition.
 Defined results: a null url, or one without `://`, has empty host and path and
 meets no rule.  Rules with null host or path are ignored; equal rules count once
 and block wins over allow.  The longest rule string wins, then the longer host.
-Repeated rows stay; an empty table gives no rows.
+Repeated rows stay; very long urls are keys like others; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

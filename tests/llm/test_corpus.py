@@ -65,6 +65,47 @@ def test_quota_tree_is_exact_and_disjoint():
         assert (split == mixing.split_quotas(quotas, shards)).all()
 
 
+def plain_targets(sizes):
+    """150% of all words by weight 5, 2, 1; sources above twice their size stop there, the rest is shared again."""
+    stopped, weights = {}, [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    while True:
+        left = 1.5 * sum(sizes) - sum(stopped.values())
+        open_ = [i for i in range(len(sizes)) if i not in stopped]
+        goal = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        above = [i for i in open_ if goal[i] > 2 * sizes[i]]
+        if not above:
+            return [stopped.get(i, goal.get(i)) for i in range(len(sizes))]
+        stopped |= {i: 2.0 * sizes[i] for i in above}
+
+
+def test_op3_has_the_sizes_and_targets_of_sql(spark, tmp_path):
+    import duckdb
+
+    sql = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM '{TESTDATA}/documents.parquet'),
+      s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w FROM d GROUP BY source)
+      SELECT doc_id, size, source_size, w FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r["doc_id"]: r for r in queries.op3_mix(spark, TESTDATA).collect()}
+    assert {d: (r["size"], r["source_size"]) for d, r in got.items()} == {d: r[:2] for d, r in want.items()}
+    by = {}
+    for r in got.values():
+        by.setdefault((r["source_size"], r["target"]), []).append(r)
+    total = sum(r["size"] for r in got.values())
+    assert sum(t for _, t in by) == pytest.approx(1.5 * total) and all(t <= 2 * s + 1e-6 for s, t in by)
+    shares = {t / want[rows[0]["doc_id"]][2] for (s, t), rows in by.items() if t < 2 * s - 1e-6}
+    assert max(shares) == pytest.approx(min(shares))  # those not stopped share by weight
+    for (_, t), rows in by.items():
+        assert abs(sum(r["taken"] for r in rows) - t) <= max(r["size"] for r in rows) and all(r["taken"] <= 2 * r["size"] for r in rows)
+
+
+def test_mix_meets_targets_without_ids(spark):
+    rng = random.Random(9)
+    rows = [(None, " ".join("w" for _ in range(rng.choice([1, 10, 50]))) + f" {i}", "ab"[i % 7 == 0]) for i in range(900)]
+    got = mixing.mix_table(sourced(spark, rows)).collect()
+    for target in {r["target"] for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == target) - target) <= 60
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * rng.randint(1, 5) for _ in range(rng.choice([0, 1, 10, 50]))), rng.choice(["a", "B", "é", "hot", "hot", "hot", None])) for i in range(1500)]
@@ -76,7 +117,7 @@ def test_mix_meets_targets(spark):
     by, order = {}, sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
     for _, (i, t, s) in enumerate(rows):
         by[s] = by.get(s, 0) + sizes[i]
-    want = dict(zip(order, mixing.targets([by[s] for s in order])))
+    want = dict(zip(order, plain_targets([by[s] for s in order])))
     source = {i: s for i, _, s in rows}
     taken = dict.fromkeys(order, 0)
     for r in got:
@@ -452,6 +493,13 @@ def test_embeddings_are_compared_in_double_precision(spark):
 # ---- queries and pipeline
 
 
+def test_op4_has_the_sizes_of_the_texts_and_near_equal_shards(spark):
+    texts = [tuple(r) for r in session.table(spark, TESTDATA, "documents").select("doc_id", "text").collect()]
+    sums = check_shards(queries.op4_shards(spark, TESTDATA).collect(), texts, 8)
+    mean = sum(sums.values()) / 8
+    assert len(sums) == 8 and all(abs(s - mean) <= max(0.01 * mean, max(len((t or "").encode()) for _, t in texts)) for s in sums.values())
+
+
 def test_queries_return_a_row_per_row(spark):
     n = session.table(spark, TESTDATA, "documents").count()
     for name in ("op3_mix", "op4_shards", "op6_toxicity"):

@@ -63,6 +63,12 @@ def test_quote_of_a_whole_paragraph_beats_a_later_line(spark):
     assert got == {0: None, 1: None, 2: 0}
 
 
+def test_a_short_line_quoted_on_its_own_is_linked(spark):
+    rows = [(1, 0, "a", "well then\nsee you\nat noon"), (1, 1, "b", "hm"), (1, 2, "c", "> see you\nyes"), (1, 3, "d", "> see you\n> and something never said\nno")]
+    got = {r["turn"]: r["reply_to"] for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: None}
+
+
 def test_op1_covers_the_table(spark):
     got = queries.op1_quotes(spark, TESTDATA)
     source = session.table(spark, TESTDATA, "conversations")
@@ -130,8 +136,11 @@ def test_contaminated_equals_brute_force(spark):
     dirty = {d for d, *_ in want}
     kept = decontaminate.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(bodies))) - dirty
-    small = decontaminate.item_blocks(bench, block=100)
-    assert len(small) > 5 and sum(len(b.ids) for b in small) == 62
+    count, small = decontaminate.item_blocks(bench, block=500)
+    small = list(small)
+    assert count == len(small) > 1 and sum(len(b.ids) for b in small) == 62
+    assert sorted(tuple(r)[:4] for r in decontaminate.contaminated(frame, bench, block=500).collect()) == sorted(got)
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench, block=500).collect()) == sorted(r["doc_id"] for r in kept.collect())
 
 
 def test_decontamination_of_empty_tables(spark):
