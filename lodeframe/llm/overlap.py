@@ -37,8 +37,8 @@ from lodeframe.llm.session import discard, stored
 BANDS, ROWS = 32, 5
 #: Shingles whose minima are taken at once.
 BLOCK = 2_048
-#: Most bits of a set's parity bitmap; between one and two bits a shingle below that.
-PARITY = 1 << 15
+#: Bits a shingle of a set's parity bitmap, up to twice as many, and most bits.
+PARITY_SHARE, PARITY = 4, 1 << 17
 #: Nodes of a list's chunk that are compared with all nodes outside its largest component.
 CHUNK = 4_096
 #: Pairs with one end in common that are compared in one task.
@@ -116,7 +116,7 @@ def parity(grams: np.ndarray) -> np.ndarray:
 
     The larger of two bitmaps folds to the smaller by the exclusive or of its halves.
     """
-    size = min(PARITY, max(64, 1 << int(len(grams) - 1).bit_length()))
+    size = min(PARITY, max(64, 1 << int(PARITY_SHARE * len(grams) - 1).bit_length()))
     odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
 
@@ -236,25 +236,29 @@ def _unlike(left: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a < b, of unlike labels of a list that sizes and bitmaps allow; left is (key, node, n, label, most, bits).
 
     A list is cut into chunks; the nodes outside its largest component pass all of them.
-    Only pairs that the bitmaps let through leave a task.
+    Only pairs that the bitmaps let through leave a task, each from the first list that
+    holds both.
     """
     chunks = left.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).checkpoint()
-    rows = left.join(chunks, "key")
-    home = rows.select("key", F.pmod(F.hash("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), "node", "n", "label", "bits")
-    few = rows.filter("label <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "node", "n", "label", "bits")
-    dealt = home.unionByName(few).select(F.xxhash64("key", "chunk").alias("bucket"), "role", "node", "n", "label", "bits")
+    lists = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("lists"))  # BANDS at most
+    rows = left.join(chunks, "key").join(lists, "node").withColumn("few", F.col("label") != F.col("most"))
+    columns = ["key", "node", "n", "label", "bits", "lists", "few"]
+    home = rows.select(F.pmod(F.hash("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), *columns)
+    few = rows.filter("few").select(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), *columns)
+    dealt = home.unionByName(few).withColumn("bucket", F.xxhash64("key", "chunk")).select("bucket", "role", *columns)
 
     def part(batch, a, b):
         rows = batch.slice(a, b - a)
-        n = rows.column(3).to_numpy()
-        return rows.column(2).to_numpy(), n, rows.column(4).to_numpy(), [x.values.to_numpy().view(np.uint64) for x in rows.column(5)]
+        node, n, label = (rows.column(i).to_numpy() for i in (3, 4, 5))
+        bits, lists = ([x.values.to_numpy() for x in rows.column(i)] for i in (6, 7))
+        return node, n, label, [x.view(np.uint64) for x in bits], lists, rows.column(8).to_numpy(zero_copy_only=False)
 
     def run(batches):
         now, home, other = None, [], None
         for batch in batches:
             if not len(batch):
                 continue
-            bucket, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bucket, role, key = (batch.column(i).to_numpy() for i in (0, 1, 2))
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (role[1:] != role[:-1])) + 1
             edges = [0, *cuts.tolist(), len(batch)]
             out = []
@@ -267,14 +271,17 @@ def _unlike(left: DataFrame, similarity: float) -> DataFrame:
                 if not home:  # a chunk that the hash left empty
                     continue
                 if other is None:
-                    nodes = np.concatenate([h[0] for h in home])
-                    n = np.concatenate([h[1] for h in home])
-                    other = nodes, (n, np.concatenate([h[2] for h in home]), _folded([x for h in home for x in h[3]]))
-                own, n, label, bits = part(batch, a, b)
+                    nodes, n, label = (np.concatenate([h[i] for h in home]) for i in (0, 1, 2))
+                    bits, lists = ([x for h in home for x in h[i]] for i in (3, 4))
+                    other = nodes, (n, label, _folded(bits)), lists, np.concatenate([h[5] for h in home])
+                own, n, label, bits, lists, _ = part(batch, a, b)
                 i, j = _near_pairs((n, label, _folded(bits)), other[1], similarity)
-                out.append((own[i], other[0][j]))
+                once = ~other[3][j] | (own[i] < other[0][j])  # two nodes that both pass are met twice
+                for x, y in zip(i[once].tolist(), j[once].tolist()):
+                    if np.intersect1d(lists[x], other[2][y], assume_unique=True)[0] == key[a]:
+                        out.append((own[x], other[0][y]))
             if out:
-                x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+                x, y = np.array(out, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "role").mapInArrow(run, "a long, b long")
