@@ -57,8 +57,14 @@ def stored(frame: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Remove tables of stored() that nothing depends on any more."""
+    """Remove tables of stored() that nothing depends on any more.
+
+    The driver's garbage is collected too: only then does Spark remove the shuffle files
+    and broadcasts that nothing refers to, which else waits for half an hour.
+    """
     for frame in frames:
         context = frame.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        context._jvm.System.gc()

@@ -102,11 +102,16 @@ def _fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, l2:
     index = np.concatenate(rows).astype(np.int32) if len(rows) else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     k, n = len(ratios), len(rows)
+    parts = [slice(at, at + (1 << 19)) for at in range(0, len(index), 1 << 19)]
 
     def loss(theta):
-        z = np.bincount(owner, weights=(theta[:k] * ratios)[index], minlength=n) + theta[k]
+        scaled, z, down = theta[:k] * ratios, np.full(n, theta[k]), np.zeros(k)
+        for at in parts:
+            z += np.bincount(owner[at], weights=scaled[index[at]], minlength=n)
         slack = _logistic(z) - y
-        grad = np.append(ratios * np.bincount(index, weights=slack[owner], minlength=k) / n + l2 * theta[:k], slack.mean())
+        for at in parts:
+            down += np.bincount(index[at], weights=slack[owner[at]], minlength=k)
+        grad = np.append(ratios * down / n + l2 * theta[:k], slack.mean())
         return np.logaddexp(0, z).mean() - (y * z).mean() + l2 / 2 * (theta[:k] ** 2).sum(), grad
 
     theta = np.zeros(k + 1)
@@ -221,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, least_chi:
     rows = train.select("doc_id", "toxic", "text").mapInArrow(present, "doc_id long, toxic boolean, found binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("found").alias("found")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     y = np.array([r["toxic"] for r in rows], dtype=float)
-    found = [np.frombuffer(bytes(r["found"]), dtype="<i4") for r in rows]
+    found = [np.frombuffer(r["found"], dtype="<i4") for r in rows]
+    del rows, top
     weights, bias = _fit_logistic(found, y, ratios, _penalty(found, y, ratios, penalties))
     return ToxicityModel(kept, weights * ratios, bias)
 
