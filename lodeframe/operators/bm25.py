@@ -28,9 +28,13 @@ class TextIndex:
     totals: DataFrame  # n, avg_length: one row
 
     def write(self, path: str, buckets: int = 16) -> None:
-        """Store the index; postings are laid out by a hash of the term and sorted by term."""
+        """Store the index; postings are laid out by a hash of the term and sorted by term.
+
+        A bucket is written in ranges of (term, id) as many as the shuffle has partitions, so that
+        neither a bucket nor a frequent term is one task's.
+        """
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
 

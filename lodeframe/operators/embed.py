@@ -67,7 +67,7 @@ def embed_documents(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, c
     goes on; otherwise the job fails.
     """
     if concurrency:
-        chunks = chunks.coalesce(concurrency)
+        chunks = chunks.repartition(concurrency)  # a coalesce would chunk in as few tasks
     at = chunks.columns.index("text")
     more = [StructField("error", StringType())] if keep_errors else []
     schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType())), *more])

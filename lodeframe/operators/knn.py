@@ -44,9 +44,15 @@ def _nearest_in_batch(qids: list, queries: np.ndarray, k: int):
             if not len(fit):
                 continue
             x = _matrix(batch.column(1).take(pa.array(fit)))
+            finite = np.isfinite(x).all(axis=1)
+            fit, x = fit[finite], x[finite]
+            if not len(fit):
+                continue
             near = norms[:, None] - 2 * (queries @ x.T) + (x**2).sum(axis=1)[None, :]
             if len(fit) > k:
-                edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + 1e-9 * (1 + norms[:, None])
+                # the expanded square is off by rounding of its largest term
+                slack = 1e-9 * (1 + norms[:, None] + (x**2).sum(axis=1).max())
+                edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + 2 * slack
                 q, at = np.nonzero(near <= edge)  # ties of the k-th stay
             else:
                 q, at = (g.ravel() for g in np.indices(near.shape))
@@ -63,7 +69,7 @@ def _nearest_in_batch(qids: list, queries: np.ndarray, k: int):
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2sq", block: int = QUERY_BLOCK) -> DataFrame:
     """qid, id, distance, score, rank: the k rows of corpus (id, vector) nearest to each of queries (qid, vector).
 
-    Ties go to the smaller id; rows whose vector is null or of another length are left out.
+    Ties go to the smaller id; rows whose vector is null, not finite or of another length are left out.
     """
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, distance double"
     vectors = corpus.select("id", "vector")
@@ -72,7 +78,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l
     blocks = max(1, -(-held.count() // block))
     part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
     for i in range(blocks):
-        rows = (held if blocks == 1 else held.filter(part == i)).collect()
+        rows = [r for r in (held if blocks == 1 else held.filter(part == i)).collect() if np.isfinite(np.array(r["vector"], dtype=np.float64)).all()]
         for dim in sorted({len(r["vector"]) for r in rows}):
             own = [r for r in rows if len(r["vector"]) == dim]
             parts.append(vectors.mapInArrow(_nearest_in_batch([r["qid"] for r in own], np.array([r["vector"] for r in own], dtype=np.float64), k), kinds))

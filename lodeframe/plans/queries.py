@@ -6,6 +6,8 @@ one) the row of `embeddings` with its id; benchmark items are queries.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from lodeframe.functions import score as sc
 from lodeframe.functions import text as tx
 from lodeframe.operators import bm25, chunk_notes, chunk_sessions, evaluate, fusion, knn, ranking
-from lodeframe.plans import search, store
-from lodeframe.schema import NOTE_CONFIG, SESSION_CONFIG, configure
+from lodeframe.plans import jobs, search, store
+from lodeframe.schema import configure
 from lodeframe.sources.spread import spread
 
 AS_OF = "2024-02-01"
@@ -41,6 +43,32 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _folder(spark) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return f"{shared or tempfile.mkdtemp(prefix='lodeframe-')}/queries/{uuid.uuid4().hex}"
+
+
+class _Known:
+    """An embedder of benchmark items: looks their vectors up (as many as there are queries)."""
+
+    def __init__(self, spark, sf_dir):
+        self.vectors = {r["text"]: r["vector"] for r in _items(spark, sf_dir).filter("vector IS NOT NULL").collect()}
+        self.dim = len(next(iter(self.vectors.values()), []))
+
+    def embed(self, texts, task="query"):
+        return [self.vectors.get(t) or [0.0] * self.dim for t in texts]
+
+
+def _rows(spark, sf_dir) -> DataFrame:
+    """Documents as rows of a chunk table."""
+    c = _chunks(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left")
+    extra = [F.lit("p").alias("project"), F.lit(1).alias("lineNumber"), F.lit("user").alias("role"), F.create_map(F.lit("type"), F.lit("user_message")).alias("metadata")]
+    return c.select("id", "text", "vector", "sessionFile", "timestamp", "source", *extra)
+
+
 def _items(spark, sf_dir) -> DataFrame:
     """qid, text, vector of every benchmark item."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
@@ -103,6 +131,8 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq
 WEIGHTED = "0.7 * coalesce(vs, 0.0::DOUBLE) + 0.3 * coalesce(ts, 0.0::DOUBLE)"
 RRF = "coalesce(0.7::DOUBLE / (60 + vr), 0) + coalesce(0.3::DOUBLE / (60 + tr), 0)"
 LISTS = f"WITH RECURSIVE {ITEM_VECTORS}, {_knn_sql('items', 20)}, {BM25_SQL}"
+#: The lists of the whole searches, whose chunk table has vectors of documents only.
+CHUNK_LISTS = LISTS.replace("embeddings e),", "embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)),", 1)
 
 
 # ---- vector and text search
@@ -221,7 +251,7 @@ def mmr_rerank(spark, sf_dir):
 # ---- searches
 
 AGED = "exp(-ln(2) / {days} * greatest(0, (doc_id % 90)::DOUBLE))"
-SESSION_SQL = f"""{LISTS}, {_fused_sql(RRF)},
+SESSION_SQL = f"""{CHUNK_LISTS}, {_fused_sql(RRF)},
 aged AS (SELECT qid, id, seq, score * {AGED.format(days=14)} AS score, lang FROM fused JOIN documents ON doc_id = id),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM aged)"""
 
@@ -229,19 +259,19 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq)
 @query(f"{SESSION_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM hits WHERE score >= 0.001 AND rank <= 10")
 def hybrid_session_search(spark, sf_dir):
     """Flagship: 20 nearest and 20 text hits, reciprocal-rank fusion, two-week decay, ten best."""
-    hits = search.retrieve(_vector_list(spark, sf_dir, 20, 0.1), _text_list(spark, sf_dir), _chunks(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), SESSION_CONFIG)
-    return rounded(hits.filter("rank <= 10").select("qid", "id", "score", "rank"), "score")
+    hits = search.session_search(_items(spark, sf_dir).select("qid", "text"), _rows(spark, sf_dir), _Known(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), limit=10)
+    return rounded(hits.select("qid", "id", "score", "rank"), "score")
 
 
 @query(f"{SESSION_SQL} SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM hits WHERE score >= 0.001 AND lang = 'en' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 10")
 def source_filter_post_topk(spark, sf_dir):
     """The source filter stands after the top-k: fewer rows may stay."""
-    hits = search.retrieve(_vector_list(spark, sf_dir, 20, 0.1), _text_list(spark, sf_dir), _chunks(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), SESSION_CONFIG)
-    return rounded(ranking.rerank_by_score(hits.filter("source = 'en'")).filter("rank <= 10").select("qid", "id", "score", "rank"), "score")
+    hits = search.session_search(_items(spark, sf_dir).select("qid", "text"), _rows(spark, sf_dir), _Known(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), limit=10, source="en")
+    return rounded(hits.select("qid", "id", "score", "rank"), "score")
 
 
 KNOWLEDGE_SOURCE = "qid, id, score, rank FROM hits WHERE score >= 0.05"
-KNOWLEDGE_SQL = f"""{LISTS}, {_fused_sql(WEIGHTED)},
+KNOWLEDGE_SQL = f"""{CHUNK_LISTS}, {_fused_sql(WEIGHTED)},
 aged AS (SELECT qid, id, seq, score * {AGED.format(days=90)} AS score FROM fused JOIN documents ON doc_id = id),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM aged), {MMR_SQL.format(source=KNOWLEDGE_SOURCE)}"""
 
@@ -249,8 +279,17 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq)
 @query(f"{KNOWLEDGE_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM mmr WHERE rank <= 10")
 def hybrid_knowledge_search(spark, sf_dir):
     """Weighted merge, 90-day decay, least score, diversity, ten best."""
-    hits = search.retrieve(_vector_list(spark, sf_dir), _text_list(spark, sf_dir), _chunks(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), NOTE_CONFIG)
-    return rounded(hits.filter("rank <= 10").select("qid", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
+    hits = search.knowledge_search(_items(spark, sf_dir).select("qid", "text"), _rows(spark, sf_dir), _Known(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), limit=10)
+    return rounded(hits.select("qid", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
+
+
+@query(f"WITH {BM25_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM t")
+def stored_index_search(spark, sf_dir):
+    """Text search over an index that was written and read back."""
+    folder = _folder(spark)
+    bm25.build_index(_chunks(spark, sf_dir).select("id", "text")).write(folder)
+    hits = bm25.text_search(_items(spark, sf_dir).select("qid", "text"), bm25.TextIndex.read(spark, folder), 20)
+    return rounded(hits.select("qid", "id", "score", "rank"), "score")
 
 
 @query(f"""{LISTS}, {_fused_sql(RRF)}, own AS (SELECT * FROM fused WHERE rank <= qid % 6),
@@ -269,13 +308,12 @@ def thin_fallback(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 3 WHEN 0 THEN '보편 학문이란 knowledge' WHEN 1 THEN '바흐, 보편' ELSE text END AS text, conv_id % 3 AS k FROM conversations),
-d(term, e) AS (VALUES ('보편', ['universal', 'general']), ('바흐', ['bach']), ('학문이란', ['study', 'universal']))
-SELECT qid, CASE k WHEN 0 THEN '보편 학문이란 knowledge universal general study' WHEN 1 THEN '바흐, 보편 bach universal general' ELSE text END AS enriched FROM q""")
+WITH q AS (SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 3 WHEN 0 THEN text || ' 보편 학문이란 knowledge' WHEN 1 THEN text || ' 바흐, 보편' ELSE text END AS text, conv_id % 3 AS k FROM conversations)
+SELECT qid, text || CASE k WHEN 0 THEN ' universal general study' WHEN 1 THEN ' bach universal general' ELSE '' END AS enriched FROM q""")
 def query_expansion(spark, sf_dir):
     """Hangul terms bring their dictionary expansions, each once, to the embedded text."""
     k = F.col("conv_id") % 3
-    text = F.when(k == 0, "보편 학문이란 knowledge").when(k == 1, "바흐, 보편").otherwise(F.col("text"))
+    text = F.when(k == 0, F.concat("text", F.lit(" 보편 학문이란 knowledge"))).when(k == 1, F.concat("text", F.lit(" 바흐, 보편"))).otherwise(F.col("text"))
     said = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), text.alias("text"))
     words = spark.createDataFrame([("보편", ["universal", "general"]), ("바흐", ["bach"]), ("학문이란", ["study", "universal"])], "term string, expansions array<string>")
     return search.expand_queries(said, words).select("qid", "enriched")
@@ -358,6 +396,27 @@ def session_jsonl(spark, sf_dir):
     return chunk_sessions.session_chunks(lines).select("id", "text", "project", F.col("lineNumber").alias("line"), "timestamp", "role", "source")
 
 
+@query("""
+WITH f AS (SELECT *, conv_id % 2 = 0 AS claude, CASE WHEN conv_id % 2 = 0 THEN '/h/.claude/projects/-home-u-repos-work-p' || conv_id || '/s' || turn || '.jsonl' ELSE '/h/.pi/agent/sessions/--home-u-p' || conv_id || '--/s' || turn || '.jsonl' END AS file FROM conversations),
+r AS (
+  SELECT file, conv_id, claude, 3 AS line, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS text, role, CASE role WHEN 'user' THEN 'user_message' ELSE 'assistant_response' END AS type
+  FROM f WHERE (role = 'user' AND length(text) > 20) OR (role = 'assistant' AND length(text) > 100)
+  UNION ALL SELECT file, conv_id, claude, 6, 'sum ' || conv_id, 'compaction', 'compaction' FROM f WHERE NOT claude)
+SELECT file || ':' || line AS id, text, 'p' || conv_id AS project, line::INT AS line, CASE WHEN claude THEN '2024-01-01T00:00:00Z' WHEN line = 3 THEN '2023-11-14T22:13:20.000Z' ELSE '' END AS timestamp,
+  role, CASE WHEN claude THEN 'claude' ELSE 'pi' END AS source, type FROM r""")
+def session_files(spark, sf_dir):
+    """Whole session files with bad, blank, null and non-object lines, both line ends, and a compaction."""
+    c = read(spark, sf_dir, "conversations")
+    is_claude = F.col("conv_id") % 2 == 0
+    claude = F.to_json(F.struct(F.col("role").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    pi = F.to_json(F.struct(F.lit("message").alias("type"), F.lit(1_700_000_000_000).alias("timestamp"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    summary = F.to_json(F.struct(F.lit("compaction").alias("type"), F.struct(F.concat(F.lit("sum "), "conv_id").alias("summary")).alias("compaction")))
+    file = F.when(is_claude, F.concat(F.lit("/h/.claude/projects/-home-u-repos-work-p"), "conv_id", F.lit("/s"))).otherwise(F.concat(F.lit("/h/.pi/agent/sessions/--home-u-p"), "conv_id", F.lit("--/s")))
+    content = F.concat(F.lit("{not json\r\n \r\n"), F.when(is_claude, claude).otherwise(pi), F.lit("\r\nnull\n[1]\n"), summary, F.lit("\n"))
+    files = c.select(F.concat(file, "turn", F.lit(".jsonl")).alias("path"), content.alias("content"))
+    return chunk_sessions.extract_sessions(files).select("id", "text", "project", F.col("lineNumber").alias("line"), "timestamp", "role", "source", F.col("metadata")["type"].alias("type"))
+
+
 @query("""
 WITH RECURSIVE ln AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(list_transform(a, lambda x: length(x) + 1)) AS cost FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 1000)),
 p AS (SELECT doc_id, i, coalesce(sum(cost) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre, cost FROM ln),
@@ -416,6 +475,21 @@ def note_sections(spark, sf_dir):
     return rows.select("path", F.col("h.lineNumber").alias("line"), chunk_notes.section_end(F.col("all"), F.col("i"), F.col("n")).cast("int").alias("section_end"))
 
 
+@query("""
+SELECT doc_id, '20240101T000000' AS identifier, CASE WHEN doc_id % 3 = 0 THEN 't-' || doc_id ELSE '§ ' || source || ' ' || doc_id END AS title,
+  CASE WHEN doc_id % 3 = 0 THEN lang || ',y' ELSE lang || ',x' END AS tags, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[2024-01-01]' END AS date, 'notes' AS folder,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'a,b c' END AS refs, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '§' END AS prefix, doc_id % 3 = 1 AS gptel FROM documents""")
+def note_front_matter(spark, sf_dir):
+    """Front matter of notes, or the parts of the file name where there is none."""
+    k = F.col("doc_id") % 3
+    header = F.concat(F.lit("#+title: § "), "source", F.lit(" "), "doc_id", F.lit("\n#+date: [2024-01-01]\n#+FILETAGS: :"), "lang", F.lit(":x:\n#+reference: a; b c;\n"), F.when(k == 1, F.lit(":GPTEL_MODEL: m\n")).otherwise(""))
+    content = F.concat(F.when(k == 0, F.lit("plain")).otherwise(header), F.lit("\n* H\n#+title: late\n"), "text")
+    path = F.concat(F.lit("/n/org/notes/20240101T000000--t-"), "doc_id", F.lit("__"), "lang", F.lit("_y.org"))
+    m = read(spark, sf_dir, "documents").select("doc_id", chunk_notes.front_matter(content, path).alias("m"))
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return m.select("doc_id", "m.identifier", "m.title", joined("m.filetags", "tags"), "m.date", "m.folder", joined("m.references", "refs"), F.col("m.titlePrefix").alias("prefix"), F.col("m.hasGptelProps").alias("gptel"))
+
+
 @query()
 def note_chunks(spark, sf_dir):
     """Both tiers of chunks of outlines made of all documents."""
@@ -441,9 +515,48 @@ def upsert_by_file(spark, sf_dir):
     return store.replaced(rows, rows.filter("conv_id % 4 = 0 AND turn % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text")), "conv_id")
 
 
-@query("SELECT conv_id, 0 AS n FROM conversations GROUP BY conv_id")
+def _turns(spark, sf_dir) -> DataFrame:
+    """Messages as rows of a chunk table, a file per conversation."""
+    c = read(spark, sf_dir, "conversations")
+    return c.select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), "text", F.array(F.col("turn").cast("float")).alias("vector"), F.concat(F.lit("/c/"), "conv_id").alias("sessionFile"), F.lit("p").alias("project"),
+        F.col("turn").cast("int").alias("lineNumber"), F.lit("").alias("timestamp"), "role", F.lit("pi").alias("source"), F.create_map(F.lit("type"), F.lit("x")).alias("metadata"), "conv_id",
+    )
+
+
+def _store(spark, sf_dir) -> store.ChunkStore:
+    """A store that was filled, had a quarter of its files replaced and a fifth removed, and was compacted."""
+    turns, kept = _turns(spark, sf_dir), store.ChunkStore(spark, _folder(spark), 1, buckets=8).ensure()
+    kept.upsert(turns.drop("conv_id"))
+    kept.upsert(turns.filter("conv_id % 4 = 0 AND lineNumber % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text")).drop("conv_id"))
+    kept.delete_files(turns.filter("conv_id % 5 = 0").select("sessionFile"))
+    kept.compact()
+    return kept
+
+
+STORED = """
+s AS (SELECT conv_id, turn, text FROM conversations WHERE conv_id % 5 <> 0 AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 4 = 0 AND turn % 2 = 0)
+  UNION ALL SELECT conv_id, turn, 'new ' || text FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 4 = 0 AND turn % 2 = 0)"""
+
+
+@query(f"WITH {STORED} SELECT conv_id || ':' || turn AS id, '/c/' || conv_id AS file, turn::INT AS line, text FROM s")
+def store_rows(spark, sf_dir):
+    """The rows of a chunk store after writes, replacement, removal and compaction."""
+    return _store(spark, sf_dir).rows().select("id", F.col("sessionFile").alias("file"), F.col("lineNumber").alias("line"), "text")
+
+
+@query(f"WITH {STORED} SELECT DISTINCT '/c/' || conv_id AS file FROM s")
 def distinct_files(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("n", F.lit(0))
+    """The files that a store has rows of."""
+    return _store(spark, sf_dir).files().select(F.col("sessionFile").alias("file"))
+
+
+@query(f"WITH {STORED} SELECT count(*) AS chunks, count(DISTINCT conv_id) AS indexed_files, (SELECT count(DISTINCT conv_id) FROM conversations) AS total_files, true AS indexed FROM s")
+def store_status(spark, sf_dir):
+    """Counts of a store's status report."""
+    told = jobs.status(_store(spark, sf_dir), _turns(spark, sf_dir).select("sessionFile").distinct())
+    row = [(told["chunks"], told["indexed_files"], told["total_files"], told["indexed"])]
+    return spark.createDataFrame(row, "chunks long, indexed_files long, total_files long, indexed boolean")
 
 
 @query("SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS files, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")

@@ -13,6 +13,8 @@ from lodeframe.operators.knn import vector_search
 from lodeframe.operators.ranking import Scorer, apply_decay, filter_score, mmr, rerank, rerank_by_score
 from lodeframe.schema import NOTE_CONFIG, PAYLOAD, SESSION_CONFIG, RetrieverConfig
 
+#: Hits of all lists up to which they are broadcast past the chunks.
+BROADCAST_HITS = 500_000
 THIN_ROWS, THIN_SCORE, FALLBACK_ROWS = 3, 0.005, 3
 
 
@@ -29,16 +31,17 @@ def expand_queries(queries: DataFrame, dictionary: DataFrame | None) -> DataFram
     return joined.withColumn("enriched", F.when(F.size("expansions") > 0, F.concat_ws(" ", "text", F.array_join("expansions", " "))).otherwise(F.col("text")))
 
 
-def retrieve(vector: DataFrame, text: DataFrame, payload: DataFrame, as_of: Column, config: RetrieverConfig = NOTE_CONFIG, queries: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
+def retrieve(vector: DataFrame, text: DataFrame, payload: DataFrame, as_of: Column, config: RetrieverConfig = NOTE_CONFIG, queries: DataFrame | None = None, scorer: Scorer | None = None, few: bool = False) -> DataFrame:
     """Ranked hits of the fused lists with their payload (id, text, timestamp, ...).
 
     Merge, decay, order, least score, then diversity and an external scorer if asked for.
+    few: the lists are known to be small enough to broadcast past the payload.
     """
     if config.strategy == "rrf":
         fused = rrf(vector, text, config.vector_weight, config.text_weight, config.rrf_k)
     else:
         fused = weighted_merge(vector, text, config.vector_weight, config.text_weight)
-    hits = fused.join(payload, "id")
+    hits = payload.join(F.broadcast(fused) if few else fused, "id")
     hits = filter_score(rerank_by_score(apply_decay(hits, as_of, config.half_life_days, config.parse_org_dates)), config.min_score)
     if config.mmr:
         hits = mmr(hits, config.mmr_lambda)
@@ -49,7 +52,8 @@ def _hybrid(queries: DataFrame, chunks: DataFrame, index: TextIndex | None, embe
     asked = embed_queries(queries.select("qid", F.col("enriched").alias("text")), embedder)
     vector = vector_search(asked.select("qid", "vector"), chunks.select("id", "vector"), each, least)
     text = text_search(queries.select("qid", "text"), index or chunks.select("id", "text"), each, fts_score)
-    return retrieve(vector, text, chunks.select("id", *PAYLOAD), as_of, config, queries, scorer)
+    few = asked.count() * 2 * each <= BROADCAST_HITS
+    return retrieve(vector, text, chunks.select("id", *PAYLOAD), as_of, config, queries, scorer, few)
 
 
 def knowledge_search(queries: DataFrame, notes: DataFrame, embedder: Embedder, as_of: Column, limit: int = 10, dictionary: DataFrame | None = None, config: RetrieverConfig = NOTE_CONFIG, index: TextIndex | None = None, fts_score: str = "bm25", scorer: Scorer | None = None) -> DataFrame:

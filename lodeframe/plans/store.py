@@ -2,14 +2,17 @@
 
 Rows lie in hash buckets of their sessionFile.  A manifest names, per bucket, the
 folder that holds its current rows; an upsert rewrites only the buckets of the files
-it brings, into new folders, and then replaces the manifest by a rename.  Readers see
-the manifest of before or after, never a part of a write.
+it brings, into new folders, and then publishes the next manifest by a rename that
+fails if there is one of that number: of two writers one gets a StoreConflict.  Readers
+see the manifest of before or after, never a part of a write, and the folders of old
+manifests stay for a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +22,19 @@ from lodeframe.schema import CHUNK, CHUNK_COLUMNS
 from lodeframe.sources.files import exists
 
 
+#: Rows that one task writes, and that a file holds at most.
+TASK_ROWS = 500_000
+
+
 def replaced(rows: DataFrame, fresh: DataFrame, key: str = "sessionFile") -> DataFrame:
     """rows without those of any file in fresh, and fresh."""
     return rows.join(fresh.select(key).distinct(), key, "left_anti").select(rows.columns).unionByName(fresh)
 
 
+class StoreConflict(RuntimeError):
+    """Another writer published the next version first; the write may be repeated."""
+
+
 class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, dim: int, buckets: int = 64):
         self.spark, self.path, self.dim, self.buckets = spark, path.rstrip("/"), dim, buckets
@@ -32,33 +43,45 @@ class ChunkStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[str]:
+        """Paths of the manifests, oldest first."""
+        p, fs = self._fs(f"{self.path}/manifest-*.json")
+        return sorted(x.getPath().toString() for x in fs.globStatus(p) or [])
+
     def manifest(self) -> dict:
-        if not exists(self.spark, f"{self.path}/manifest.json"):
-            return {"buckets": self.buckets, "folders": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
+        versions = self._versions()
+        if not versions:
+            return {"number": 0, "buckets": self.buckets, "folders": {}}
+        return json.loads(self.spark.read.text(versions[-1], wholetext=True).first()[0])
 
     def _publish(self, manifest: dict) -> None:
-        target, fs = self._fs(f"{self.path}/manifest.json")
+        """Make the manifest, read before as another one's successor, current; fails if a writer was faster."""
+        manifest["number"] += 1
+        target, fs = self._fs(f"{self.path}/manifest-{manifest['number']:012d}.json")
         draft, _ = self._fs(f"{self.path}/.manifest-{uuid.uuid4().hex}")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(draft, target, options)
+        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(draft, target, options)
+        except Exception as e:
+            fs.delete(draft, False)
+            raise StoreConflict(f"{self.path}: version {manifest['number']} was written by another writer") from e
 
     def digest(self) -> str:
         """A name for the current state of the rows."""
         return hashlib.sha1(json.dumps(self.manifest(), sort_keys=True).encode()).hexdigest()
 
     def exists(self) -> bool:
-        return exists(self.spark, f"{self.path}/manifest.json")
+        return bool(self._versions())
 
     def ensure(self) -> ChunkStore:
         """Create the table if there is none."""
         if not self.exists():
-            self._publish({"buckets": self.buckets, "folders": {}})
+            self._publish({"number": 0, "buckets": self.buckets, "folders": {}})
         return self
 
     def rows(self, buckets: list[int] | None = None) -> DataFrame:
@@ -72,6 +95,12 @@ class ChunkStore:
     def _bucket(self, count: int):
         return F.pmod(F.xxhash64("sessionFile"), F.lit(count)).cast("int")
 
+    def _write(self, rows: DataFrame, n: int, buckets: int, version: str) -> None:
+        """Write rows with `bucket` below a version; a bucket of many rows is written by several tasks."""
+        tasks = max(1, -(-n // max(1, buckets) // TASK_ROWS))
+        dealt = rows.repartition(buckets * tasks, "bucket", F.pmod(F.xxhash64("id"), F.lit(tasks)))
+        dealt.write.option("maxRecordsPerFile", TASK_ROWS).partitionBy("bucket").parquet(f"{self.path}/{version}")
+
     def upsert(self, chunks: DataFrame) -> int:
         """Replace the rows of every file that chunks bring; the number of rows written."""
         manifest = self.ensure().manifest()
@@ -82,8 +111,8 @@ class ChunkStore:
         fresh = self.spark.read.schema(f"{CHUNK}, bucket int").parquet(staged)
         touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most `buckets`
         if touched:
-            both = replaced(self.rows(touched).select(CHUNK_COLUMNS).withColumn("bucket", self._bucket(count)), fresh)
-            both.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+            old = self.rows(touched).select(CHUNK_COLUMNS).withColumn("bucket", self._bucket(count))
+            self._write(replaced(old, fresh), old.count() + fresh.count(), len(touched), version)
             manifest["folders"].update({str(b): f"{version}/bucket={b}" for b in touched})
             self._publish(manifest)
         n = fresh.count()
@@ -99,7 +128,7 @@ class ChunkStore:
         if touched:
             version = f"data/{uuid.uuid4().hex}"
             kept = self.rows(touched).join(gone, "sessionFile", "left_anti").select(CHUNK_COLUMNS)
-            kept.withColumn("bucket", self._bucket(manifest["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+            self._write(kept.withColumn("bucket", self._bucket(manifest["buckets"])), self.rows(touched).count(), len(touched), version)
             for b in touched:
                 if exists(self.spark, f"{self.path}/{version}/bucket={b}"):
                     manifest["folders"][str(b)] = f"{version}/bucket={b}"
@@ -129,24 +158,35 @@ class ChunkStore:
                     n, total = n + 1, total + s.getLen()
         return n, total
 
-    def compact(self, per_file: int = 1_000_000) -> dict:
-        """Rewrite every bucket into few files and remove what no manifest names; counts before and after."""
+    def compact(self, keep_hours: float = 24.0) -> dict:
+        """Rewrite every bucket into few files; counts before and after.
+
+        Versions that are no longer current stay for `keep_hours`, for readers that have begun.
+        """
         manifest, (files_before, bytes_before) = self.manifest(), self.size()
         rows = self.rows()
         n = rows.count()
         if n:
             version = f"data/{uuid.uuid4().hex}"
             keyed = rows.select(CHUNK_COLUMNS).withColumn("bucket", self._bucket(manifest["buckets"]))
-            keyed.repartition("bucket").write.option("maxRecordsPerFile", per_file).partitionBy("bucket").parquet(f"{self.path}/{version}")
+            self._write(keyed, n, max(1, len(manifest["folders"])), version)
             manifest["folders"] = {str(r[0]): f"{version}/bucket={r[0]}" for r in keyed.select("bucket").distinct().collect()}
             self._publish(manifest)
-            p, fs = self._fs(f"{self.path}/data")
-            for s in fs.listStatus(p):
-                if s.getPath().getName() != version.split("/")[1]:
-                    fs.delete(s.getPath(), True)
+        self._expire({f.split("/")[1] for f in self.manifest()["folders"].values()}, keep_hours)
         files_after, bytes_after = self.size()
         return {"rows": n, "files_before": files_before, "files_after": files_after, "bytes_before": bytes_before, "bytes_after": bytes_after}
 
+    def _expire(self, current: set[str], keep_hours: float) -> None:
+        """Remove manifests but the last, and version folders that it does not name, once they are old enough."""
+        oldest = (time.time() - keep_hours * 3600) * 1000
+        paths = [self._fs(v) for v in self._versions()[:-1]]
+        p, fs = self._fs(f"{self.path}/data")
+        if fs.exists(p):
+            paths += [(s.getPath(), fs) for s in fs.listStatus(p) if s.getPath().getName() not in current]
+        for p, fs in paths:
+            if fs.getFileStatus(p).getModificationTime() <= oldest:
+                fs.delete(p, True)
+
 
 def unindexed(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """Files (path, ...) that no indexed row (sessionFile) comes from."""

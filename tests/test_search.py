@@ -60,6 +60,21 @@ def test_nearest_equals_numpy(spark, block):
     assert best == 0.0
 
 
+def test_rows_that_are_not_finite_hide_no_others(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(i, [nan, 1.0]) for i in range(8)] + [(8, [inf, 0.0]), (9, [1.0, 0.0]), (10, [0.0, 1.0])]
+    corpus = spark.createDataFrame(vectors, "id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 0.0])], "qid long, vector array<double>")
+    assert [(r["qid"], r["id"]) for r in knn.nearest(queries, corpus, 3).orderBy("rank").collect()] == [(1, 9), (1, 10)]
+
+
+def test_large_vectors_are_ranked_as_they_are(spark):
+    vectors = [(i, [1e8 + i, 0.0]) for i in range(40)]
+    corpus = spark.createDataFrame(vectors, "id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1e8 + 20.2, 0.0])], "qid long, vector array<double>")
+    assert [r["id"] for r in knn.nearest(queries, corpus, 3).orderBy("rank").collect()] == [20, 21, 19]
+
+
 def test_nearest_without_queries_or_rows(spark):
     none = spark.createDataFrame([], "qid long, vector array<float>")
     corpus = spark.createDataFrame([(1, [1.0])], "id long, vector array<float>")

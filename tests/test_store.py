@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lodeframe import cli
 from lodeframe.operators.embed import HashingEmbedder, embed_documents, embed_query
-from lodeframe.plans import jobs
-from lodeframe.plans.store import ChunkStore, to_reindex
+from lodeframe.plans import jobs, store
+from lodeframe.plans.store import ChunkStore, StoreConflict, to_reindex
 from lodeframe.schema import CHUNK, Paths
 from lodeframe.sources import files as src
 from lodeframe.streaming.incremental import index_stream
@@ -21,6 +21,28 @@ def rows(spark, *files, n=2, mark=""):
     return spark.createDataFrame(data, CHUNK)
 
 
+def test_of_two_writers_one_fails_and_old_versions_expire(spark, tmp_path):
+    s, other = (ChunkStore(spark, str(tmp_path / "t"), 2, buckets=4) for _ in range(2))
+    s.upsert(rows(spark, "/a", "/b"))
+    seen = other.manifest()
+    s.upsert(rows(spark, "/c"))
+    with pytest.raises(StoreConflict):
+        other._publish(seen)
+    assert s.count() == 6
+    folders = lambda: os.listdir(tmp_path / "t" / "data")
+    s.compact()
+    assert len(folders()) > 1
+    s.compact(keep_hours=-1)
+    assert len(folders()) == 1 and s.count() == 6 and len(s._versions()) == 1
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    s = ChunkStore(spark, str(tmp_path / "t"), 2, buckets=1)
+    s.upsert(rows(spark, "/a", n=100))
+    assert s.size()[0] >= 8 and s.count() == 100
+
+
 def test_upsert_replaces_every_file_of_the_batch(spark, tmp_path):
     s = ChunkStore(spark, str(tmp_path / "t"), 2, buckets=4)
     assert not s.exists() and s.upsert(rows(spark, "/a", "/b", "/c")) == 6
@@ -31,6 +53,7 @@ def test_upsert_replaces_every_file_of_the_batch(spark, tmp_path):
     assert before.count() == 6  # a reader of before still sees what it saw
     assert {r[0] for r in s.files().collect()} == {"/a", "/b", "/c", "/d"} and s.count() == 6
     report = s.compact()
+    assert before.count() == 6  # and still after a compaction
     assert report["rows"] == 6 and report["files_after"] <= 4 and s.count() == 6
     s.delete_files(spark.createDataFrame([("/a",), ("/zz",)], "sessionFile string"))
     assert s.count() == 4
