@@ -36,6 +36,8 @@ HASH_BITS = 20
 MAX_ROWS = 12_000
 LEAST_CHI = 20.0
 PENALTIES = (1e-2, 1e-3, 1e-4)
+#: Parts in which the features of the training rows reach the driver: small ones need no buffers beside the heap.
+RESULT_PARTS = 64
 #: Parts of the cross-validation, and rows that it uses at most.
 FOLDS, FOLD_ROWS = 3, 4_000
 THRESHOLD = 0.3
@@ -223,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, least_chi:
             found = [features(x.as_py()).astype("<i4").tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.binary())], names=["doc_id", "toxic", "found"])
 
-    rows = train.select("doc_id", "toxic", "text").mapInArrow(present, "doc_id long, toxic boolean, found binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("found").alias("found")).collect()
+    rows = train.select("doc_id", "toxic", "text").mapInArrow(present, "doc_id long, toxic boolean, found binary").repartition(RESULT_PARTS, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("found").alias("found")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     y = np.array([r["toxic"] for r in rows], dtype=float)
     found = [np.frombuffer(r["found"], dtype="<i4") for r in rows]
