@@ -41,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .checkpoint()
     )
     seen = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # checkpointed: an aggregation right below a join on its key would keep AQE from splitting a hub
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low")).checkpoint()
@@ -52,6 +52,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "n").checkpoint()
         small = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
         now = small.select("e.a", "e.b").filter("a <> b").distinct().checkpoint()
+        if not turn:
+            continue  # nothing settles in the first round
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

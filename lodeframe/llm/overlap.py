@@ -45,8 +45,8 @@ CHUNK = 4_096
 PAIRS = 256
 #: Bits of a key: keys that fall together add pairs to compare and lose none.
 KEY_BITS = 48
-#: Bits of a sieve() for a row, and at most: 4 MB, whatever the input.
-SIEVE_SHARE, SIEVE = 16, 1 << 25
+#: Bits of a sieve() for a row, and at most: half a megabyte, whatever the input, so that it travels with its tasks.
+SIEVE_SHARE, SIEVE = 16, 1 << 22
 
 
 def sieve(values: DataFrame, column: str) -> np.ndarray:
