@@ -1,9 +1,14 @@
 """Command line: python -m lodeframe.cli <command> [arguments]
 
-search-sessions|search <query> [--limit N] [--source pi|claude]
-search-knowledge|knowledge <query> [--limit N]
+search-sessions|search <query> [--limit N] [--source pi|claude] [--dictionary FILE]
+search-knowledge|knowledge <query> [--limit N] [--dictionary FILE]
+benchmark <queries> [--dry-run] [--log FOLDER]
 status | reindex [--force] | index-sessions | index-notes | compact [sessions|notes|all]
 
+A dictionary is JSON lines of term and expansions, which are added to what is embedded of
+a query.  Benchmark queries are JSON lines of qid, text, expected (parts of paths),
+category and difficulty; --dry-run only counts them, --log appends every result there.
+
 Answers are JSON on stdout; errors are JSON on stderr with exit code 1.  The offline
 hashing embedder is used unless an embedder factory `module:function` is named in
 LODEFRAME_EMBEDDER; it is called with a dimension.  INDEX_CONCURRENCY (2) caps the
@@ -17,17 +22,19 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.operators.embed import CONCURRENCY, Embedder, HashingEmbedder
-from lodeframe.plans import jobs, search
+from lodeframe.operators.evaluate import listing
+from lodeframe.plans import benchmark, jobs, search
 from lodeframe.plans.store import ChunkStore
 from lodeframe.present import response, shown
 from lodeframe.schema import NOTE_DIM, SESSION_DIM, Paths, configure
 from lodeframe.sources.files import all_sessions
 
-USAGE = "lodeframe.cli <search-sessions|search-knowledge|status|reindex|index-sessions|index-notes|compact> [args]"
+USAGE = "lodeframe.cli <search-sessions|search-knowledge|benchmark|status|reindex|index-sessions|index-notes|compact> [args]"
 
 
 def parse(args: list[str]) -> tuple[str, list[str], dict[str, str]]:
@@ -54,6 +61,31 @@ def embedder(dim: int) -> Embedder:
     return getattr(importlib.import_module(module), function)(dim)
 
 
+DICTIONARY = "term string, expansions array<string>"
+BENCHMARK = "qid long, text string, expected array<string>, category string, difficulty string"
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        raise Failure(f"No such file: {path}") from None
+
+
+def relevance(spark: SparkSession, notes: ChunkStore, queries: DataFrame, dry: bool, log: str | None) -> str:
+    """Summaries with and without diversity, what it changed, and the queries counted."""
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    if dry:
+        return json.dumps({"listing": rows(listing(queries))}, ensure_ascii=False)
+    if not notes.exists():
+        raise Failure("Notes are not indexed")
+    results = benchmark.run(queries, notes.rows(), embedder(NOTE_DIM), F.current_timestamp()).persist()
+    try:
+        return json.dumps({name: rows(df) for name, df in benchmark.report(results, log).items()}, ensure_ascii=False)
+    finally:
+        results.unpersist()
+
+
 class Failure(Exception):
     def __init__(self, message: str, **more: str):
         super().__init__(message)
@@ -76,16 +108,22 @@ def run(spark: SparkSession, args: list[str], paths: Paths | None = None) -> str
             limit = int(flags.get("limit", "10"))
         except ValueError:
             raise Failure(f"--limit is no number: {flags['limit']}") from None
+        dictionary = json_lines(spark, flags["dictionary"], DICTIONARY) if "dictionary" in flags else None
         asked, now = spark.createDataFrame([(1, query)], "qid long, text string"), F.current_timestamp()
+        expanded = search.expand_queries(asked, dictionary).first()["expansions"] if dictionary is not None else ()
         if command in ("search-knowledge", "knowledge"):
             if not notes.exists():
                 raise Failure("Notes are not indexed")
-            found = search.knowledge_search(asked, notes.rows(), embedder(NOTE_DIM), now, limit, index=jobs.text_index(notes))
-            return response(query, shown(found).collect())
+            found = search.knowledge_search(asked, notes.rows(), embedder(NOTE_DIM), now, limit, dictionary, index=jobs.text_index(notes))
+            return response(query, shown(found).collect(), expanded)
         spare = {"notes": notes.rows(), "note_embedder": embedder(NOTE_DIM), "note_index": jobs.text_index(notes)} if notes.exists() else {}
-        found = search.session_search(asked, sessions.rows(), embedder(SESSION_DIM), now, limit, flags.get("source"), index=jobs.text_index(sessions), **spare)
+        found = search.session_search(asked, sessions.rows(), embedder(SESSION_DIM), now, limit, flags.get("source"), dictionary=dictionary, index=jobs.text_index(sessions), **spare)
         rows = shown(found).collect()
-        return response(query, rows, fallback=any(r["fallback"] for r in rows))
+        return response(query, rows, expanded, fallback=any(r["fallback"] for r in rows))
+    if command == "benchmark":
+        if not query:
+            raise Failure("Usage: benchmark <queries> [--dry-run] [--log FOLDER]")
+        return relevance(spark, notes, json_lines(spark, query, BENCHMARK), flags.get("dry-run") == "true", flags.get("log"))
     if command == "status":
         own, other = jobs.status(sessions, files()), jobs.status(notes)
         return json.dumps({"sessions": {k: own[k] for k in ("chunks", "indexed_files", "total_files")}, "knowledge": {k: other[k] for k in ("chunks", "indexed")}})

@@ -117,6 +117,29 @@ def test_command_line(spark, home, monkeypatch):
     assert cli.parse(["reindex", "--force", "x"])[2] == {"force": "x"}
 
 
+def test_command_line_expansion_and_benchmark(spark, home, tmp_path):
+    paths = Paths(home=str(home), data=str(home / "data"))
+    ask = lambda *a: json.loads(cli.run(spark, list(a), paths))
+    words, asked, log = tmp_path / "words.jsonl", tmp_path / "asked.jsonl", tmp_path / "log"
+    words.write_text(json.dumps({"term": "조인", "expansions": ["range", "joins"]}, ensure_ascii=False))
+    row = {"text": "range joins", "expected": ["joins__spark"], "category": "sql", "difficulty": "easy"}
+    asked.write_text("\n".join(json.dumps({"qid": i} | row) for i in (1, 2)))
+    assert {(r["category"], r["difficulty"]): r["queries"] for r in ask("benchmark", str(asked), "--dry-run")["listing"]}[None, None] == 2
+    with pytest.raises(cli.Failure):
+        ask("benchmark", str(asked))
+    ask("index-notes")
+    found = ask("knowledge", "조인", "--dictionary", str(words))
+    assert found["expanded"] == ["range", "joins"] and found["results"][0]["project"] == "notes"
+    assert "expanded" not in ask("knowledge", "range joins")
+    told = ask("benchmark", str(asked), "--log", str(log))
+    overall = [r for r in told["without"] if r["level"] == "overall"][0]
+    assert overall["queries"] == 2 and overall["hit_rate"] == 1.0 and overall["mrr"] == 1.0 and told["changes"] == []
+    assert spark.read.json(str(log)).count() == 4
+    for bad in (["benchmark"], ["benchmark", str(tmp_path / "none")], ["search", "x", "--dictionary", str(tmp_path / "none")]):
+        with pytest.raises(cli.Failure):
+            cli.run(spark, bad, paths)
+
+
 def test_stream_indexes_each_file_once(spark, home, tmp_path):
     s = ChunkStore(spark, str(tmp_path / "stream"), 16, buckets=2)
     run = lambda: index_stream(spark, f"{home}/.claude/projects", s, HashingEmbedder(16), str(tmp_path / "cp")).awaitTermination()
