@@ -118,3 +118,24 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread, de
 body AS (SELECT r, regexp_replace(coalesce(string_agg(array_to_string(lines, chr(10)), chr(10) ORDER BY run) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS body, count(*) FILTER (level > 0) AS n_quotes FROM runs GROUP BY r)
 SELECT m.conv_id, m.turn, m.role, body, n_quotes, coalesce(n_linked, 0) AS n_linked, reply_to, thread, depth, position, json_object('role', role, 'content', body)::VARCHAR AS chat
 FROM m JOIN body USING (r) LEFT JOIN placed ON placed.conv_id = m.conv_id AND placed.turn = m.turn"""
+
+
+_FEATURES = rf"regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Importance resampling; the CRC-32 of each distinct word by a table of 256 remainders.
+OP12_SQL = f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) AS n(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents),
+df AS (SELECT r, unnest(w) AS w FROM d),
+bf AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM df UNION SELECT w FROM bf)),
+coded AS (SELECT w, xor(list_reduce(list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM hexed, crc),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN coded USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN coded USING (w) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM df) AS all_s, (SELECT count(*) FROM bf) AS all_t),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), total),
+weight AS (SELECT r, sum(gain)::BIGINT AS weight FROM df JOIN coded USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weight USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS wanted FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END AS rank FROM placed"""
