@@ -49,14 +49,16 @@ def feature_words(text: Column) -> Column:
 def feature_buckets(words: Column, buckets: int = BUCKETS, orders: tuple[int, int] = ORDERS) -> Column:
     """Bucket of every run of orders[0] to orders[1] consecutive words, repeats kept."""
 
-    def of_order(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.filter(F.transform(words, lambda _, i: i + 1), lambda i: i <= F.size(words) - (n - 1))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    runs = F.concat(*[of_order(n) for n in range(orders[0], orders[1] + 1)])
-    return F.transform(runs, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))
+    def of_order(held: Column, n: int) -> Column:
+        starts = F.slice(held, 1, F.greatest(F.size(held) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice(held, i + 1, n), " "))
+
+    def runs(held: Column) -> Column:
+        return F.concat(*[held if n == 1 else of_order(held, n) for n in range(orders[0], orders[1] + 1)])
+
+    # the words are bound once: as an expression they would be made anew for each run
+    found = F.get(F.transform(F.array(words), runs), 0)
+    return F.transform(found, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(buckets)).cast("int"))
 
 
 def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
