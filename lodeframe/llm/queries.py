@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodeframe.llm import decontaminate, embeddings, mixing, oracles, quotes, resampling, secrets, sharding, simhash, substrings, toxicity, urls
+from lodeframe.llm import decontaminate, embeddings, mixing, oracles, quotes, resampling, secrets, sharding, simhash, substrings, templates, toxicity, urls
 from lodeframe.llm.session import table
 
 URL_RULES = [
@@ -61,6 +61,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_embeddings": op9_embeddings,
     "op10_secrets": op10_secrets,
+    "op11_html": op11_html,
     "op12_resample": op12_resample,
     "pipeline": corpus_pipeline.run,
 }
