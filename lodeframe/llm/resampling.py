@@ -30,7 +30,8 @@ from lodeframe.llm.ranges import positions
 from lodeframe.llm.session import ready, stored
 from lodeframe.sources.spread import spread
 
-FEATURE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words before A-Z are lower-cased.
+FEATURE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
 ORDERS = (1, 1)
 SEED = 2024
@@ -42,8 +43,10 @@ DIGIT = 16
 
 def feature_words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; null has none."""
-    low = F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.regexp_extract_all(low, F.lit(FEATURE_WORD), F.lit(0)), F.array().cast("array<string>"))
+    words = F.coalesce(F.regexp_extract_all(text.cast("string"), F.lit(FEATURE_WORD), F.lit(0)), F.array().cast("array<string>"))
+    fold = lambda w: F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # lower() is many times faster, and the same where all characters are ASCII
+    return F.transform(words, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(fold(w)))
 
 
 def feature_buckets(words: Column, buckets: int = BUCKETS, orders: tuple[int, int] = ORDERS) -> Column:
@@ -64,11 +67,12 @@ def feature_buckets(words: Column, buckets: int = BUCKETS, orders: tuple[int, in
 def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row, `gains`: thousandths of the log-ratio of each bucket, in bucket order.
 
-    raw and target have a column `found` of buckets.
+    raw and target have a column `found` of buckets; explode_outer, as explode would make
+    it a second time for a filter on its size.
     """
 
     def counts(of: DataFrame, name: str) -> DataFrame:
-        return of.select(F.explode("found").alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+        return of.select(F.explode_outer("found").alias("bucket")).filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias(name))
 
     every = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(counts(raw, "s"), "bucket", "left").join(counts(target, "t"), "bucket", "left").na.fill(0, ["s", "t"])
