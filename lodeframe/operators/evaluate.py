@@ -27,6 +27,21 @@ def metrics(results: DataFrame, queries: DataFrame, depths: tuple[int, ...] = (5
     return out.withColumns({**recalls, "mrr": F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "hit": F.col("first").isNotNull()}).drop("first", *[f"found{k}" for k in depths])
 
 
+def judged_metrics(results: DataFrame, judgments: DataFrame, queries: DataFrame, depths: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """qid, relevant, recall<k>, mrr, hit for every row of queries (qid), by judgments (qid, id) of ranked results (qid, id, rank).
+
+    Judged rows are joined by id and counted, so a query may have any number of them; one
+    without any has recall and mrr 0.  Pairs that judgments repeat count once.
+    """
+    judged = judgments.select("qid", "id").distinct()
+    sizes = judged.groupBy("qid").agg(F.count("*").alias("relevant"))
+    met = judged.join(results.select("qid", "id", "rank"), ["qid", "id"])
+    found = met.groupBy("qid").agg(*[F.countDistinct(F.when(F.col("rank") <= k, F.col("id"))).alias(f"found{k}") for k in depths], F.min("rank").alias("first"))
+    out = queries.select("qid").join(sizes, "qid", "left").join(found, "qid", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0).cast("long")))
+    recalls = [F.when(F.col("relevant") > 0, F.coalesce(f"found{k}", F.lit(0)) / F.col("relevant")).otherwise(0.0).alias(f"recall{k}") for k in depths]
+    return out.select("qid", "relevant", *recalls, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.col("first").isNotNull().alias("hit"))
+
+
 def summary(scored: DataFrame) -> DataFrame:
     """Means overall, by category and by difficulty: level, name, queries, recall5, recall10, mrr, hits, hit_rate."""
     grouped = scored.groupingSets([[], [F.col("category")], [F.col("difficulty")]], F.col("category"), F.col("difficulty")).agg(
