@@ -13,7 +13,7 @@ Per source the driver holds one total and one count per shard (sources are kinds
 origin, thousands at most; a column of urls is not one), and blocks are aggregated
 before any shuffle; a source of a third of all rows is spread over BLOCKS blocks.
 
-Defined results: very long texts are rows like others, so that a target may be missed by
+Defined results: doc_id is of any type with an order.  Very long texts are rows like others, so that a target may be missed by
 half of one.  A null text has no words; documents without words are taken like
 their block and add nothing.  A null source is a source, ordered last.  Rows that
 repeat an id, or have none and repeat a text, are taken together or not.  An empty table gives no rows.  Extra
@@ -137,20 +137,20 @@ def plan(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] = WEIGH
     return rows, draws, sum(r["blocks"] for r in sources)
 
 
-def _taken() -> Column:
+def _taken(draws: DataFrame) -> Column:
     """The draws of the row's block that take the row."""
 
     def takes(d):
         before = (F.col("mix_hash") < d["cut_hash"]) | ((F.col("mix_hash") == d["cut_hash"]) & ((F.col("doc_id") <= d["cut_id"]) | F.col("doc_id").isNull()))
         return d["whole"] | F.coalesce(before, F.lit(False))
 
-    return F.filter(F.coalesce("mix_draws", F.array().cast("array<struct<pass:int,shard:int,whole:boolean,cut_hash:bigint,cut_id:bigint>>")), takes)
+    return F.filter(F.coalesce("mix_draws", F.array().cast(draws.schema["mix_draws"].dataType)), takes)
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, shards for every row of docs."""
     rows, draws, _ = plan(docs, **options)
-    joined = rows.join(draws, _AT).withColumn("mix_taken", _taken())
+    joined = rows.join(draws, _AT).withColumn("mix_taken", _taken(draws))
     copies = F.size("mix_taken").cast("long")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.transform("mix_taken", lambda d: d["shard"]).alias("shards"))
 
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     draws = draws.select(*_AT, "mix_draws")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").alias("mix_id"), *_keys(docs)).select("row", F.col("mix_id").alias("doc_id"), *_AT, "mix_hash")
-    out = keyed.join(F.broadcast(draws) if n <= BROADCAST_ROWS else draws, _AT).select("row", "mix_hash", F.explode(_taken()).alias("draw"))
+    out = keyed.join(F.broadcast(draws) if n <= BROADCAST_ROWS else draws, _AT).select("row", "mix_hash", F.explode(_taken(draws)).alias("draw"))
     shard, order = ("_" * any(c.lower() == name for c in docs.columns) + name for name in ("mix_shard", "mix_order"))
     return out.select("row.*", F.col("draw.shard").alias(shard), F.xxhash64("mix_hash", "draw.pass", "draw.shard").alias(order))
 

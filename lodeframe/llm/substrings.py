@@ -271,7 +271,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .withColumnRenamed("doc_id", "least_id")
         .withColumnRenamed("text_hash", "own_hash")
     )
-    joined = source.join(wanted, (F.col("doc_id") == F.col("least_id")) & (F.col("text_hash") == F.col("own_hash"))).select("wanted", "least_id", "text")
+    # rows that repeat an id and a text are one owner: its windows go to the index once
+    owners = source.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    joined = owners.join(wanted, (F.col("doc_id") == F.col("least_id")) & (F.col("text_hash") == F.col("own_hash"))).select("wanted", "least_id", "text")
     pieces = stored(joined.mapInArrow(_content_batches, "window long, anchor long, bundle long, skip int, n int, least_id long, words array<long>"))
     discard(classes, crowded)
     # equal windows of frequent anchors are one entry of the index, merged before they are dealt out
@@ -282,7 +284,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = stored(entries.repartition(shards, "shard").select(*_ENTRY).mapInArrow(_shard_batches, "window long, anchor long, bundle long, least array<long>"))
     told = found.filter("window IS NOT NULL").select("window", F.get("least", F.lit(0)).alias("one"))
     parts = pieces.filter("window IS NOT NULL").select("window", "anchor", "bundle", "skip").join(told, "window")
-    parts = parts.groupBy("anchor", "bundle").agg(F.sort_array(F.collect_list(F.struct("skip", "one"))).alias("parts"))  # at most n parts of a bundle
+    parts = parts.groupBy("anchor", "bundle").agg(F.sort_array(F.collect_set(F.struct("skip", "one"))).alias("parts"))  # at most n parts of a bundle
     least = stored(found.filter("window IS NULL").select("anchor", "bundle", "least").unionByName(parts.select("anchor", "bundle", F.col("parts.one").alias("least"))))
     discard(pieces, found)
     smaller = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), i)), lambda i: i.isNotNull())

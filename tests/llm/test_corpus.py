@@ -134,6 +134,17 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_table(frame.filter("false")).count() == 0 and mixing.mix(frame.filter("false")).count() == 0
 
 
+def test_mix_with_string_ids(spark):
+    rng = random.Random(7)
+    rows = [(f"d{i:04}" if i % 50 else None, "w " * rng.choice([0, 1, 10, 50]) + str(i), rng.choice(["a", "hot", "hot", None])) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = mixing.mix_table(frame).collect()
+    assert len(got) == len(rows) and isinstance(got[0]["doc_id"] or "", str)
+    for target in {r["target"] for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == target) - target) <= 60
+    assert mixing.mix(frame).count() == sum(r["copies"] for r in got)
+
+
 def test_mix_is_written_by_shard(spark, tmp_path):
     frame = sourced(spark, [(i, "a b c", f"s{i % 3}") for i in range(60)])
     mixing.write_mix(frame, str(tmp_path / "mix"), shards=4)
@@ -272,6 +283,18 @@ def test_substrings_equal_brute_force(spark, monkeypatch, hot, slice_):
     assert substrings.remove_repeats(frame.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 8, 64])
+def test_owners_of_repeated_windows_that_are_repeated_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    rows = [(i, " ".join(words(20 + i % 30) + shared + words(70) + (shared if i % 9 == 0 else []))) for i in range(100)]
+    rows = rows[:15] * 2 + rows[:3] * 3 + rows[15:] + rows[40:50]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((tuple(r) for r in substrings.remove_repeats(frame).collect()), key=str) == brute_substrings(rows)
+
+
 def test_op5_equals_brute_force(spark):
     rows = [tuple(r) for r in session.table(spark, TESTDATA, "documents").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in queries.op5_substrings(spark, TESTDATA).collect()), key=str) == brute_substrings(rows)
