@@ -1,27 +1,30 @@
 """Outline notes (org files): front matter, headings, and two tiers of chunks.
 
-A file is cut inside its row, by array functions: nothing is shuffled.  A section
+A file is cut inside its row: nothing is shuffled.  Front matter and the embedded text
+are SQL functions; sections and pieces need a stack and running sums and are found in
+Arrow batches (outline.py), in time linear in the chunks.  A section
 holds the text of the sections below it; an archived heading gives no chunks of its
 own but stays in its parent's text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lodeframe.functions.text import SPACE, bind, enriched, trim_all, utf16_length
+from lodeframe.operators import outline
 from lodeframe.schema import FOLDER_LIMITS
 from lodeframe.sources.files import note_folder
 from lodeframe.sources.spread import spread
 
 MIN_FILE, MIN_HEADING, MIN_CONTENT = 50, 20, 30
-HEADING = rf"^(\*+){SPACE}+(.+?)(?:{SPACE}+(:[a-zA-Z0-9_:]+:))?{SPACE}*$"
-_IN_LINE = r"[\s&&[^\n]]*"
-_DRAWER = rf"\n{_IN_LINE}:PROPERTIES:{_IN_LINE}(?=\n|\z)(?s:.*?)(?:\n{_IN_LINE}:END:{_IN_LINE}(?=\n|\z)|\z)"
-_BLOCKS = rf"\n{_IN_LINE}#\+(?:BEGIN_|END_|begin_|end_)[^\n]*"
-#: Directives whose lines are dropped, any case.
-_DIRECTIVES = rf"\n{_IN_LINE}(?i:#\+(?:title|date|filetags|identifier|export|hugo|description|OPTIONS|STARTUP|reference))[^\n]*"
+#: Chunks that a task holds at once: rows, and characters of their texts and hierarchies.
+BATCH_ROWS, BATCH_CHARS = 2_000, 8_000_000
 
 
 def _parts(text: Column, by: str) -> Column:
@@ -73,115 +76,71 @@ def front_matter(content: Column, path: Column) -> Column:
     return bind(F.struct(header.alias("header"), parse_name(path).alias("name")), build)
 
 
-def headings(content: Column) -> Column:
-    """array<struct<level, title, tags, lineNumber, properties, isArchive, isLlmlog>>, lines from 1."""
-
-    def drawer(lines, i):
-        def entries(rest):
-            inside = F.slice(rest, F.lit(1), F.when(F.array_position(rest, ":END:") > 0, F.array_position(rest, ":END:") - 1).otherwise(F.size(rest)).cast("int"))
-            fits = F.filter(inside, lambda x: F.regexp(x, F.lit("^:([A-Z_]+):")))
-            return F.map_from_entries(F.transform(fits, lambda x: F.struct(F.regexp_extract(x, r"^:([A-Z_]+):\s*(.*)$", 1), F.regexp_extract(x, r"^:([A-Z_]+):\s*(.*)$", 2))))
-
-        opened = trim_all(F.coalesce(F.get(lines, i + 1), F.lit(""))) == ":PROPERTIES:"
-        rest = F.transform(F.slice(lines, i + 3, F.size(lines)), trim_all)
-        return F.when(opened, bind(rest, entries)).otherwise(F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>")))
-
-    def found(lines):
-        starred = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: F.regexp(x["line"], F.lit(HEADING)))
-
-        def heading(x):
-            return bind(
-                _parts(F.regexp_extract(x["line"], HEADING, 3), ":"),
-                lambda tags: F.struct(
-                    F.length(F.regexp_extract(x["line"], HEADING, 1)).alias("level"),
-                    trim_all(F.regexp_extract(x["line"], HEADING, 2)).alias("title"),
-                    tags.alias("tags"),
-                    (x["i"] + 1).alias("lineNumber"),
-                    drawer(lines, x["i"]).alias("properties"),
-                    F.array_contains(tags, "ARCHIVE").alias("isArchive"),
-                    F.array_contains(tags, "LLMLOG").alias("isLlmlog"),
-                ),
-            )
+@F.arrow_udf(ArrayType(StructType([StructField("text", StringType()), StructField("offsetLines", IntegerType())])))
+def sub_chunks(text: pa.Array, most: pa.Array, overlap: pa.Array) -> pa.Array:
+    """array<struct<text, offsetLines>>: greedy packing of lines, see outline.pack(); null for a null text."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("offsetLines", pa.int32())]))
+    rows = zip(text.to_pylist(), most.to_pylist(), overlap.to_pylist())
+    return pa.array([None if t is None else [{"text": piece, "offsetLines": at} for piece, at, _ in outline.pack(t, m, o)] for t, m, o in rows], kind)
 
-        return F.transform(starred, heading)
 
-    return bind(F.split(content, "\n"), found)
-
-
-def hierarchy(all_: Column, i: Column) -> Column:
-    """Titles of earlier headings of a lower level, back to the nearest of level 1, then the heading's own."""
-    own, before = F.get(all_, i), F.slice(all_, 1, i)
-    tops = F.filter(F.transform(before, lambda h, j: F.when(h["level"] == 1, j)), lambda j: j.isNotNull())
-    start = F.when(own["level"] == 1, F.lit(0)).otherwise(F.coalesce(F.array_max(tops), F.lit(0)))
-    above = F.filter(before, lambda h, j: (j >= start) & (h["level"] < own["level"]))
-    return F.array_join(F.transform(F.array_append(above, own), lambda h: h["title"]), " > ")
+def _limits(folder: Column, which: int) -> Column:
+    table = F.create_map(*[F.lit(v) for k, pair in FOLDER_LIMITS.items() for v in (k, pair[which])])
+    return F.coalesce(F.try_element_at(table, folder), F.lit(FOLDER_LIMITS["default"][which]))
 
 
-def section_end(all_: Column, i: Column, n_lines: Column) -> Column:
-    """Number of lines up to the next heading of the same or a lower level."""
-    level = F.get(all_, i)["level"]
-    following = F.filter(F.slice(all_, i + 2, F.size(all_)), lambda h: h["level"] <= level)
-    return F.coalesce(F.get(following, F.lit(0))["lineNumber"] - 1, n_lines)
+_HEADING = "level int, title string, tags array<string>, lineNumber int, properties map<string,string>, isArchive boolean, isLlmlog boolean"
+_HEADING_TYPE = pa.struct(
+    [("level", pa.int32()), ("title", pa.string()), ("tags", pa.list_(pa.string())), ("lineNumber", pa.int32()), ("properties", pa.map_(pa.string(), pa.string())), ("isArchive", pa.bool_()), ("isLlmlog", pa.bool_())]
+)
 
 
-def content_between(lines: Column, start: Column, end: Column) -> Column:
-    """Text of lines start..end (0-based, end exclusive) without drawers and directives, trimmed."""
-    text = F.concat(F.lit("\n"), F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n"))
-    for pattern in (_DRAWER, _BLOCKS, _DIRECTIVES):
-        text = F.regexp_replace(text, pattern, "")
-    return trim_all(text)
+def _heading(h: outline.Heading) -> dict:
+    return h._asdict() | {"properties": list(h.properties.items())}
 
 
-def sub_chunks(text: Column, most: Column, overlap: Column) -> Column:
-    """array<struct<text, offsetLines>>: greedy packing of lines into at most `most` units.
+def _dealt(batches: Iterator[pa.RecordBatch], each: Callable, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, metadata, content, ...) to those that each(content, ...) yields, with their path and metadata.
 
-    A full chunk closes before the line that would not fit; the next one begins with
-    its last lines of at least `overlap` units.  A line is never cut.
+    What is yielded at once is bounded by its rows and by the last value of each, its size.
     """
-    kind = "array<struct<start:int,stop:int>>"
+    for batch in batches:
+        at, out, size = [], [], 0
 
-    def fold(lines):
-        costs = F.transform(lines, lambda x: utf16_length(x) + 1)
+        def ready():
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *columns], ["path", "metadata", *names])
 
-        def step(s, cost):
-            full = (s["chars"] + cost > most) & (F.size(s["own"]) > 0)
-            carried = F.aggregate(
-                F.reverse(s["own"]),
-                F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")),
-                lambda a, c: F.when(a["chars"] < overlap, F.struct((a["chars"] + c).alias("chars"), (a["n"] + 1).alias("n"))).otherwise(a),
-            )
+        for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+            for values in each(*row):
+                at.append(i)
+                out.append(values[:-1])
+                size += values[-1]
+                if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+                    yield ready()
+                    at, out, size = [], [], 0
+        if out:
+            yield ready()
 
-            def after(c):
-                kept = F.slice(s["own"], F.size(s["own"]) - c["n"] + 1, c["n"])
-                return F.struct(
-                    (s["at"] + 1).alias("at"),
-                    (s["at"] - c["n"]).alias("start"),
-                    (c["chars"] + cost).alias("chars"),
-                    F.array_append(kept, cost).alias("own"),
-                    F.array_append(s["done"], F.struct(s["start"].alias("start"), s["at"].alias("stop"))).alias("done"),
-                )
 
-            more = F.struct((s["at"] + 1).alias("at"), s["start"].alias("start"), (s["chars"] + cost).alias("chars"), F.array_append(s["own"], cost).alias("own"), s["done"].alias("done"))
-            return F.when(full, bind(carried, after)).otherwise(more)
+def note_headings(files: DataFrame) -> DataFrame:
+    """path, heading fields, hierarchy and sectionEnd of every heading of files (path, content).
 
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("own"), F.array().cast(kind).alias("done"))
-        spans = F.aggregate(costs, zero, step, lambda s: F.array_append(s["done"], F.struct(s["start"].alias("start"), s["at"].alias("stop"))))
-        return F.transform(spans, lambda p: F.struct(F.array_join(F.slice(lines, p["start"] + 1, p["stop"] - p["start"]), "\n").alias("text"), p["start"].alias("offsetLines")))
+    sectionEnd is the number of lines up to the next heading of the same or a lower level.
+    """
 
-    whole = F.array(F.struct(text.alias("text"), F.lit(0).alias("offsetLines")))
-    return F.when(utf16_length(text) <= most, whole).otherwise(bind(F.split(text, "\n"), fold))
+    def each(content):
+        lines = content.split("\n")
+        found = outline.find_headings(lines)
+        for h, above, end in zip(found, outline.hierarchies(found), outline.section_ends(found, len(lines))):
+            yield _heading(h), above, end, len(above)
 
+    def run(batches):
+        yield from _dealt(batches, each, ["h", "hierarchy", "sectionEnd"], [_HEADING_TYPE, pa.string(), pa.int32()])
 
-def _limits(folder: Column, which: int) -> Column:
-    table = F.create_map(*[F.lit(v) for k, pair in FOLDER_LIMITS.items() for v in (k, pair[which])])
-    return F.coalesce(F.try_element_at(table, folder), F.lit(FOLDER_LIMITS["default"][which]))
-
-
-def note_headings(files: DataFrame) -> DataFrame:
-    """path, heading fields and hierarchy of every heading of files (path, content)."""
-    cut = spread(files.select("path", "content")).select("path", headings(F.col("content")).alias("all"))
-    rows = cut.select("path", "all", F.posexplode_outer("all").alias("i", "h")).filter("h IS NOT NULL")
-    return rows.select("path", "h.*", hierarchy(F.col("all"), F.col("i")).alias("hierarchy"))
+    base = spread(files.filter("content IS NOT NULL").select("path", F.lit(0).alias("metadata"), "content"))
+    rows = base.mapInArrow(run, f"path string, metadata int, h struct<{_HEADING}>, hierarchy string, sectionEnd int")
+    return rows.select("path", "h.*", "hierarchy", "sectionEnd")
 
 
 def note_chunks(files: DataFrame) -> DataFrame:
@@ -189,38 +148,38 @@ def note_chunks(files: DataFrame) -> DataFrame:
 
     id, text, rawText, path, folder, lineNumber, endLineNumber, chunkType, metadata, hierarchy, heading.
     """
-    base = spread(files.select("path", "content")).select("path", "content", front_matter(F.col("content"), F.col("path")).alias("metadata"), headings(F.col("content")).alias("all"), F.split("content", "\n").alias("lines"))
-    base = base.filter(utf16_length(F.col("content")) >= MIN_FILE).drop("content")
-    one = F.posexplode_outer(F.when(F.size("all") > 0, F.transform("all", lambda h, i: i)).otherwise(F.array().cast("array<int>"))).alias("_p", "i")
-    rows = base.select("path", "metadata", "all", "lines", one)
-    has = F.col("i").isNotNull()
-    rows = rows.withColumn("heading", F.when(has, F.get("all", "i"))).filter(~has | ~F.col("heading.isArchive"))
-    rows = rows.withColumn("hierarchy", F.when(has, hierarchy(F.col("all"), F.col("i"))).otherwise(""))
-    meta, tags = F.col("metadata"), F.coalesce("heading.tags", F.array().cast("array<string>"))
-
-    def rich(content):
-        return enriched(meta["title"], meta["filetags"], F.col("hierarchy"), tags, F.coalesce("heading.isArchive", F.lit(False)), content)
-
-    def chunk(id_, text, raw, line, end, kind):
-        return F.struct(id_.alias("id"), text.alias("text"), raw.alias("rawText"), line.cast("int").alias("lineNumber"), end.cast("int").alias("endLineNumber"), F.lit(kind).alias("chunkType"))
-
-    line = F.col("heading.lineNumber")
-    first = bind(rich(F.lit("")), lambda t: F.when(has & (utf16_length(t) >= MIN_HEADING), F.array(chunk(F.concat("path", F.lit(":h"), line.cast("string")), t, F.col("heading.title"), line, line, "heading"))))
-    start = F.when(has, line).otherwise(0)
-    end = F.when(has, section_end(F.col("all"), F.col("i"), F.size("lines"))).otherwise(F.size("lines"))
-    content = content_between(F.col("lines"), start, end)
-    most, overlap = _limits(meta["folder"], 0), _limits(meta["folder"], 1)
-
-    def piece(p, j):
-        n = F.size(F.split(p["text"], "\n"))
-        id_ = F.when(has, F.concat_ws(":", F.concat("path", F.lit(":c"), line.cast("string")), j.cast("string"))).otherwise(F.concat("path", F.lit(":c"), j.cast("string")))
-        at = F.when(has, line + p["offsetLines"]).otherwise(p["offsetLines"] + 1)
-        return chunk(id_, rich(p["text"]), p["text"], at, F.when(has, line + p["offsetLines"] + n).otherwise(p["offsetLines"] + n), "content")
-
-    pieces = bind(content, lambda c: F.when(utf16_length(c) >= MIN_CONTENT, F.transform(sub_chunks(c, most, overlap), piece)))
-    none = F.array().cast("array<struct<id:string,text:string,rawText:string,lineNumber:int,endLineNumber:int,chunkType:string>>")
-    out = rows.select("path", "metadata", "hierarchy", "heading", F.explode_outer(F.concat(F.coalesce(first, none), F.coalesce(pieces, none))).alias("c")).filter("c IS NOT NULL")
-    return out.select("c.id", "c.text", "c.rawText", "path", F.col("metadata.folder").alias("folder"), "c.lineNumber", "c.endLineNumber", "c.chunkType", "metadata", "hierarchy", "heading")
+
+    def pieces(content, of, above, line, first, most, overlap):
+        if outline.utf16_size(content) >= MIN_CONTENT:
+            for j, (raw, at, n) in enumerate(outline.pack(content, most, overlap)):
+                yield of, above, "content", j, raw, line + at + first, line + at + n, len(raw) + len(above)
+
+    def each(content, most, overlap):
+        lines = content.split("\n")
+        found = outline.find_headings(lines)
+        if not found:
+            yield from pieces(outline.content_of(lines, 0, len(lines)), None, "", 0, 1, most, overlap)
+        for h, above, end in zip(found, outline.hierarchies(found), outline.section_ends(found, len(lines))):
+            if not h.isArchive:
+                of = _heading(h)
+                yield of, above, "heading", 0, h.title, h.lineNumber, h.lineNumber, len(above)
+                yield from pieces(outline.content_of(lines, h.lineNumber, end), of, above, h.lineNumber, 0, most, overlap)
+
+    def run(batches):
+        names, types = ["heading", "hierarchy", "chunkType", "j", "rawText", "lineNumber", "endLineNumber"], [_HEADING_TYPE, pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+        yield from _dealt(batches, each, names, types)
+
+    base = spread(files.filter(utf16_length(F.col("content")) >= MIN_FILE).select("path", "content"))
+    base = base.select("path", front_matter(F.col("content"), F.col("path")).alias("metadata"), "content")
+    base = base.select("path", "metadata", "content", _limits(F.col("metadata.folder"), 0).alias("most"), _limits(F.col("metadata.folder"), 1).alias("overlap"))
+    kind = base.schema["metadata"].dataType.simpleString()
+    rows = base.mapInArrow(run, f"path string, metadata {kind}, heading struct<{_HEADING}>, hierarchy string, chunkType string, j int, rawText string, lineNumber int, endLineNumber int")
+    meta, is_heading = F.col("metadata"), F.col("chunkType") == "heading"
+    tags = F.coalesce("heading.tags", F.array().cast("array<string>"))
+    text = enriched(meta["title"], meta["filetags"], F.col("hierarchy"), tags, F.coalesce("heading.isArchive", F.lit(False)), F.when(is_heading, "").otherwise(F.col("rawText")))
+    own = F.when(is_heading, F.concat(F.lit("h"), F.col("heading.lineNumber"))).otherwise(F.concat(F.lit("c"), F.concat_ws(":", "heading.lineNumber", "j")))
+    rows = rows.withColumns({"text": text, "id": F.concat_ws(":", "path", own)}).filter(~is_heading | (utf16_length(F.col("text")) >= MIN_HEADING))
+    return rows.select("id", "text", "rawText", "path", F.col("metadata.folder").alias("folder"), "lineNumber", "endLineNumber", "chunkType", "metadata", "hierarchy", "heading")
 
 
 def as_chunks(notes: DataFrame) -> DataFrame:

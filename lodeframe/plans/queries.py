@@ -470,9 +470,7 @@ def note_headings(spark, sf_dir):
 SELECT '/org/notes/' || doc_id || '.org' AS path, (i + 1)::INT AS line, coalesce(list_filter(coalesce(after, []), lambda h: h.level <= hw.level)[1].i, n)::INT AS section_end FROM hw""")
 def note_sections(spark, sf_dir):
     """A section runs to the next heading of its level or a lower one."""
-    cut = spread(_notes(spark, sf_dir)).select("path", chunk_notes.headings(F.col("content")).alias("all"), F.size(F.split("content", "\n")).alias("n"))
-    rows = cut.select("path", "all", "n", F.posexplode_outer("all").alias("i", "h")).filter("h IS NOT NULL")
-    return rows.select("path", F.col("h.lineNumber").alias("line"), chunk_notes.section_end(F.col("all"), F.col("i"), F.col("n")).cast("int").alias("section_end"))
+    return chunk_notes.note_headings(_notes(spark, sf_dir)).select("path", F.col("lineNumber").alias("line"), F.col("sectionEnd").alias("section_end"))
 
 
 @query("""
@@ -490,10 +488,89 @@ def note_front_matter(spark, sf_dir):
     return m.select("doc_id", "m.identifier", "m.title", joined("m.filetags", "tags"), "m.date", "m.folder", joined("m.references", "refs"), F.col("m.titlePrefix").alias("prefix"), F.col("m.hasGptelProps").alias("gptel"))
 
 
-@query()
+def _full_notes(spark, sf_dir) -> DataFrame:
+    """Notes with front matter, drawers, blocks, directives and tags, made of all documents; the lines are the documents'."""
+
+    def line(x, i):
+        told = (
+            F.when(i % 7 == 0, F.concat(F.lit("* "), x, F.lit(" :Alpha:y:\n:PROPERTIES:\n:ID: 1\n:END:")))
+            .when(i % 7 == 2, F.concat(F.lit("** "), x, F.lit("\n#+BEGIN_SRC sql\nSELECT 1\n#+END_SRC")))
+            .when(i % 14 == 4, F.concat(F.lit("*** "), x, F.lit(" :ARCHIVE:")))
+            .when(i % 14 == 11, F.concat(F.lit("*** "), x, F.lit("\n  #+Title: gone\n#+begin_note\n#+Begin_kept")))
+            .when(i % 21 == 5, F.concat(F.lit(" :PROPERTIES: \n"), x))  # closed by a later drawer's end, or by none
+        )
+        return F.coalesce(told, x)
+
+    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    folder = F.element_at(F.array(F.lit("notes"), F.lit("journal"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = F.concat(F.lit("/n/org/"), folder, F.lit("/20240101T000000--t__alpha_"), "lang", F.lit("-"), "doc_id", F.lit(".org"))
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("#+title: On "), "source", F.lit("\n#+filetags: :alpha:"), "lang", F.lit(":\n"))).otherwise("")
+    return read(spark, sf_dir, "documents").select(path.alias("path"), F.concat(head, body).alias("content"))
+
+
+_BLANK = r"[\s\v\p{Z}\x{FEFF}]"
+
+
+def _trimmed(text: str) -> str:
+    return rf"regexp_replace({text}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+_HEADING = rf"^(\*+){_BLANK}+(.+?)(?:{_BLANK}+(:[a-zA-Z0-9_:]+:))?{_BLANK}*$"
+_BARE = r"regexp_replace(x, '^[\s\v]+|[\s\v]+$', '', 'g')"
+#: Notes of documents, their lines, headings, sections, and the greedy packing of the sections' lines.
+NOTE_CHUNKS_SQL = rf"""
+WITH RECURSIVE raw AS (SELECT doc_id, lang, source, ['notes', 'journal', 'other'][(doc_id % 3 + 1)::INT] AS folder, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+made AS (SELECT doc_id, lang, source, folder, '/n/org/' || folder || '/20240101T000000--t__alpha_' || lang || '-' || doc_id || '.org' AS path,
+  CASE WHEN doc_id % 2 = 0 THEN '#+title: On ' || source || chr(10) || '#+filetags: :alpha:' || lang || ':' || chr(10) ELSE '' END || array_to_string(list_transform(a, lambda x, k:
+    CASE WHEN (k - 1) % 7 = 0 THEN '* ' || x || ' :Alpha:y:' || chr(10) || ':PROPERTIES:' || chr(10) || ':ID: 1' || chr(10) || ':END:'
+      WHEN (k - 1) % 7 = 2 THEN '** ' || x || chr(10) || '#+BEGIN_SRC sql' || chr(10) || 'SELECT 1' || chr(10) || '#+END_SRC'
+      WHEN (k - 1) % 14 = 4 THEN '*** ' || x || ' :ARCHIVE:'
+      WHEN (k - 1) % 14 = 11 THEN '*** ' || x || chr(10) || '  #+Title: gone' || chr(10) || '#+begin_note' || chr(10) || '#+Begin_kept'
+      WHEN (k - 1) % 21 = 5 THEN ' :PROPERTIES: ' || chr(10) || x ELSE x END), chr(10)) AS content FROM raw),
+notes AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'On ' || source ELSE 't' END AS title, ['alpha', CASE WHEN doc_id % 2 = 0 THEN lang ELSE lang || '-' || doc_id END] AS filetags, folder IN ('journal') AS short
+  FROM made WHERE length(content) >= 50),
+ln AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i, len(a) AS n FROM (SELECT doc_id, string_split(content, chr(10)) AS a FROM notes)),
+hd AS (SELECT doc_id, i, n, length(regexp_extract(x, '^(\*+)', 1)) AS level,
+    {_trimmed(f"regexp_extract(x, '{_HEADING}', 2)")} AS title,
+    list_filter(string_split(regexp_extract(x, '{_HEADING}', 3), ':'), lambda t: t <> '') AS tags
+  FROM ln WHERE regexp_matches(x, '{_HEADING}')),
+hw AS (SELECT *, list_contains(tags, 'ARCHIVE') AS archived,
+  coalesce(list({{'level': level, 'title': title, 'i': i}}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS before,
+  coalesce(list({{'level': level, 'i': i}}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []) AS after FROM hd),
+hs AS (SELECT doc_id, i, tags, title, i + 1 AS start, coalesce(list_filter(after, lambda h: h.level <= hw.level)[1].i, n) AS stop,
+  array_to_string(list_transform(list_filter(before, lambda h: h.level < hw.level AND h.i >= coalesce(list_max(list_transform(list_filter(before, lambda t: t.level = 1), lambda t: t.i)), 0)), lambda h: h.title) || [title], ' > ') AS hierarchy
+  FROM hw WHERE NOT archived
+  UNION ALL SELECT doc_id, NULL, [], NULL, 0, any_value(n), '' FROM ln WHERE doc_id NOT IN (SELECT doc_id FROM hd) GROUP BY doc_id),
+sl AS (SELECT hs.doc_id, hs.start, ln.i, x, CASE WHEN {_BARE} = ':PROPERTIES:' THEN 1 WHEN {_BARE} = ':END:' THEN 2 END AS mark FROM hs JOIN ln ON ln.doc_id = hs.doc_id AND ln.i >= hs.start AND ln.i < hs.stop),
+sm AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS now, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id, start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM sl WINDOW w AS (PARTITION BY doc_id, start ORDER BY i)),
+kept AS (SELECT doc_id, start, i, x FROM sm WHERE coalesce(now, 0) <> 1 AND NOT (coalesce(mark, 0) = 2 AND coalesce(was, 0) = 1)
+  AND NOT regexp_matches(x, '^[\s\v]*#\+(BEGIN_|END_|begin_|end_)') AND NOT regexp_matches(x, '(?i)^[\s\v]*#\+(title|date|filetags|identifier|export|hugo|description|OPTIONS|STARTUP|reference)')),
+body AS (SELECT doc_id, start, {_trimmed("string_agg(x, chr(10) ORDER BY i)")} AS text FROM kept GROUP BY doc_id, start),
+sized AS (SELECT hs.*, body.text, CASE WHEN short THEN 3200 ELSE 4000 END AS most, CASE WHEN short THEN 200 ELSE 300 END AS overlap FROM hs JOIN body USING (doc_id, start) JOIN notes USING (doc_id) WHERE length(body.text) >= 30),
+bl AS (SELECT doc_id, start, most, overlap, unnest(a) AS x, unnest(range(len(a))) AS k FROM (SELECT doc_id, start, most, overlap, string_split(text, chr(10)) AS a FROM sized WHERE length(text) > most)),
+p AS (SELECT doc_id, start, most, overlap, list(x ORDER BY k) AS x, [0] || list(pre ORDER BY k) AS pre, count(*) AS n FROM (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id, start ORDER BY k)::BIGINT AS pre FROM bl) GROUP BY ALL),
+c AS (
+  SELECT doc_id, start, most, overlap, x, pre, n, 0::BIGINT AS j, 0::BIGINT AS a, list_min(list_filter(range(1, n + 1), lambda y: y = n OR pre[y + 2] > most)) AS z FROM p
+  UNION ALL
+  SELECT doc_id, start, most, overlap, x, pre, n, j + 1, s, list_min(list_filter(range(z + 1, n + 1), lambda y: y = n OR pre[y + 2] - pre[s + 1] > most))
+  FROM (SELECT *, coalesce(list_max(list_filter(range(a, z + 1), lambda y: pre[z + 1] - pre[y + 1] >= overlap)), a) AS s FROM c WHERE z < n)),
+pieces AS (SELECT doc_id, start, j, a, z - a AS n, array_to_string(x[a + 1:z], chr(10)) AS raw FROM c
+  UNION ALL SELECT doc_id, start, 0, 0, len(string_split(text, chr(10))), text FROM sized WHERE length(text) <= most),
+every AS (
+  SELECT doc_id, i, tags, hierarchy, 'heading' AS kind, 0 AS j, '' AS raw, i + 1 AS line, i + 1 AS last FROM hs WHERE i IS NOT NULL
+  UNION ALL SELECT doc_id, i, tags, hierarchy, 'content', j, raw, CASE WHEN i IS NULL THEN a + 1 ELSE i + 1 + a END, CASE WHEN i IS NULL THEN a + pieces.n ELSE i + 1 + a + pieces.n END FROM pieces JOIN hs USING (doc_id, start)),
+rich AS (SELECT every.*, path, concat_ws(chr(10), n.title, '[' || array_to_string(filetags, ', ') || ']', CASE WHEN hierarchy <> '' AND hierarchy <> n.title THEN '> ' || hierarchy END,
+    CASE WHEN len(list_filter(tags, lambda t: NOT list_contains(filetags, lower(t)))) > 0 THEN '(' || array_to_string(list_filter(tags, lambda t: NOT list_contains(filetags, lower(t))), ', ') || ')' END,
+    CASE WHEN raw <> '' THEN chr(10) || raw END) AS text FROM every JOIN notes n USING (doc_id))
+SELECT path || CASE WHEN kind = 'heading' THEN ':h' || line WHEN i IS NULL THEN ':c' || j ELSE ':c' || (i + 1) || ':' || j END AS id, text, path, line::INT AS line, last::INT AS last, kind, hierarchy
+FROM rich WHERE kind = 'content' OR length(text) >= 20"""
+
+
+@query(NOTE_CHUNKS_SQL)
 def note_chunks(spark, sf_dir):
-    """Both tiers of chunks of outlines made of all documents."""
-    return chunk_notes.note_chunks(_notes(spark, sf_dir)).select("id", "text", "path", "lineNumber", "endLineNumber", "chunkType", "hierarchy")
+    """Both tiers of chunks of notes made of all documents."""
+    chunks = chunk_notes.note_chunks(_full_notes(spark, sf_dir))
+    return chunks.select("id", "text", "path", F.col("lineNumber").alias("line"), F.col("endLineNumber").alias("last"), F.col("chunkType").alias("kind"), "hierarchy")
 
 
 # ---- store and maintenance

@@ -3,11 +3,13 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.operators import chunk_notes as cn
+from lodeframe.operators import outline
 from lodeframe.operators import chunk_sessions as cs
 from lodeframe.schema import configure
 
@@ -124,9 +126,9 @@ def test_hierarchy_with_level_skips(spark, levels, paths):
     assert [r["hierarchy"] for r in rows] == paths
 
 
-def test_unclosed_drawer_swallows_the_rest(spark):
-    df = spark.createDataFrame([("a\n :PROPERTIES:\nb\n:END:\nc\n:END:\n:PROPERTIES:\nd",)], "t string")
-    assert df.select(cn.content_between(F.split("t", "\n"), F.lit(0), F.lit(8))).first()[0] == "a\nc\n:END:"
+def test_unclosed_drawer_swallows_the_rest():
+    lines = "a\n :PROPERTIES:\nb\n:END:\nc\n:END:\n:PROPERTIES:\nd".split("\n")
+    assert outline.content_of(lines, 0, 8) == "a\nc\n:END:"
 
 
 def pack(text, most, overlap):
@@ -161,3 +163,42 @@ def test_every_line_of_a_long_section_is_in_a_chunk(spark):
     got = chunks(spark, content)
     lines = {m for r in got.values() if r["chunkType"] == "content" for m in re.findall(r"line \d+", r["rawText"])}
     assert len(lines) == 200 and len([k for k in got if k.startswith("c")]) > 3
+
+
+def outlines(n, lines):
+    rng = random.Random(n)
+    kinds = ["* A :x:", "** B", "*** C :ARCHIVE:", "* D\r", "**  E  :a_b:C: ", "****  F", "*nohead", "text " + "w" * 60, ":PROPERTIES:", " :END: ", ":ID: 5", ":ID: 6", ":low: x", "#+begin_src", "#+Begin_x", "#+TITLE: t", "", "한글 😀", "* \u00a0G\u3000"]
+    return ["\n".join(rng.choice(kinds) for _ in range(rng.randint(0, lines))) for _ in range(n)]
+
+
+def test_sections_and_hierarchies_equal_a_plain_model():
+    for content in outlines(200, 60):
+        lines = content.split("\n")
+        found = outline.find_headings(lines)
+        ends, paths = outline.section_ends(found, len(lines)), list(outline.hierarchies(found))
+        for i, h in enumerate(found):
+            after = [o.lineNumber - 1 for o in found[i + 1 :] if o.level <= h.level]
+            assert ends[i] == (after[0] if after else len(lines))
+            path, k = [h.title], i - 1
+            while k >= 0 and h.level > 1:  # backwards, every lower level, to the first of level 1
+                path = [found[k].title, *path] if found[k].level < h.level else path
+                if found[k].level == 1:
+                    break
+                k -= 1
+            assert paths[i] == " > ".join(path)
+
+
+def test_pieces_are_streamed_in_bounded_batches(spark, monkeypatch):
+    files = [(f"/h/org/notes/{i}.org", c + "\n" + "end " * 20) for i, c in enumerate(outlines(40, 60))] + [("/h/org/notes/null.org", None)]
+    frame = spark.createDataFrame(files, "path string, content string").repartition(3)
+    whole = sorted(map(str, cn.note_chunks(frame).collect()))
+    monkeypatch.setattr(cn, "BATCH_ROWS", 3)
+    assert sorted(map(str, cn.note_chunks(frame).collect())) == whole and len(whole) > 100
+
+
+def test_twenty_thousand_headings_in_seconds(spark):
+    """Time grows with the chunks: one file with a drawer under each of its headings."""
+    section = lambda i: f"{'*' * (1 if i % 200 == 0 else 2 + i % 3)} heading {i}\n:PROPERTIES:\n:ID: {i}\n:END:\nbody {i}, long enough to be a chunk of its own"
+    began = time.monotonic()
+    got = cn.note_chunks(spark.createDataFrame([("/h/org/notes/x.org", "\n".join(map(section, range(20_000))))], "path string, content string"))
+    assert got.filter("chunkType = 'heading'").count() == 20_000 and time.monotonic() - began < 30
