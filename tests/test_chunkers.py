@@ -198,7 +198,7 @@ def test_pieces_are_streamed_in_bounded_batches(spark, monkeypatch):
 
 def test_twenty_thousand_headings_in_seconds(spark):
     """Time grows with the chunks: one file with a drawer under each of its headings."""
-    section = lambda i: f"{'*' * (1 if i % 200 == 0 else 2 + i % 3)} heading {i}\n:PROPERTIES:\n:ID: {i}\n:END:\nbody {i}, long enough to be a chunk of its own"
+    section = lambda i: f"{'*' * (1 if i % 200 == 0 else 2 + i % 3)} a heading of some length {i}\n:PROPERTIES:\n:ID: {i}\n:END:\nbody {i}, long enough to be a chunk of its own"
     began = time.monotonic()
     got = cn.note_chunks(spark.createDataFrame([("/h/org/notes/x.org", "\n".join(map(section, range(20_000))))], "path string, content string"))
     assert got.filter("chunkType = 'heading'").count() == 20_000 and time.monotonic() - began < 30
