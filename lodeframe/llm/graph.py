@@ -1,15 +1,26 @@
-"""Connected components on DataFrames: alternating large-star and small-star rounds.
+"""Connected components on DataFrames: forests contracted inside partitions, and pointer jumping.
 
-Each round is aggregations and equi-joins on node ids, so no component is ever
-gathered in one task or on the driver, and a hub's edges can be split by AQE.
+Each round is one table: an equi-join that sends every node to the root of its root,
+which AQE can split at a frequent root, and a contraction of the edges that meet in a
+partition, dealt out by their larger end.  No component is ever gathered in one task or on
+the driver.  Roots only become smaller, so the rounds settle, and what no round changes
+is a star for each component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.session import discard, stored
+
+#: Edges that a task contracts at once.
+EDGES = 1 << 20
+
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable index of each of n nodes over the pairs (a, b)."""
@@ -29,36 +40,62 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = jumped
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), b < a, of a partition to a forest: (node, smallest node reachable in its part).
+
+    At most EDGES edges are held.  Where a part ends inside the edges of one a, its root is
+    carried on, so that of sorted input every a comes out with one edge for itself.
+    """
+
+    def parts():
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            n += len(batch)
+            if n >= EDGES:
+                yield np.concatenate(held, axis=1), False
+                held, n = [], 0
+        if held:
+            yield np.concatenate(held, axis=1), True
+
+    carried = np.zeros((2, 0), dtype=np.int64)
+    for edges, ends in parts():
+        edges = np.concatenate([carried, edges], axis=1)
+        if not edges.shape[1]:
+            continue
+        nodes, place = np.unique(edges, return_inverse=True)
+        a, b = place.reshape(edges.shape)
+        label = local_labels(len(nodes), a, b)
+        moved = label != np.arange(len(nodes))
+        carried = np.zeros((2, 0), dtype=np.int64)
+        if not ends:
+            carried = np.array([[edges[0, -1]], [nodes[label[a[-1]]]]])
+            moved[a[-1]] = False
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
+    if carried.shape[1]:
+        yield pa.RecordBatch.from_arrays([pa.array(carried[0]), pa.array(carried[1])], names=["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the smallest node reachable.
+    """(node, component) for every node of edges (a, b), longs; component is the smallest node reachable.
 
     Self loops and repeated edges are allowed; null ends are dropped; no edges give no rows.
     """
-    now = (
-        edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
+    now = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    # dealt out by both ends first: of a hub's edges each partition keeps one
+    now = stored(now.repartition("a", "b").mapInArrow(_contract, "a long, b long"))
     seen = None
-    for turn in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # checkpointed: an aggregation right below a join on its key would keep AQE from splitting a hub
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low")).checkpoint()
-        large = (
-            both.filter("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        )
-        large = large.checkpoint()
-        low = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "n").checkpoint()
-        small = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        now = small.select("e.a", "e.b").filter("a <> b").distinct().checkpoint()
-        if not turn:
-            continue  # nothing settles in the first round
+    for _ in range(rounds):
+        # every node to the root of its root, then the roots that a node has are joined by their smallest
+        above = now.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        jumped = now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"))
+        after = stored(jumped.repartition("a").sortWithinPartitions("a").mapInArrow(_contract, "a long, b long"))
+        discard(now)
+        now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select("b").distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -174,13 +174,12 @@ def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, s
 
     Where many pairs share an end it should be a: its text is shuffled once.
     """
-    one, other = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    one, other = (classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "tie")]) for x in "ab")
     near = _differing_bits(F.col("bits_a"), F.col("bits_b")) <= _most_differ(F.col("n_a"), F.col("n_b"), similarity)
     # sizes first: bitmaps of sets whose sizes allow the similarity fold once at most
     alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
-    pairs = pairs.join(one, "a").join(other, "b").filter(F.when(alike, near).otherwise(False)).select("a", "b").checkpoint()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = classes.select("node", "tie").join(ends, "node", "left_semi").checkpoint()
+    pairs = pairs.join(one, "a").join(other, "b").filter(F.when(alike, near).otherwise(False)).select("a", "b", "tie_a", "tie_b").checkpoint()
+    owners = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(f"tie_{x}").alias("tie")) for x in "ab"])).alias("o")).select("o.*").distinct().checkpoint()
     # rows that repeat have one text
     texts = stored(sifted(rows.select("tie", "text"), sieve(owners, "tie")).join(owners, "tie").dropDuplicates(["tie"]).select("node", "text"))
 
@@ -195,7 +194,7 @@ def _linked(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, s
     # the text of an end that many pairs share is dealt out to several tasks
     parts = pairs.groupBy(F.col("a").alias("node")).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).checkpoint()
     shared = texts.join(parts, "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("x"))
-    dealt = pairs.join(parts.withColumnRenamed("node", "a"), "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part")).checkpoint()
+    dealt = pairs.join(parts.withColumnRenamed("node", "a"), "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
     both = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(shared, ["a", "part"])
     found = both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").checkpoint()
     discard(texts)
@@ -313,6 +312,8 @@ def links(rows: DataFrame, prints: DataFrame, suggested: DataFrame, width: int,
     left = stored(told.join(mixed, "key").join(classes.select("node", "bits"), "node"))
     discard(hits, pivots, told)
     rest = _unlike(left, similarity).distinct().join(first.select("low", "high"), [F.col("a") == F.col("low"), F.col("b") == F.col("high")], "left_anti").checkpoint()
-    edges = edges.unionByName(_linked(rows, classes, rest, width, similarity))
+    # of the first links their stars, which span the same groups
+    stars = found.filter("member <> component").select(F.col("member").alias("a"), F.col("component").alias("b"))
+    edges = stars.unionByName(_linked(rows, classes, rest, width, similarity))
     discard(classes, left)
     return edges

@@ -230,11 +230,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: floa
     least = prints.groupBy("node").agg(F.min(order).alias("own"), F.count("*").alias("rows"))
     named = least.join(found.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "own", "rows", F.coalesce("component", "node").alias("label")).checkpoint()
     groups = named.groupBy("label").agg(F.min("own").alias("own"), F.sum("rows").alias("rows")).filter("rows > 1").checkpoint()
-    members = prints.select("node", "tie").join(named.select("node", "label").join(groups.select("label"), "label"), "node")
+    members = stored(prints.select("node", "tie").join(named.select("node", "label").join(groups.select("label"), "label"), "node").select("tie").distinct())
     # only rows of groups are shuffled, and few others; the tie tells rows apart but for repeated ones
     bits = overlap.sieve(members, "tie")
     tied = docs.select(tie.alias("tie"), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(docs.columns)])
-    gone = members.join(groups.select(F.col("own.tie").alias("tie")), "tie", "left_anti").select("tie").distinct().checkpoint()
+    gone = members.join(groups.select(F.col("own.tie").alias("tie")), "tie", "left_anti").checkpoint()
+    discard(members)
     if similarity is not None:
         discard(prints)
     grouped = overlap.sifted(tied, bits).join(gone, "tie", "left_anti").dropDuplicates(["tie"])
