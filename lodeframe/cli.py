@@ -32,7 +32,7 @@ from lodeframe.plans import benchmark, jobs, search
 from lodeframe.plans.store import ChunkStore
 from lodeframe.present import response, shown
 from lodeframe.schema import NOTE_DIM, SESSION_DIM, Paths, configure
-from lodeframe.sources.files import all_sessions
+from lodeframe.sources.files import all_lines, all_sessions
 
 USAGE = "lodeframe.cli <search-sessions|search-knowledge|benchmark|status|reindex|index-sessions|index-notes|compact> [args]"
 
@@ -128,7 +128,7 @@ def run(spark: SparkSession, args: list[str], paths: Paths | None = None) -> str
         own, other = jobs.status(sessions, files()), jobs.status(notes)
         return json.dumps({"sessions": {k: own[k] for k in ("chunks", "indexed_files", "total_files")}, "knowledge": {k: other[k] for k in ("chunks", "indexed")}})
     if command in ("reindex", "index-sessions"):
-        return json.dumps(jobs.index_sessions(sessions, files(), embedder(SESSION_DIM), flags.get("force") == "true", calls))
+        return json.dumps(jobs.index_sessions(sessions, files(), embedder(SESSION_DIM), flags.get("force") == "true", calls, all_lines(spark, paths.pi_sessions, paths.claude_sessions)))
     if command == "index-notes":
         return json.dumps(jobs.index_notes(notes, jobs.notes_to_index(spark, paths.notes), embedder(NOTE_DIM), flags.get("force") == "true", calls))
     if command == "compact":

@@ -14,7 +14,12 @@ USER_MIN, ASSISTANT_MIN, TEXT_MAX = 20, 100, 2000
 def lines_of(files: DataFrame) -> DataFrame:
     """sessionFile, lineNumber (from 1, blank and bad lines counted), line of files (path, content)."""
     rows = files.select(F.col("path").alias("sessionFile"), F.posexplode(F.split("content", r"\r?\n")).alias("_at", "line"))
-    return rows.select("sessionFile", (F.col("_at") + 1).alias("lineNumber"), "line").filter(trim_all(F.col("line")) != "")
+    return said_lines(rows.select("sessionFile", (F.col("_at") + 1).alias("lineNumber"), "line"))
+
+
+def said_lines(numbered: DataFrame) -> DataFrame:
+    """Lines (sessionFile, lineNumber, line) that are not blank."""
+    return numbered.filter(trim_all(F.col("line")) != "")
 
 
 def keeps_message(role: Column, text: Column) -> Column:

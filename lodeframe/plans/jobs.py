@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.operators.bm25 import TextIndex, build_index
 from lodeframe.operators.chunk_notes import as_chunks, note_chunks
-from lodeframe.operators.chunk_sessions import extract_sessions
+from lodeframe.operators.chunk_sessions import extract_sessions, said_lines, session_chunks
 from lodeframe.operators.embed import Embedder, embed_documents
 from lodeframe.plans.store import ChunkStore, to_reindex, unindexed
 from lodeframe.schema import INDEXED_FOLDERS
@@ -41,18 +41,29 @@ def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Emb
     return report | ({"errors": errors, "failed_chunks": metrics["failed"]} if errors else {})
 
 
-def index_sessions(store: ChunkStore, files: DataFrame, embedder: Embedder, force: bool = False, concurrency: int | None = None) -> dict:
-    """Index the session files (path, content) that the store lacks, or all after a reset."""
+def _chunks(todo: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Chunks of the files todo: of their lines where these are given, else of their contents."""
+    if lines is None:
+        return extract_sessions(todo)
+    wanted = todo.select(F.col("path").alias("sessionFile")).distinct()
+    return session_chunks(said_lines(lines.join(wanted, "sessionFile", "left_semi")))
+
+
+def index_sessions(store: ChunkStore, files: DataFrame, embedder: Embedder, force: bool = False, concurrency: int | None = None, lines: DataFrame | None = None) -> dict:
+    """Index the session files (path, content) that the store lacks, or all after a reset.
+
+    With lines (numbered_lines() of the same files) the contents are not read: only paths are.
+    """
     store.reset() if force else store.ensure()
     todo = unindexed(files, store.files())
-    return _write(store, todo, extract_sessions(todo), embedder, concurrency)
+    return _write(store, todo, _chunks(todo, lines), embedder, concurrency)
 
 
-def reindex_sessions(store: ChunkStore, files: DataFrame, embedder: Embedder, as_of: Column, current: str | None = None) -> dict:
-    """Index what is new, was modified within a day of as_of, or belongs to the current session."""
+def reindex_sessions(store: ChunkStore, files: DataFrame, embedder: Embedder, as_of: Column, current: str | None = None, lines: DataFrame | None = None) -> dict:
+    """Index what is new, was modified within a day of as_of, or belongs to the current session; lines as in index_sessions()."""
     store.ensure()
     todo = to_reindex(files, store.files(), as_of, current)
-    return _write(store, todo, extract_sessions(todo), embedder, None)
+    return _write(store, todo, _chunks(todo, lines), embedder, None)
 
 
 def index_notes(store: ChunkStore, files: DataFrame, embedder: Embedder, force: bool = False, concurrency: int | None = None) -> dict:

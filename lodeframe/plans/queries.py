@@ -18,6 +18,7 @@ from lodeframe.functions import text as tx
 from lodeframe.operators import bm25, chunk_notes, chunk_sessions, evaluate, fusion, knn, ranking
 from lodeframe.plans import jobs, search, store
 from lodeframe.schema import configure
+from lodeframe.sources import files as sources
 from lodeframe.sources.spread import spread
 
 AS_OF = "2024-02-01"
@@ -417,6 +418,25 @@ def session_files(spark, sf_dir):
     return chunk_sessions.extract_sessions(files).select("id", "text", "project", F.col("lineNumber").alias("line"), "timestamp", "role", "source", F.col("metadata")["type"].alias("type"))
 
 
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, (3 * k - 1)::INT AS line, role, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS text, CASE WHEN conv_id % 2 = 0 THEN 'claude' ELSE 'pi' END AS source FROM r
+WHERE (role = 'user' AND length(text) > 20) OR (role = 'assistant' AND length(text) > 100)""")
+def session_logs(spark, sf_dir):
+    """Log files of all conversations, a bad line before and a blank one after each turn, read in splits and numbered."""
+    c = read(spark, sf_dir, "conversations")
+    claude = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    pi = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    line = F.concat(F.lit("{bad\r\n"), F.when(F.col("conv_id") % 2 == 0, claude).otherwise(pi), F.lit("\r\n"))
+    folder, layouts = _folder(spark), {0: ".claude/projects", 1: ".pi/agent/sessions"}
+    for rest, layout in layouts.items():
+        own = c.filter(F.pmod("conv_id", F.lit(2)) == rest).select("conv_id", "turn", line.alias("line"))
+        own.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("line", F.col("conv_id").alias("of")).write.partitionBy("of").text(f"{folder}/{layout}")
+    lines = sources.numbered_lines(spark, [f"{folder}/{layout}/*/*.txt" for layout in layouts.values()])
+    chunks = chunk_sessions.session_chunks(chunk_sessions.said_lines(lines))
+    return chunks.select(F.regexp_extract("sessionFile", r"/of=(\d+)/", 1).cast("long").alias("conv_id"), F.col("lineNumber").alias("line"), "role", "text", "source")
+
+
 @query("""
 WITH RECURSIVE ln AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(list_transform(a, lambda x: length(x) + 1)) AS cost FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 1000)),
 p AS (SELECT doc_id, i, coalesce(sum(cost) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre, cost FROM ln),

@@ -5,7 +5,7 @@ Listings go through Spark's file sources, so any store that Spark reads will do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.schema import INDEXED_FOLDERS, SKIPPED_DIRS
@@ -41,6 +41,46 @@ def _whole(reader_paths: list[str], spark: SparkSession, **options) -> DataFrame
     return frame.select(F.url_decode(path).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
 
 
+def numbered_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """sessionFile, lineNumber (from 1), line of every line of the text files that the patterns match.
+
+    Lines end with LF or CR LF.  The files are read in splits, so that a long log is many
+    tasks' work and never one row: a line's number is its place in its split and the lines of
+    the file's splits before it, which one pass over the files counts.
+    """
+    found = _glob(spark, patterns)
+    if not found:
+        return spark.createDataFrame([], "sessionFile string, lineNumber long, line string")
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
+    # ids of a partition's rows are consecutive, and its splits come one after the other
+    rows = spark.read.text(found, lineSep="\n").select(path.alias("sessionFile"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = rows.groupBy("sessionFile", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("sessionFile").orderBy("_at")) - F.col("_lines")
+    starts = splits.withColumn("_before", before).drop("_lines")  # one row per split
+    return rows.join(starts, ["sessionFile", "_at"]).select("sessionFile", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("lineNumber"), "line")
+
+
+def pi_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """numbered_lines() of what pi_sessions() lists."""
+    return numbered_lines(spark, [f"{folder}/*/*.jsonl"])
+
+
+def claude_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """numbered_lines() of what claude_sessions() lists."""
+    return _without_subagents(numbered_lines(spark, [f"{folder}/*/*.jsonl", f"{folder}/*/*/*.jsonl"]), "sessionFile", folder)
+
+
+def all_lines(spark: SparkSession, pi_folder: str | None, claude_folder: str | None = None) -> DataFrame:
+    """numbered_lines() of both layouts."""
+    none = numbered_lines(spark, [])
+    return (pi_lines(spark, pi_folder) if pi_folder else none).unionByName(claude_lines(spark, claude_folder) if claude_folder else none)
+
+
+def _without_subagents(files: DataFrame, path: str, folder: str) -> DataFrame:
+    below = F.size(F.split(F.substring_index(path, folder.rstrip("/") + "/", -1), "/"))
+    return files.filter(~F.element_at(F.split(path, "/"), -2).eqNullSafe("subagents") | (below == 2))
+
+
 def pi_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """path, modified, content of the JSONL files one directory below folder; none if it is missing."""
     return _whole(_glob(spark, [f"{folder}/*/*.jsonl"]), spark)
@@ -48,8 +88,7 @@ def pi_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def claude_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """JSONL files one or two directories below folder, without those of `subagents`."""
-    found = _whole(_glob(spark, [f"{folder}/*/*.jsonl", f"{folder}/*/*/*.jsonl"]), spark)
-    return found.filter(~F.element_at(F.split("path", "/"), -2).eqNullSafe("subagents") | (F.size(F.split(F.substring_index("path", folder.rstrip("/") + "/", -1), "/")) == 2))
+    return _without_subagents(_whole(_glob(spark, [f"{folder}/*/*.jsonl", f"{folder}/*/*/*.jsonl"]), spark), "path", folder)
 
 
 def all_sessions(spark: SparkSession, pi_folder: str | None, claude_folder: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from lodeframe.operators import chunk_notes as cn
 from lodeframe.operators import outline
 from lodeframe.operators import chunk_sessions as cs
 from lodeframe.schema import configure
+from lodeframe.sources import files as sources
 
 PI = "/h/.pi/agent/sessions/--home-u-repos-gh-x--/s.jsonl"
 CLAUDE = "/h/.claude/projects/-home-u-repos-gh-y/s.jsonl"
@@ -202,3 +203,32 @@ def test_twenty_thousand_headings_in_seconds(spark):
     began = time.monotonic()
     got = cn.note_chunks(spark.createDataFrame([("/h/org/notes/x.org", "\n".join(map(section, range(20_000))))], "path string, content string"))
     assert got.filter("chunkType = 'heading'").count() == 20_000 and time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("split", ["1k", "100", "128m"])
+def test_lines_of_splits_are_numbered_like_those_of_whole_files(spark, tmp_path, split):
+    rng = random.Random(len(split))
+    for k in range(6):
+        folder = tmp_path / f"p {k}"
+        folder.mkdir()
+        lines = [rng.choice(["", " ", "{bad", "x" * rng.randint(1, 3000), "한글 ❤" * rng.randint(1, 40), f"line {i}"]) for i in range(rng.choice([0, 1, 80, 300]))]
+        (folder / "log.jsonl").write_bytes(rng.choice(["\n", "\r\n"]).join(lines).encode() + rng.choice([b"", b"\n"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = sources.pi_lines(spark, str(tmp_path))
+        whole = cs.lines_of(sources.pi_sessions(spark, str(tmp_path)))
+        assert sorted(map(tuple, cs.said_lines(got).collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 50
+        if split != "128m":
+            assert got.rdd.getNumPartitions() > 0 and spark.read.text(f"{tmp_path}/*/*.jsonl").rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sources.pi_lines(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_subagents_are_left_out_of_lines(spark, tmp_path):
+    for name in ("p/a.jsonl", "p/u/b.jsonl", "p/subagents/c.jsonl", "subagents/d.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("one\ntwo")
+    listed = {r["path"] for r in sources.claude_sessions(spark, str(tmp_path)).collect()}
+    assert {r["sessionFile"] for r in sources.all_lines(spark, None, str(tmp_path)).collect()} == listed and len(listed) == 3
