@@ -2,7 +2,8 @@
 
 The index is two tables: postings (term, id, tf, length) and term statistics
 (term, df) with the corpus totals n and avg_length.  A search joins the distinct
-terms of the queries to the postings; any matching term counts.  explode_outer keeps
+terms of the queries to the postings; any matching term counts.  A stored index is read
+by the terms' buckets, and its blocks tell what a search need not score.  explode_outer keeps
 the optimizer from tokenising a second time in a filter on the array's size.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.text import TOKEN, token_set, tokens
@@ -21,26 +22,70 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 500_000
 
 
+#: Query terms up to which the scan of a stored index is told the terms themselves.
+LISTED_TERMS = 1_000
+#: Documents of a block on average, and least number of a query's blocks whose scores are found first.
+BLOCK_DOCS, FIRST_BLOCKS = 128, 4
+#: What a bound may lose by rounding.
+SLACK = 1e-6
+_POSTINGS, _BLOCKS = "term string, id {}, tf long, length int, block long, bucket int", "term string, block long, tf long, length int, bucket int"
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    postings: DataFrame  # term, id, tf, length
+    """postings and statistics; one that was stored also knows the buckets of its terms and its blocks.
+
+    A block is some documents of about one length.  blocks holds, for each term of a block, its
+    greatest tf and smallest length, and so a bound of what the term adds to a score there.
+    """
+
+    postings: DataFrame  # term, id, tf, length; of a stored index also bucket, block
     terms: DataFrame  # term, df
     totals: DataFrame  # n, avg_length: one row
+    blocks: DataFrame | None = None  # term, block, tf, length, bucket
+    buckets: int | None = None
 
-    def write(self, path: str, buckets: int = 16) -> None:
-        """Store the index; postings are laid out by a hash of the term and sorted by term.
+    def write(self, path: str, buckets: int = 16, block_docs: int = BLOCK_DOCS) -> None:
+        """Store the index; postings are laid out by a hash of the term and sorted by term and block.
 
-        A bucket is written in ranges of (term, id) as many as the shuffle has partitions, so that
-        neither a bucket nor a frequent term is one task's.
+        A bucket is written in ranges of (term, block, id) as many as the shuffle has partitions, so
+        that neither a bucket nor a frequent term is one task's.
         """
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        size_class = F.floor(4 * F.log2(F.col("length") + 1)).cast("int")
+        classes = self.postings.select("id", size_class.alias("size_class")).distinct().groupBy("size_class").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
+        block = (F.shiftleft(F.col("size_class").cast("long"), 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
+        placed = self.postings.withColumn("size_class", size_class).join(F.broadcast(classes), "size_class")  # as many rows as there are classes of lengths
+        placed = placed.select("term", "id", "tf", "length", block, bucket.alias("bucket"))
+        order = ["bucket", "term", "block", "id"]
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        kind = placed.schema["id"].dataType.simpleString()
+        stored = placed.sparkSession.read.schema(_POSTINGS.format(kind)).parquet(f"{path}/postings")
+        bounds = stored.groupBy("bucket", "term", "block").agg(F.max("tf").alias("tf"), F.min("length").alias("length"))
+        bounds.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        self.totals.withColumns({"buckets": F.lit(buckets), "id_type": F.lit(kind)}).write.mode("overwrite").parquet(f"{path}/totals")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals"))
+        totals = spark.read.parquet(f"{path}/totals")
+        told = totals.first()
+        postings, blocks = (spark.read.schema(kinds).parquet(f"{path}/{name}") for name, kinds in (("postings", _POSTINGS.format(told["id_type"])), ("blocks", _BLOCKS)))
+        return TextIndex(postings, spark.read.parquet(f"{path}/terms"), totals, blocks, told["buckets"])
+
+    def listed(self, terms: DataFrame, few: bool) -> list[tuple[str, int]] | None:
+        """(term, bucket) of terms (term) if they are few enough for a filter of a stored index, else None."""
+        if not few or not self.buckets:
+            return None
+        rows = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")).limit(LISTED_TERMS + 1).collect()
+        return [tuple(r) for r in rows] if len(rows) <= LISTED_TERMS else None
+
+    def of_terms(self, frame: DataFrame, terms: DataFrame, few: bool, listed: list[tuple[str, int]] | None = None) -> DataFrame:
+        """Rows of frame (postings, terms or blocks) of some terms (term); listed ones are read from their buckets and row groups only."""
+        if listed is None:
+            return frame.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+        frame = frame.filter(F.col("term").isin([t for t, _ in listed]))
+        return frame.filter(F.col("bucket").isin(sorted({b for _, b in listed}))) if "bucket" in frame.columns else frame
 
 
 def build_index(docs: DataFrame) -> TextIndex:
@@ -57,31 +102,86 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode_outer(token_set(F.col("text"))).alias("term")).filter("term IS NOT NULL")
 
 
+def _weight(idf: Column, tf: Column, length: Column, avg_length: Column, k1: float, b: float) -> Column:
+    """What a term adds to a score; grows with tf, falls with length."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_length))
+
+
+def _weighed(wanted: DataFrame, hits: DataFrame, few: bool, k1: float, b: float) -> DataFrame:
+    """hits (term, tf, length, ...) once per query that wants the term, with what it adds to the score."""
+    weight = _weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
+    return hits.join(F.broadcast(wanted) if few else wanted, "term").withColumn("weight", weight)
+
+
+def _scored(weighed: DataFrame) -> DataFrame:
+    return weighed.groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("score"))  # sums in any order compare equal
+
+
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def _bounds(wanted: DataFrame, blocks: DataFrame, hits: DataFrame, few: bool, limit: int, k1: float, b: float) -> DataFrame:
+    """qid, block, bound, least of all blocks with a term of a query.
+
+    bound: no document of the block scores more.  least: the limit-th best score of the query's
+    blocks of the largest bounds, FIRST_BLOCKS or as many as the limit, so that no better list can end below it.
+    """
+    bounds = _weighed(wanted, blocks, few, k1, b).groupBy("qid", "block").agg(F.sum("weight").alias("bound"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("bound").desc(), "block"))
+    first = bounds.withColumn("place", place).filter(F.col("place") <= max(FIRST_BLOCKS, limit)).select("qid", "block")
+    known = _scored(_weighed(wanted, hits, few, k1, b).join(F.broadcast(first) if few else first, ["qid", "block"]))
+    least = _best(known, limit).filter(F.col("rank") == limit).select("qid", F.col("score").alias("least"))
+    return bounds.join(F.broadcast(least) if few else least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+
+
+def _prepared(queries: DataFrame, index: TextIndex, few: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(qid, term, idf, avg_length) of the queries' terms, and the postings and blocks of these terms."""
+    wanted = query_terms(queries)
+    terms = wanted.select("term").distinct()
+    listed = index.listed(terms, few)
+    of = lambda frame: index.of_terms(frame, terms, few, listed)
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    stats = of(index.terms).crossJoin(F.broadcast(index.totals.select("n", "avg_length"))).select("term", idf.alias("idf"), "avg_length")  # totals is one row
+    return wanted.join(F.broadcast(stats) if few else stats, "term"), [of(index.postings), *([of(index.blocks)] if index.blocks is not None else [])]
+
+
+def block_plan(queries: DataFrame, index: TextIndex, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, blocks, skipped: blocks of a stored index with a term of the query, and those that a search passes over."""
+    few = queries.count() <= BROADCAST_TERMS // 64
+    wanted, (hits, blocks) = _prepared(queries, index, few)
+    bounds = _bounds(wanted, blocks, hits, few, limit, k1, b)
+    return bounds.groupBy("qid").agg(F.count("*").alias("blocks"), F.count_if(F.col("bound") < F.col("least") - SLACK).alias("skipped"))
+
+
 def text_search(queries: DataFrame, docs: DataFrame | TextIndex, limit: int = 10, score: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
     """qid, id, score, rank: the best documents for each of queries (qid, text).
 
     docs is a TextIndex, or (id, text) that is tokenised past the query terms without
-    an index.  score='rank' gives 1/rank in place of the BM25 score.
+    an index.  Of a stored index only the blocks are scored whose bound reaches the limit-th
+    best score that is known; the result is the same.  score='rank' gives 1/rank in place of
+    the BM25 score.
     """
-    wanted = query_terms(queries)
     few = queries.count() <= BROADCAST_TERMS // 64
-    terms = wanted.select("term").distinct()
-    terms = F.broadcast(terms) if few else terms
     if isinstance(docs, TextIndex):
-        hits = docs.postings.join(terms, "term", "left_semi")
-        df, totals = docs.terms.join(terms, "term", "left_semi"), docs.totals
+        wanted, (hits, *blocks) = _prepared(queries, docs, few)
+        weighed = _weighed(wanted, hits, few, k1, b)
+        if blocks:
+            bounds = _bounds(wanted, blocks[0], hits, few, limit, k1, b)
+            left = bounds.filter(F.col("bound") >= F.col("least") - SLACK).select("qid", "block")
+            small = few and left.count() <= BROADCAST_TERMS
+            weighed = weighed.join(F.broadcast(left) if small else left, ["qid", "block"], "left_semi")
+        scored = _scored(weighed)
     else:
+        wanted = query_terms(queries)
+        terms = wanted.select("term").distinct()
         docs = spread(docs.select("id", "text"))
         counted = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).select("id", "words", F.size("words").alias("length"))
-        hits = counted.select("id", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL").join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+        hits = counted.select("id", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL").join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
         hits = hits.persist()  # read twice: for df and for the scores; a lost part is computed again
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
         totals = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0))).alias("avg_length"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    stats = df.crossJoin(F.broadcast(totals)).withColumn("idf", idf)  # totals is one row
-    weighed = hits.join(F.broadcast(stats) if few else stats, "term").select("term", "id", weight.alias("weight"))
-    scored = weighed.join(F.broadcast(wanted) if few else wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), 9).alias("score"))  # sums in any order compare equal
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    top = scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+        index = TextIndex(hits, hits.groupBy("term").agg(F.count("*").alias("df")), totals)
+        scored = _scored(_weighed(_prepared(queries, index, few)[0], hits, few, k1, b))
+    top = _best(scored, limit)
     return top.withColumn("score", 1.0 / F.col("rank")) if score == "rank" else top
