@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import relevance_report, session_index
-from lodeframe.plans.queries import CHUNK_LISTS, MMR_SQL, RRF, WEIGHTED, _folder, _fused_sql
+from lodeframe.plans.queries import CHUNK_LISTS, MMR_SQL, RRF, WEIGHTED, _folder, _fused_sql, renamed
 
 
 def job1_session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +39,9 @@ def job2_relevance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mode", "qid", "relevant", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "mrr")], "hit")
 
 
-def _named(sql: str, tail: str) -> str:
-    """The common table expressions of a fusion under names of its own."""
-    return re.sub(r"\b(b|g|fused)(?= AS \()|(?<=FROM )(b|g)\b", lambda m: m[0] + tail, sql)
-
-
 _PADDED = r"' ' || array_to_string(regexp_extract_all(lower({}.text), '[\p{{L}}\p{{N}}_]+'), ' ') || ' '"
 _WEIGHTED = "qid, id, score, rank FROM fused_w WHERE score >= 0.05"
-JOB2_SQL = f"""{CHUNK_LISTS}, {_named(_fused_sql(WEIGHTED), '_w')}, {_named(_fused_sql(RRF), '_r')}, {MMR_SQL.format(source=_WEIGHTED)},
+JOB2_SQL = f"""{CHUNK_LISTS}, {renamed(_fused_sql(WEIGHTED), '_w')}, {renamed(_fused_sql(RRF), '_r')}, {MMR_SQL.format(source=_WEIGHTED)},
 every AS (SELECT 'text' AS mode, qid, id, rank FROM t UNION ALL SELECT 'vector', qid, id, rank FROM v_items UNION ALL SELECT 'weighted', qid, id, rank FROM fused_w WHERE score >= 0.05
   UNION ALL SELECT 'rrf', qid, id, rank FROM fused_r WHERE score >= 0.001 UNION ALL SELECT 'mmr', qid, id, rank FROM mmr),
 db AS (SELECT doc_id, {_PADDED.format('d')} AS s FROM documents d WHERE text IS NOT NULL),

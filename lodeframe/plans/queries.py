@@ -6,6 +6,7 @@ one) the row of `embeddings` with its id; benchmark items are queries.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -129,6 +130,11 @@ g AS (SELECT qid, id, {score} AS score, row_number() OVER (PARTITION BY qid ORDE
 fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM g)"""
 
 
+def renamed(sql: str, tail: str) -> str:
+    """The common table expressions of a fusion under names of its own."""
+    return re.sub(r"\b(b|g|fused)(?= AS \()|(?<=FROM )(b|g)\b", lambda m: m[0] + tail, sql)
+
+
 WEIGHTED = "0.7 * coalesce(vs, 0.0::DOUBLE) + 0.3 * coalesce(ts, 0.0::DOUBLE)"
 RRF = "coalesce(0.7::DOUBLE / (60 + vr), 0) + coalesce(0.3::DOUBLE / (60 + tr), 0)"
 LISTS = f"WITH RECURSIVE {ITEM_VECTORS}, {_knn_sql('items', 20)}, {BM25_SQL}"
@@ -308,6 +314,32 @@ def thin_fallback(spark, sf_dir):
     return rounded(search.splice(own, spare, 10), "score")
 
 
+SPARE_SOURCE = "qid, id, score, rank FROM hits_n WHERE score >= 0.05 AND qid IN (SELECT qid FROM thin)"
+NOTES_SQL = f"""{CHUNK_LISTS}, {renamed(_fused_sql(RRF), '_r')},
+aged_r AS (SELECT qid, id, seq, score * {AGED.format(days=14)} AS score FROM fused_r JOIN documents ON doc_id = id),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM aged_r) WHERE score >= 0.001),
+thin AS (SELECT item_id AS qid FROM benchmark LEFT JOIN own ON own.qid = item_id GROUP BY 1 HAVING count(own.id) < 3 OR coalesce(max(score), 0) < 0.005),
+v_few AS (SELECT * FROM v_items WHERE rank <= 10), t_few AS (SELECT * FROM t WHERE rank <= 10), {renamed(_fused_sql(WEIGHTED), '_n').replace('v_items v FULL JOIN t USING', 'v_few v FULL JOIN t_few t USING')},
+aged_n AS (SELECT qid, id, seq, score * {AGED.format(days=90)} AS score FROM fused_n JOIN documents ON doc_id = id),
+hits_n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM aged_n), {MMR_SQL.format(source=SPARE_SOURCE)},
+spare AS (SELECT qid, id, score, rank FROM mmr WHERE rank <= 3),
+both_ AS (SELECT qid, id, score, rank, 0 AS block, qid IN (SELECT qid FROM spare) AS fallback FROM own WHERE NOT (qid IN (SELECT qid FROM spare)) OR rank <= 7
+  UNION ALL SELECT qid, id, score, rank, 1, true FROM spare)"""
+
+
+@query(f"""{NOTES_SQL}
+SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY block, rank) AS rank, fallback FROM both_
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY block, rank) <= 10""")
+def session_search_with_notes(spark, sf_dir):
+    """Session search over a stored index, eked out by a note search where it finds little."""
+    folder = _folder(spark)
+    bm25.build_index(_chunks(spark, sf_dir).select("id", "text")).write(folder)
+    index, rows, known = bm25.TextIndex.read(spark, folder), _rows(spark, sf_dir), _Known(spark, sf_dir)
+    asked, as_of = _items(spark, sf_dir).select("qid", "text"), F.lit(AS_OF).cast("timestamp")
+    hits = search.session_search(asked, rows, known, as_of, limit=10, notes=rows, note_embedder=known, index=index, note_index=index)
+    return rounded(hits.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"), "fallback"), "score")
+
+
 @query("""
 WITH q AS (SELECT conv_id * 1000 + turn AS qid, CASE conv_id % 3 WHEN 0 THEN text || ' 보편 학문이란 knowledge' WHEN 1 THEN text || ' 바흐, 보편' ELSE text END AS text, conv_id % 3 AS k FROM conversations)
 SELECT qid, text || CASE k WHEN 0 THEN ' universal general study' WHEN 1 THEN ' bach universal general' ELSE '' END AS enriched FROM q""")

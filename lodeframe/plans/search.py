@@ -75,7 +75,7 @@ def splice(hits: DataFrame, spare: DataFrame, limit: int) -> DataFrame:
     """
     first = spare.filter(F.col("rank") <= FALLBACK_ROWS).withColumn("block", F.lit(1))
     has = first.select("qid").distinct().withColumn("fallback", F.lit(True))
-    sized = hits.join(hits.groupBy("qid").agg(F.count("*").alias("_n")), "qid").join(F.broadcast(has), "qid", "left").withColumn("fallback", F.coalesce("fallback", F.lit(False)))
+    sized = hits.join(hits.groupBy("qid").agg(F.count("*").alias("_n")), "qid").join(has, "qid", "left").withColumn("fallback", F.coalesce("fallback", F.lit(False)))
     room = F.lit(limit - FALLBACK_ROWS) if limit >= FALLBACK_ROWS else F.col("_n") + F.lit(limit - FALLBACK_ROWS)
     own = sized.filter(~F.col("fallback") | (F.col("rank") <= room)).drop("_n").withColumn("block", F.lit(0))
     both = own.unionByName(first.withColumn("fallback", F.lit(True)))
@@ -107,6 +107,6 @@ def session_search(
         hits = rerank_by_score(hits.filter(F.col("source") == source))
     if notes is None or note_embedder is None:
         return hits.filter(F.col("rank") <= limit).withColumn("fallback", F.lit(False))
-    poor = asked.join(F.broadcast(thin_queries(hits, queries)), "qid", "left_semi")
+    poor = asked.join(thin_queries(hits, queries), "qid", "left_semi")
     spare = _hybrid(poor, notes, note_index, note_embedder, limit, 0.05, as_of, NOTE_CONFIG, fts_score)
     return splice(hits, spare, limit)
