@@ -86,11 +86,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stored(now.repartition("a", "b").mapInArrow(_contract, "a long, b long"))
     seen = None
     for _ in range(rounds):
-        # every node to the root of its root, then the roots that a node has are joined by their smallest
-        above = now.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        # every node to the root of its root, then the roots that a node has are joined by their smallest;
+        # stored, as an aggregation right below the join would keep AQE from splitting a frequent root
+        above = stored(now.groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "b"))
         jumped = now.join(above, "b", "left").select("a", F.coalesce("up", "b").alias("b"))
         after = stored(jumped.repartition("a").sortWithinPartitions("a").mapInArrow(_contract, "a long, b long"))
-        discard(now)
+        discard(now, above)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
