@@ -5,24 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.operators.bm25 import TextIndex, build_index
+from lodeframe.operators.bm25 import TextIndex
 from lodeframe.operators.chunk_notes import as_chunks, note_chunks
 from lodeframe.operators.chunk_sessions import extract_sessions, said_lines, session_chunks
 from lodeframe.operators.embed import Embedder, embed_documents
+from lodeframe.plans.segments import TextSegments
 from lodeframe.plans.store import ChunkStore, to_reindex, unindexed
 from lodeframe.schema import INDEXED_FOLDERS
-from lodeframe.sources.files import exists, note_files
+from lodeframe.sources.files import note_files
+
+
+def _segments(store: ChunkStore) -> TextSegments:
+    return TextSegments(store.spark, f"{store.path}/fts")
 
 
 def build_text_index(store: ChunkStore) -> None:
-    """Write the full-text index of the current rows beside the table, under the name of their state."""
-    build_index(store.rows().select("id", "text")).write(f"{store.path}/fts/{store.digest()}")
+    """Write the full-text index of all current rows anew, as one segment."""
+    _segments(store).rebuild(store.manifest()["number"], store.rows().select("id", "sessionFile", "text"))
+
+
+def _follow(store: ChunkStore, fresh: DataFrame, gone: DataFrame | None = None) -> None:
+    """Take the store's last write into its index: a segment of its rows, or all rows where the one before was not indexed."""
+    segments = _segments(store)
+    if segments.covers(store.published - 1):
+        segments.add(store.published, fresh, gone)
+    else:
+        build_text_index(store)
 
 
 def text_index(store: ChunkStore) -> TextIndex | None:
     """The stored index if it is that of the current rows."""
-    path = f"{store.path}/fts/{store.digest()}"
-    return TextIndex.read(store.spark, path) if exists(store.spark, f"{path}/totals/_SUCCESS") else None
+    segments = _segments(store)
+    return segments.index() if segments.covers(store.manifest()["number"]) else None
+
+
+def remove_files(store: ChunkStore, files: DataFrame) -> None:
+    """Remove the rows of files (sessionFile) from a store and its index."""
+    store.published = None
+    store.delete_files(files)
+    if store.published:
+        _follow(store, store.rows().limit(0), files.select("sessionFile").distinct())
 
 
 def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Embedder, concurrency: int | None) -> dict:
@@ -33,10 +55,15 @@ def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Emb
     seen = Observation("indexing")
     embedded = embed_documents(chunks, embedder, concurrency=concurrency, keep_errors=True).observe(seen, F.count("*").alias("chunks"), F.count("error").alias("failed")).persist()
     bad = embedded.filter("error IS NOT NULL").select("sessionFile").distinct()
-    written = store.upsert(embedded.join(bad, "sessionFile", "left_anti").drop("error"))
+    fresh = embedded.join(bad, "sessionFile", "left_anti").drop("error")
+    store.published = None
+    written = store.upsert(fresh)
+    if store.published:
+        _follow(store, fresh)
+    elif text_index(store) is None:
+        build_text_index(store)
     errors, metrics = bad.count(), seen.get
     embedded.unpersist()
-    build_text_index(store)
     report = {"indexed": n_files - errors, "new_chunks": written, "total_chunks": store.count()}
     return report | ({"errors": errors, "failed_chunks": metrics["failed"]} if errors else {})
 
@@ -85,7 +112,16 @@ def status(store: ChunkStore, files: DataFrame | None = None) -> dict:
     return {"chunks": store.count(), "indexed_files": store.files().count(), "total_files": files.count() if files is not None else 0, "indexed": True, "data_files": n, "bytes": size}
 
 
+def _compact(store: ChunkStore) -> dict:
+    segments, before = _segments(store), store.manifest()["number"]
+    store.published = None
+    report = store.compact()
+    if store.published and store.published == before + 1 and segments.covers(before):
+        segments.compact(store.published)
+    return report
+
+
 def compact(stores: dict[str, ChunkStore], target: str = "all") -> dict:
-    """Compaction reports of one store or all; None for a store that is not there."""
+    """Compaction reports of one store or all, their indexes included; None for a store that is not there."""
     names = list(stores) if target == "all" else [target]
-    return {n: stores[n].compact() if stores[n].exists() else None for n in names}
+    return {n: _compact(stores[n]) if stores[n].exists() else None for n in names}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions import score as sc
 from lodeframe.functions import text as tx
 from lodeframe.operators import bm25, chunk_notes, chunk_sessions, evaluate, fusion, knn, ranking
-from lodeframe.plans import jobs, search, store
+from lodeframe.plans import jobs, search, segments, store
 from lodeframe.schema import configure
 from lodeframe.sources import files as sources
 from lodeframe.sources.spread import spread
@@ -674,6 +674,23 @@ def store_rows(spark, sf_dir):
     return _store(spark, sf_dir).rows().select("id", F.col("sessionFile").alias("file"), F.col("lineNumber").alias("line"), "text")
 
 
+@query(rf"""WITH {STORED}, w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM s),
+f AS (SELECT term, conv_id, turn, count(*) AS tf FROM w GROUP BY ALL)
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, (SELECT count(*) FROM s) AS n, round((SELECT count(*) FROM w) / (SELECT count(*) FROM s), 6) AS avg_length FROM f GROUP BY term""")
+def segmented_index(spark, sf_dir):
+    """Term statistics of an index in segments: after a fill, a replacement, a removal and a compaction in between."""
+    turns, kept = _turns(spark, sf_dir).drop("conv_id"), segments.TextSegments(spark, _folder(spark))
+    conv = F.substring("sessionFile", 4, 20).cast("long")
+    kept.add(1, turns.filter(conv % 3 == 0))
+    kept.add(2, turns.filter(conv % 3 > 0))
+    kept.compact(3)
+    kept.add(4, turns.filter((conv % 4 == 0) & (F.col("lineNumber") % 2 == 0)).withColumn("text", F.concat(F.lit("new "), "text")))
+    kept.add(5, turns.limit(0), turns.filter(conv % 5 == 0).select("sessionFile"))
+    index = kept.index()
+    by_term = index.postings.groupBy("term").agg(F.sum("tf").alias("tf")).join(index.terms, "term")
+    return rounded(by_term.crossJoin(F.broadcast(index.totals)), "avg_length").select("term", "df", "tf", "n", "avg_length")  # totals is one row
+
+
 @query(f"WITH {STORED} SELECT DISTINCT '/c/' || conv_id AS file FROM s")
 def distinct_files(spark, sf_dir):
     """The files that a store has rows of."""

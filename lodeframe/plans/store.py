@@ -38,6 +38,7 @@ class StoreConflict(RuntimeError):
 class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, dim: int, buckets: int = 64):
         self.spark, self.path, self.dim, self.buckets = spark, path.rstrip("/"), dim, buckets
+        self.published: int | None = None  # number of the last manifest that this object wrote
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,6 +71,7 @@ class ChunkStore:
         except Exception as e:
             fs.delete(draft, False)
             raise StoreConflict(f"{self.path}: version {manifest['number']} was written by another writer") from e
+        self.published = manifest["number"]
 
     def digest(self) -> str:
         """A name for the current state of the rows."""
