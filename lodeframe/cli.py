@@ -4,6 +4,7 @@ search-sessions|search <query> [--limit N] [--source pi|claude] [--dictionary FI
 search-knowledge|knowledge <query> [--limit N] [--dictionary FILE]
 benchmark <queries> [--dry-run] [--log FOLDER]
 status | reindex [--force] | index-sessions | index-notes | compact [sessions|notes|all]
+follow   (bring both stores in step with their folders: new, edited and removed files)
 
 A dictionary is JSON lines of term and expansions, which are added to what is embedded of
 a query.  Benchmark queries are JSON lines of qid, text, expected (parts of paths),
@@ -33,8 +34,9 @@ from lodeframe.plans.store import ChunkStore
 from lodeframe.present import response, shown
 from lodeframe.schema import NOTE_DIM, SESSION_DIM, Paths, configure
 from lodeframe.sources.files import all_lines, all_sessions
+from lodeframe.streaming import changes
 
-USAGE = "lodeframe.cli <search-sessions|search-knowledge|benchmark|status|reindex|index-sessions|index-notes|compact> [args]"
+USAGE = "lodeframe.cli <search-sessions|search-knowledge|benchmark|status|reindex|index-sessions|index-notes|follow|compact> [args]"
 
 
 def parse(args: list[str]) -> tuple[str, list[str], dict[str, str]]:
@@ -131,6 +133,12 @@ def run(spark: SparkSession, args: list[str], paths: Paths | None = None) -> str
         return json.dumps(jobs.index_sessions(sessions, files(), embedder(SESSION_DIM), flags.get("force") == "true", calls, all_lines(spark, paths.pi_sessions, paths.claude_sessions)))
     if command == "index-notes":
         return json.dumps(jobs.index_notes(notes, jobs.notes_to_index(spark, paths.notes), embedder(NOTE_DIM), flags.get("force") == "true", calls))
+    if command == "follow":
+        told = {}
+        for name, store, folder in (("sessions", sessions, paths.pi_sessions), ("claude_sessions", sessions, paths.claude_sessions), ("notes", notes, paths.notes)):
+            follow = changes.follow_notes if store is notes else changes.follow_sessions
+            told[name] = follow(store, folder, embedder(NOTE_DIM if store is notes else SESSION_DIM), f"{paths.data_dir}/seen/{name}")
+        return json.dumps(told)
     if command == "compact":
         return json.dumps(jobs.compact({"sessions": sessions, "notes": notes}, positional[0] if positional else "all"))
     raise Failure("Unknown command", usage=USAGE)

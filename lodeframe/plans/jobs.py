@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,12 @@ def index_notes(store: ChunkStore, files: DataFrame, embedder: Embedder, force:
     return _write(store, todo, as_chunks(note_chunks(todo)), embedder, concurrency)
 
 
+def index_files(store: ChunkStore, files: DataFrame, chunks: Callable[[DataFrame], DataFrame], embedder: Embedder) -> dict:
+    """Index files (path, content) whether the store has them or not; their rows are replaced."""
+    store.ensure()
+    return _write(store, files, chunks(files), embedder, None)
+
+
 def notes_to_index(spark: SparkSession, folder: str) -> DataFrame:
     return note_files(spark, folder, INDEXED_FOLDERS)
 

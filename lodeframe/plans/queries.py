@@ -21,6 +21,7 @@ from lodeframe.plans import jobs, search, segments, store
 from lodeframe.schema import configure
 from lodeframe.sources import files as sources
 from lodeframe.sources.spread import spread
+from lodeframe.streaming import changes
 
 AS_OF = "2024-02-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -721,6 +722,20 @@ def reindex_set(spark, sf_dir):
     return store.to_reindex(files, indexed, F.lit("2024-01-30").cast("timestamp"), "/s/current-.x").select("event_id")
 
 
+@query("""
+SELECT '/s/' || event_id AS path, CASE WHEN event_id % 5 = 0 THEN 'removed' WHEN event_id % 7 = 0 THEN 'new' ELSE 'modified' END AS change FROM events
+WHERE event_id % 35 <> 0 AND (event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0)""")
+def changed_files(spark, sf_dir):
+    """What is new, edited (another time or size) or gone between two listings."""
+    e = read(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp")
+    files = e.select("event_id", F.concat(F.lit("/s/"), "event_id").alias("path"), at.alias("modified"), F.length("props").cast("long").alias("bytes"))
+    now = files.filter("event_id % 5 <> 0")
+    later = F.when(F.col("event_id") % 11 == 0, F.col("modified") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("modified"))
+    seen = files.filter("event_id % 7 <> 0").withColumns({"modified": later, "bytes": F.col("bytes") + (F.col("event_id") % 13 == 0).cast("long")})
+    return changes.changed(now, seen)
+
+
 # ---- evaluation
 
 

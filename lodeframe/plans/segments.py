@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.text import tokens
 from lodeframe.operators.bm25 import TextIndex
-from lodeframe.sources.files import exists
+from lodeframe.sources.files import exists, remove
 from lodeframe.sources.spread import spread
 
 _POSTINGS = "term string, id string, file string, tf long, length int, bucket int, segment long"
@@ -70,13 +70,9 @@ class TextSegments:
         """Number of segments."""
         return self._read("files", _FILES).select("segment").distinct().count()
 
-    def _remove(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def rebuild(self, number: int, rows: DataFrame) -> None:
         """All segments replaced by one of rows (id, sessionFile, text)."""
-        self._remove(self.path)
+        remove(self.spark, self.path)
         self.add(number, rows)
 
     def compact(self, number: int) -> None:
@@ -89,4 +85,4 @@ class TextSegments:
         self._write(number, postings.select("term", "id", "file", "tf", "length"), chunks.select("id", "file", "length"), files.select("file"))
         for n in old:
             for name in ("files", "chunks", "postings"):
-                self._remove(f"{self.path}/{name}/segment={n}")
+                remove(self.spark, f"{self.path}/{name}/segment={n}")

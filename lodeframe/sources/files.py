@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if there is one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _glob(spark: SparkSession, patterns: list[str]) -> list[str]:
     """The patterns that match something, for readers that fail on none."""
     out = []

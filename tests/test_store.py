@@ -13,6 +13,7 @@ from lodeframe.plans import jobs, store
 from lodeframe.plans.store import ChunkStore, StoreConflict, to_reindex
 from lodeframe.schema import CHUNK, Paths
 from lodeframe.sources import files as src
+from lodeframe.streaming import changes
 from lodeframe.streaming.incremental import index_stream
 from lodeframe.streaming.progress import IndexProgress
 
@@ -112,6 +113,8 @@ def test_command_line(spark, home, monkeypatch):
     assert jobs.text_index(store).totals.first()["n"] == 5
     assert embed_query("range joins", HashingEmbedder(8)) == HashingEmbedder(8).embed(["range joins"])[0]
     assert ask("compact", "sessions")["sessions"]["rows"] == 5
+    told = ask("follow")
+    assert [told[k]["new"] for k in ("sessions", "claude_sessions", "notes")] == [1, 3, 1] and ask("follow")["notes"]["new"] == 0
     for bad in (["search"], ["nothing"], ["search", "x", "--limit", "many"]):
         with pytest.raises(cli.Failure):
             cli.run(spark, bad, paths)
@@ -215,3 +218,40 @@ def test_index_follows_upserts_by_segments_and_reads_no_old_text(spark, tmp_path
     assert jobs.text_index(s) is None
     jobs.index_sessions(s, logs([("f8", "one more file about windows, long enough")]), HashingEmbedder(8))
     same()
+
+
+def test_folders_are_followed_through_edits_touches_and_removals(spark, tmp_path):
+    folder, s = tmp_path / "p r", ChunkStore(spark, str(tmp_path / "s"), 8, buckets=2)
+    (folder / "x").mkdir(parents=True)
+
+    def put(name, *texts):
+        (folder / "x" / name).write_text("\n".join(json.dumps({"type": "message", "message": {"role": "user", "content": t}}) for t in texts))
+
+    def follow():
+        told = changes.follow_sessions(s, str(folder), HashingEmbedder(8), str(tmp_path / "state"))
+        return told["new"], told["modified"], told["removed"], told["new_chunks"] if told["indexed"] else 0
+
+    texts = lambda: sorted(r["text"] for r in s.rows().collect())
+    first, second, third = ("the first question, long enough", "another question, long enough", "a third question, long enough")
+    put("a b.jsonl", first, second), put("c.jsonl", third), put("d.jsonl", "short")
+    assert follow() == (3, 0, 0, 3) and texts() == sorted([first, second, third])
+    assert follow() == (0, 0, 0, 0)
+    put("a b.jsonl", first, "an edited question, long enough"), os.utime(folder / "x" / "c.jsonl", (1, 1))
+    number = s.manifest()["number"]
+    assert follow() == (0, 2, 0, 2) and s.manifest()["number"] == number + 1  # the touched file is not indexed again
+    assert texts() == sorted([first, "an edited question, long enough", third]) and follow() == (0, 0, 0, 0)
+    put("e.jsonl", "a new file, certainly long enough"), os.remove(folder / "x" / "c.jsonl"), put("a b.jsonl", "tiny")
+    assert follow()[:3] == (1, 1, 1) and texts() == ["a new file, certainly long enough"]
+    asked = spark.createDataFrame([(1, "question new")], "qid long, text string")
+    assert [r["id"].endswith("e.jsonl:1") for r in text_search(asked, jobs.text_index(s), 9).collect()] == [True]
+    assert follow() == (0, 0, 0, 0)
+
+
+def test_notes_are_followed(spark, home, tmp_path):
+    s = ChunkStore(spark, str(tmp_path / "n"), 8, buckets=2)
+    run = lambda: changes.follow_notes(s, f"{home}/sync/org", HashingEmbedder(8), str(tmp_path / "state"))
+    assert run()["new"] == 1 and s.files().count() == 1 and run()["new"] == 0
+    (path,) = [r["sessionFile"] for r in s.files().collect()]
+    with open(path, "a") as f:
+        f.write("\n* A heading that was added later\nwith a text that is long enough to be a chunk")
+    assert run()["modified"] == 1 and s.rows().filter("text LIKE '%added later%'").count() == 2
