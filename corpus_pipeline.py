@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm import decontaminate, mixing, sharding, simhash, toxicity
-from lodeframe.llm.session import stored, table
+from lodeframe.llm.session import discard, stored, table
 
 SHARDS = 8
 #: Near duplicates of the corpus: words of a shingle and least Jaccard similarity (op7's query keeps its own limits).
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
+    """All stages over documents; each result is written as Parquet and read again, and goes when the next one is there."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        after = stored(stage(spark, docs, sf_dir))
+        if k:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,6 +34,7 @@ def _parts(text: Column, by: str) -> Column:
 def parse_name(path: Column) -> Column:
     """struct<identifier, title, filetags> of a file name `id--title__tag_tag.org`; empty if it is none."""
     name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.org$", "")
+    # fixed value: the pattern of note names
     pattern = r"^(\d{8}T\d{6})--(.+?)(?:__(.+))?$"
     return bind(
         name,

@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 BATCH, CONCURRENCY = 100, 2
+#: Chunks of a call when those of a failed batch are tried again.
+RETRY_BATCH = 10
 #: Fixed values of the retry rule: attempts, first wait, longest wait (seconds), jitter.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, JITTER = 5, 2.0, 30.0, 0.2
+#: Fixed value: messages of errors that are worth another attempt.
 RETRYABLE = r"(?i)(rate[_ ]limit|too many requests|429|resource has been exhausted|spending cap|5\d\d|cloudflare)"
 
 

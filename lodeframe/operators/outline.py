@@ -16,6 +16,7 @@ from typing import NamedTuple
 BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _S = f"[{BLANKS}]"
 _ANY = r"[^\n\r\u0085\u2028\u2029]"
+# A heading with its tags, and an entry of a drawer.
 HEADING = re.compile(rf"^(\*+){_S}+({_ANY}+?)(?:{_S}+(:[a-zA-Z0-9_:]+:))?{_S}*(?=[\r\u0085\u2028\u2029]?\Z)")
 PROPERTY = re.compile(rf"^:([A-Z_]+):[\t\n\x0b\f\r ]*({_ANY}*)")
 # Block delimiters (in one case) and directives (any case) whose lines are dropped.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeframe.operators.bm25 import TextIndex
 from lodeframe.operators.chunk_notes import as_chunks, note_chunks
 from lodeframe.operators.chunk_sessions import extract_sessions, said_lines, session_chunks
-from lodeframe.operators.embed import Embedder, embed_documents
+from lodeframe.operators.embed import RETRY_BATCH, Embedder, embed_documents
 from lodeframe.plans.segments import TextSegments
 from lodeframe.plans.store import ChunkStore, to_reindex, unindexed
 from lodeframe.schema import INDEXED_FOLDERS
@@ -50,12 +50,19 @@ def remove_files(store: ChunkStore, files: DataFrame) -> None:
 
 
 def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Embedder, concurrency: int | None) -> dict:
-    """Embed and upsert; a file with a chunk that could not be embedded is left out whole and counted."""
+    """Embed and upsert; a file with a chunk that could not be embedded is left out whole and counted.
+
+    The chunks of batches that failed are tried again by themselves, in smaller batches, so that
+    little else is left out with what cannot be embedded.
+    """
     n_files = files.count()
     if not n_files:
         return {"indexed": 0, "new_chunks": 0, "total_chunks": store.count(), "message": "All files already indexed"}
+    first = embed_documents(chunks, embedder, concurrency=concurrency, keep_errors=True).persist()
+    again = first.filter("error IS NOT NULL").drop("vector", "error")
     seen = Observation("indexing")
-    embedded = embed_documents(chunks, embedder, concurrency=concurrency, keep_errors=True).observe(seen, F.count("*").alias("chunks"), F.count("error").alias("failed")).persist()
+    embedded = first.filter("error IS NULL").unionByName(embed_documents(again, embedder, RETRY_BATCH, concurrency, keep_errors=True))
+    embedded = embedded.observe(seen, F.count("*").alias("chunks"), F.count("error").alias("failed")).persist()
     bad = embedded.filter("error IS NOT NULL").select("sessionFile").distinct()
     fresh = embedded.join(bad, "sessionFile", "left_anti").drop("error")
     store.published = None
@@ -65,7 +72,7 @@ def _write(store: ChunkStore, files: DataFrame, chunks: DataFrame, embedder: Emb
     elif text_index(store) is None:
         build_text_index(store)
     errors, metrics = bad.count(), seen.get
-    embedded.unpersist()
+    embedded.unpersist(), first.unpersist()
     report = {"indexed": n_files - errors, "new_chunks": written, "total_chunks": store.count()}
     return report | ({"errors": errors, "failed_chunks": metrics["failed"]} if errors else {})
 

@@ -22,6 +22,7 @@ FOLDER_LIMITS = {
     "office": (4000, 300),
     "default": (4000, 300),
 }
+#: Folders that are indexed, directories that are passed over, dimensions of vectors.
 INDEXED_FOLDERS = ("meta", "bib", "notes", "journal", "botlog")
 SKIPPED_DIRS = (".git", "node_modules", ".agent-shell", "setup", "archives")
 VALID_DIMS = (768, 1536, 3072)

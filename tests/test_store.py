@@ -170,6 +170,22 @@ def test_files_that_fail_to_embed_are_left_out_and_counted(spark, home, tmp_path
         embed_documents(spark.createDataFrame([("window functions",)], "text string"), Picky(8)).collect()
 
 
+def test_failed_batches_are_tried_again_by_themselves(spark, tmp_path):
+    class Flaky(HashingEmbedder):
+        """Fails for large batches that hold a certain text, and always for another one."""
+
+        def embed(self, texts, task="document"):
+            if any("poison" in t for t in texts) or (len(texts) > 10 and any("number 7 " in t for t in texts)):
+                raise RuntimeError("cannot be embedded")
+            return super().embed(texts, task)
+
+    said = [(f"/h/.pi/agent/sessions/--home-u-x--/{k}.jsonl", "\n".join(json.dumps({"type": "message", "message": {"role": "user", "content": f"question number {k * 9 + i} of a file {'poison' * (k == 4 and i == 3)}"}}) for i in range(9))) for k in range(8)]
+    s = ChunkStore(spark, str(tmp_path / "s"), 8, buckets=2)
+    report = jobs.index_sessions(s, spark.createDataFrame(said, "path string, content string").coalesce(1), Flaky(8))
+    assert 1 <= report["failed_chunks"] <= 10 and report["errors"] + report["indexed"] == 8 and s.files().count() == report["indexed"]
+    assert report["errors"] < 8 and s.rows().filter("text LIKE '%poison%'").count() == 0  # all 72 chunks were one batch at first
+
+
 def test_progress_lines():
     p = IndexProgress(10)
     p.files, p.seconds = 4, 2.0
