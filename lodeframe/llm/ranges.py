@@ -35,10 +35,10 @@ def running_last(events: DataFrame, keys: list[str], order: list[str], value: st
     return found.withColumn(out, F.coalesce("_here", F.when(key.eqNullSafe(F.col("_key")), F.col("_entry")))).drop("_part", "_here", "_key", "_entry")
 
 
-def positions(rows: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
-    """rows with `out`: gapless from 0 in `order` within each group, ties in any order."""
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows with `out`: gapless from 0 in `order`, ties in any order."""
     spark = rows.sparkSession
-    swept = rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    swept = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_id", 33)
     sizes = sorted((r["p"], r["n"]) for r in swept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row per partition
     offsets, total = [], 0
@@ -46,6 +46,12 @@ def positions(rows: DataFrame, group: str, order: list[Column], out: str) -> Dat
         offsets.append((p, total))
         total += n
     offset = F.broadcast(spark.createDataFrame(offsets, "_p long, _offset long"))  # one row per partition
-    placed = swept.join(offset, part == F.col("_p")).withColumn("_at", F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    starts = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_at").alias("_first"))
-    return placed.join(starts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(out, F.col("_at") - F.col("_first")).drop("_id", "_p", "_offset", "_at", "_group", "_first")
+    return swept.join(offset, part == F.col("_p")).withColumn(out, F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_p", "_offset")
+
+
+def positions(rows: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """rows with `out`: gapless from 0 in `order` within each group, ties in any order."""
+    placed = numbered(rows, [F.col(group), *order], "_at")
+    # checkpointed: an aggregation right below a join on its key would keep AQE from splitting a large group
+    starts = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_at").alias("_first")).checkpoint()
+    return placed.join(starts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(out, F.col("_at") - F.col("_first")).drop("_at", "_group", "_first")

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.ranges import positions
+from lodeframe.llm.ranges import numbered
 from lodeframe.llm.session import ready, stored
 from lodeframe.sources.spread import spread
 
@@ -150,6 +150,6 @@ def resample(
         return scored.select(*out, undrawn)
     keys = [F.bitwise_not("score"), F.col("doc_id").isNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("n_features")]
     drawn = able & _up_to(keys, kth_key(scored.filter(able), keys, wanted))
-    ranked = positions(scored.filter(drawn).select(*out, F.lit(0).alias("all")), "all", keys, "place")
+    ranked = numbered(scored.filter(drawn).select(*out), keys, "place")
     rank = F.when(F.col("place") < wanted, F.col("place") + 1).alias("rank")  # rows equal to the last one may be more
     return scored.filter(~drawn).select(*out, undrawn).unionByName(ranked.select(*out, rank))
