@@ -45,13 +45,17 @@ CHUNK = 4_096
 PAIRS = 256
 #: Bits of a key: keys that fall together add pairs to compare and lose none.
 KEY_BITS = 48
-#: Bits of a sieve() for a row, and at most: half a megabyte, whatever the input, so that it travels with its tasks.
-SIEVE_SHARE, SIEVE = 16, 1 << 22
+#: Bits of a sieve(): half a megabyte, whatever the input, so that it travels with its tasks.
+SIEVE = 1 << 22
 
 
 def sieve(values: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the low bits of a long column; rows that it lets through by chance are the caller's to drop."""
-    size = min(SIEVE, max(64, 1 << int(values.count() * SIEVE_SHARE).bit_length()))
+    """Bitmap of the low bits of a long column; rows that it lets through by chance are the caller's to drop.
+
+    Of more values than a quarter of its bits it lets most rows through: what follows is then right
+    as before, and shuffles most of its input.
+    """
+    size = SIEVE
     bit = F.col(column).bitwiseAND(F.lit(size - 1))
     word = F.shiftright(bit, 6).cast("int").alias("at")
     found = values.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
