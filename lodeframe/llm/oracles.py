@@ -139,3 +139,9 @@ scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIG
   coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weight USING (r)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS wanted FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END AS rank FROM placed"""
+
+#: Main text of the given pages, whose article element is the article: its tags taken out, its references decoded.
+OP11_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS marked FROM pages),
+t AS (SELECT page_id, url, regexp_replace(replace(replace(replace(marked, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') AS plain FROM a)
+SELECT page_id, url, trim(regexp_replace(plain, '[\s\p{Z}]+', ' ', 'g')) AS text, length(trim(regexp_replace(plain, '[\s\p{Z}]+', ' ', 'g'))) AS n_chars FROM t"""

@@ -92,5 +92,6 @@ ORACLES: dict[str, str] = {
     "op8_urls": oracles.OP8_SQL,
     "op9_embeddings": oracles.OP9_SQL,
     "op10_secrets": oracles.OP10_SQL,
+    "op11_html": oracles.OP11_SQL,
     "op12_resample": oracles.OP12_SQL,
 }
