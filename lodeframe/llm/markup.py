@@ -41,6 +41,10 @@ SIDE_WORDS = frozenset(
     sidebar aside complementary widget widgets related recommended recommendations share sharing social
     comment comments commentlist disqus replies reply respond discussion login search contentinfo""".split()
 )
+#: Of an article element only these words tell that it is not the article.
+NOT_THE_ARTICLE = frozenset("comment comments reply replies related recommended sponsored promo".split())
+#: Without an end tag these take the rest of the page; others of RAW are then passed over.
+_TO_THE_END = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -58,11 +62,12 @@ class Page:
     pieces: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
-def _named(attributes: str) -> tuple[str, bool]:
+def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """Classes and id without digits, and whether a word of them names no article."""
     found = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attributes)] if "=" in attributes else []
     words = {w.lower() for _, v in found for w in _WORDS.findall(v)}
-    return "".join(sorted(f" {k}={re.sub('[0-9]+', '', v)}" for k, v in found)), not words.isdisjoint(SIDE_WORDS)
+    telling = frozenset() if tag in ("html", "body", "main") else NOT_THE_ARTICLE if tag == "article" else SIDE_WORDS
+    return "".join(sorted(f" {k}={re.sub('[0-9]+', '', v)}" for k, v in found)), not words.isdisjoint(telling)
 
 
 def read_page(html: str | None) -> Page:
@@ -114,8 +119,10 @@ def read_page(html: str | None) -> Page:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
-            if not m[3].endswith("/"):
-                at = len(html) if end is None else html.find(">", end.start()) + 1 or len(html)
+            if end and not m[3].endswith("/"):
+                at = html.find(">", end.start()) + 1 or len(html)
+            elif not end and name in _TO_THE_END:
+                at = len(html)
             continue
         if name in VOID:
             page.pieces.append((stack[-1], "\n", False))
@@ -129,7 +136,7 @@ def read_page(html: str | None) -> Page:
                 if page.tag[stack[depth]] in within:
                     break
         around = stack[-1]
-        names, side = _named(m[3]) if m[3] else ("", False)
+        names, side = _named(name, m[3]) if m[3] else ("", False)
         if name in INLINE and not names:
             role = page.role[around]
         else:
@@ -137,7 +144,7 @@ def read_page(html: str | None) -> Page:
         page.tag.append(name)
         page.parent.append(around)
         page.role.append(role)
-        page.side.append(name in SIDE_TAGS or (side and name not in ("html", "body", "article", "main")))
+        page.side.append(name in SIDE_TAGS or side)
         stack.append(len(page.tag) - 1)
         links += name == "a"
         if name not in INLINE:
@@ -158,6 +165,12 @@ def texts_of(page: Page) -> dict[int, str]:
     return {e: text for e, text in said.items() if text}
 
 
+def _within(page: Page, e: int, around: int) -> bool:
+    while e > around:
+        e = page.parent[e]
+    return e == around
+
+
 def main_text(page: Page, constant: set[int], skeleton: set[int], mass: dict[int, float]) -> str:
     """The article: what fills the slots of the main part of the page's template.
 
@@ -166,16 +179,21 @@ def main_text(page: Page, constant: set[int], skeleton: set[int], mass: dict[int
     template (skeleton empty) the page stands for its site.
     """
     n = len(page.tag)
-    holds = [t in ("article", "main") for t in page.tag]  # an article, a part of one, or around one
+    holds = [t in ("article", "main") and not side for t, side in zip(page.tag, page.side)]  # an article, a part of one, or around one
+    title, length = [t == "h1" for t in page.tag], [0] * n
+    for e, text, linked in page.pieces:
+        length[e] += len(text) * (not linked)
     for e in range(n - 1, 0, -1):
-        holds[page.parent[e]] |= holds[e]
+        p = page.parent[e]
+        holds[p], title[p], length[p] = holds[p] or holds[e], title[p] or title[e], length[p] + length[e]
     inside, out, heading = [False] * n, [False] * n, [False] * n
     for e in range(1, n):
         p, tag = page.parent[e], page.tag[e]
-        inside[e] = inside[p] or tag in ("article", "main")
+        inside[e] = inside[p] or (tag in ("article", "main") and holds[e])
         heading[e] = heading[p] or tag in HEADINGS
-        # what holds the article is never beside it; of a header inside the article its headings stay
-        out[e] = out[p] or (page.side[e] and not holds[e] and not (tag == "header" and inside[p]))
+        # what holds the article, or the title and most of the text, is never beside it; of a header inside the article its headings stay
+        whole = holds[e] or (tag not in SIDE_TAGS and title[e] and 2 * length[e] > length[0])
+        out[e] = out[p] or (page.side[e] and not whole and not (tag == "header" and inside[p]))
         out[e] |= page.role[e] in constant and not holds[e]
     in_header = [False] * n
     for e in range(1, n):
@@ -202,6 +220,9 @@ def main_text(page: Page, constant: set[int], skeleton: set[int], mass: dict[int
     if tops:
         for e in tops:
             part[e] = True
+        if len(tops) == 1 and page.tag[tops[0]] == "article" and not any(page.tag[e] == "h1" and kept[e] and _within(page, e, tops[0]) for e in range(1, n)):
+            for e in range(1, n):  # the title may stand before the article, in the main element around both
+                part[e] = part[e] or (page.tag[e] == "h1" and e < tops[0] and any(page.tag[m] == "main" and _within(page, e, m) and _within(page, tops[0], m) for m in range(1, e)))
     else:
         times: dict[int, int] = {}
         for r in page.role:

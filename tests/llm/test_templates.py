@@ -81,6 +81,14 @@ def test_named_parts_go(spark):
     assert alone("<form class='page'><div class='has-sidebar'><article>text</article></div></form>") == "text"
 
 
+def test_names_that_mislead():
+    assert alone("<body><div class='content no-sidebar ad-free'><h1>T</h1><p>a text that is longer than the rest</p></div><div class='sidebar'>x</div></body>") == "T a text that is longer than the rest"
+    assert alone("<main><article><h1>T</h1><p>text</p></article><article class='comment'><p>a comment longer than the text</p></article></main>") == "T text"
+    assert alone("<main><h1>T</h1><article><p>text</p></article><aside>x</aside></main>") == "T text"
+    assert alone("<body><div><h1>The Site</h1></div><article><p>text</p></article></body>") == "text"
+    assert alone("<article><p>one</p><button>click<p>two</p></article>") == "one click two" and alone("<article><p>one</p><button>click</button><p>two</p></article>") == "one two"
+
+
 def test_characters_and_white_space():
     assert alone("<p>a&amp;b &#233;&#x1F600; &am &amp c&nbsp;d &lt;p&gt;</p>") == "a&b é😀 &am & c d <p>"
     assert alone("<p>one\n\t two<b>th</b>ree<br>four<p>five<li>six<td>seven</td>") == "one twothree four five six seven"
