@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.markup import main_text, read_page, texts_of
-from lodeframe.llm.session import ready, stored
+from lodeframe.llm.session import discard, ready, stored
 from lodeframe.llm.urls import host_of
 from lodeframe.sources.spread import spread
 
@@ -126,7 +126,10 @@ def deduce(pages: DataFrame) -> DataFrame:
     told = classes.join(constant, ["site", "role"], "left")
     # bounded: a role is on half of the pages of its site at least, so a site has at most twice the roles of a page
     listed = lambda value, when: F.collect_list(F.when(when, F.col(value)))
-    return told.groupBy("site").agg(listed("role", F.col("constant")).alias("constant"), listed("role", F.col("most") == 1).alias("skeleton"), F.collect_list("role").alias("roles"), F.collect_list("mass").alias("mass"))
+    out = told.groupBy("site").agg(listed("role", F.col("constant")).alias("constant"), listed("role", F.col("most") == 1).alias("skeleton"), F.collect_list("role").alias("roles"), F.collect_list("mass").alias("mass"))
+    out = stored(out)
+    discard(tokens, wide)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -134,8 +137,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ready(pages.sparkSession)
     site = F.xxhash64(host_of(F.col("url").cast("string"))).alias("site")
     known = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), site)
-    templates = stored(deduce(known))
-    whole = spread(known).join(_bounded(templates), "site", "left").select("page_id", "url", "html", "constant", "skeleton", "roles", "mass")
+    whole = spread(known).join(_bounded(deduce(known)), "site", "left").select("page_id", "url", "html", "constant", "skeleton", "roles", "mass")
     types = dict(whole.dtypes)
     texts = whole.mapInArrow(_texts, f"page_id {types['page_id']}, url {types['url']}, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))
