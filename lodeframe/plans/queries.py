@@ -103,6 +103,11 @@ def _text_list(spark, sf_dir, k: int = 20, score: str = "bm25") -> DataFrame:
     return bm25.text_search(_items(spark, sf_dir).select("qid", "text"), _chunks(spark, sf_dir).select("id", "text"), k, score)
 
 
+def _told(hits: DataFrame, spark, sf_dir, k: int = 20) -> DataFrame:
+    """hits, broadcast if k per item are few enough, so that no document is shuffled to meet them."""
+    return F.broadcast(hits) if read(spark, sf_dir, "benchmark").count() * 2 * k <= search.BROADCAST_HITS else hits
+
+
 def _knn_sql(of: str, k: int) -> str:
     return f"""
 d_{of} AS (SELECT q.qid, e.vec_id AS id, list_distance(q.v::DOUBLE[], e.embedding::DOUBLE[]) ** 2 AS distance FROM {of} q, embeddings e),
@@ -252,7 +257,7 @@ mmr AS (SELECT c.qid, c.id, c.score, list_position(l.picked, c.rank)::BIGINT AS
 
 @query(f"{LISTS}, {MMR_SQL.format(source='qid, id, score, rank FROM t')} SELECT qid, id, round(score, 6) AS score, rank FROM mmr")
 def mmr_rerank(spark, sf_dir):
-    hits = _text_list(spark, sf_dir).join(_chunks(spark, sf_dir).select("id", "text"), "id")
+    hits = _chunks(spark, sf_dir).select("id", "text").join(_told(_text_list(spark, sf_dir), spark, sf_dir), "id")
     return rounded(ranking.mmr(hits).select("qid", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
@@ -309,8 +314,8 @@ SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid OR
 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY block, rank) <= 10""")
 def thin_fallback(spark, sf_dir):
     """Queries with thin results are eked out with the first three of another list."""
-    own = fusion.rrf(_vector_list(spark, sf_dir), _text_list(spark, sf_dir)).drop("seq").filter("rank <= qid % 6")
-    text = _text_list(spark, sf_dir)
+    text = _text_list(spark, sf_dir).persist()  # 20 rows per query, used twice; a lost part is computed again
+    own = fusion.rrf(_vector_list(spark, sf_dir), text).drop("seq").filter("rank <= qid % 6").persist()
     spare = text.join(F.broadcast(search.thin_queries(own, _items(spark, sf_dir))), "qid", "left_semi").select("qid", "id", "score", "rank")
     return rounded(search.splice(own, spare, 10), "score")
 
@@ -748,7 +753,7 @@ def _judged(spark, sf_dir) -> DataFrame:
 
 def _scored(spark, sf_dir, hits: DataFrame) -> DataFrame:
     paths = _chunks(spark, sf_dir).select("id", F.col("sessionFile").alias("path"))
-    return evaluate.metrics(hits.join(paths, "id").select("qid", "path", "rank"), _judged(spark, sf_dir))
+    return evaluate.metrics(paths.join(_told(hits, spark, sf_dir), "id").select("qid", "path", "rank"), _judged(spark, sf_dir))
 
 
 def _metrics_sql(name: str, source: str) -> str:
@@ -780,8 +785,9 @@ def relevance_summary(spark, sf_dir):
 SELECT qid, round(a.mrr, 6) AS before, round(z.mrr, 6) AS after, round(z.mrr - a.mrr, 6) AS delta FROM a JOIN z USING (qid) WHERE a.mrr <> z.mrr""")
 def relevance_changes(spark, sf_dir):
     """Queries whose MRR differs between text search and the weighted merge."""
-    before = _scored(spark, sf_dir, _text_list(spark, sf_dir))
-    after = _scored(spark, sf_dir, fusion.weighted_merge(_vector_list(spark, sf_dir), _text_list(spark, sf_dir)))
+    text = _text_list(spark, sf_dir).persist()  # 20 rows per query, used twice; a lost part is computed again
+    before = _scored(spark, sf_dir, text)
+    after = _scored(spark, sf_dir, fusion.weighted_merge(_vector_list(spark, sf_dir), text))
     return rounded(evaluate.changes(before, after), "before", "after", "delta")
 
 
