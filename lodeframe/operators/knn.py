@@ -1,9 +1,9 @@
 """Exact k-nearest neighbours of many queries at once.
 
 Queries are broadcast in blocks of bounded size; the corpus streams past once per
-block.  Each Arrow batch of the corpus answers all queries of the block with one
-matrix product and passes on its own k best, so what is shuffled is k rows per
-query and batch.  `sql_distances` is the same distance as a Column, for a filter or
+block.  A partition of the corpus answers all queries of the block by matrix products
+of bounded size and passes on its own k best, so what is shuffled is k rows per
+query and partition.  `sql_distances` is the same distance as a Column, for a filter or
 join where few pairs are compared.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.score import similarity
+from lodeframe.operators.topk import CELLS, Best
 
 #: Queries held by a task at once.
 QUERY_BLOCK = 2_048
@@ -36,32 +37,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _nearest_in_batch(qids: list, queries: np.ndarray, k: int):
     norms = (queries**2).sum(axis=1)
+    tile = max(1, CELLS // len(qids))
 
     def run(batches):
-        for batch in batches:
-            dims = np.diff(batch.column(1).fill_null([]).offsets.to_numpy())
+        best = Best(len(qids), k)
+        for rows in (batch.slice(lo, tile) for batch in batches for lo in range(0, len(batch), tile)):
+            dims = np.diff(rows.column(1).fill_null([]).offsets.to_numpy())
             fit = np.flatnonzero(dims == queries.shape[1])
             if not len(fit):
                 continue
-            x = _matrix(batch.column(1).take(pa.array(fit)))
+            x = _matrix(rows.column(1).take(pa.array(fit)))
             finite = np.isfinite(x).all(axis=1)
             fit, x = fit[finite], x[finite]
             if not len(fit):
                 continue
-            near = norms[:, None] - 2 * (queries @ x.T) + (x**2).sum(axis=1)[None, :]
+            near = queries @ x.T
+            near *= -2
+            near += norms[:, None]
+            near += (x**2).sum(axis=1)[None, :]
+            # the expanded square is off by rounding of its largest term
+            slack = 1e-9 * (1 + norms + (x**2).sum(axis=1).max())
+            edge = best.edge + slack
             if len(fit) > k:
-                # the expanded square is off by rounding of its largest term
-                slack = 1e-9 * (1 + norms[:, None] + (x**2).sum(axis=1).max())
-                edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + 2 * slack
-                q, at = np.nonzero(near <= edge)  # ties of the k-th stay
-            else:
-                q, at = (g.ravel() for g in np.indices(near.shape))
+                edge = np.minimum(edge, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack)
+            q, at = np.nonzero(near <= edge[:, None])  # ties of the k-th stay
             for lo in range(0, len(q), 1 << 15):
                 a, b = q[lo : lo + (1 << 15)], at[lo : lo + (1 << 15)]
                 gap = queries[a] - x[b]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qids[i] for i in a]), batch.column(0).take(pa.array(fit[b])), pa.array(np.einsum("ij,ij->i", gap, gap))], names=["qid", "id", "distance"]
-                )
+                best.add(a, np.einsum("ij,ij->i", gap, gap), fit[b], rows.column(0))
+        kept = best.rows()
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in kept[0]]), kept[2], pa.array(kept[1])], names=["qid", "id", "distance"])
 
     return run
 
