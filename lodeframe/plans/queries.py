@@ -66,8 +66,11 @@ class _Known:
 
 
 def _rows(spark, sf_dir) -> DataFrame:
-    """Documents as rows of a chunk table."""
-    c = _chunks(spark, sf_dir).join(_vectors(spark, sf_dir), "id", "left")
+    """Documents as rows of a chunk table.
+
+    Vectors are one per id to the optimizer, so that whoever wants texts only shuffles no text to meet them.
+    """
+    c = _chunks(spark, sf_dir).join(_vectors(spark, sf_dir).groupBy("id").agg(F.first("vector").alias("vector")), "id", "left")
     extra = [F.lit("p").alias("project"), F.lit(1).alias("lineNumber"), F.lit("user").alias("role"), F.create_map(F.lit("type"), F.lit("user_message")).alias("metadata")]
     return c.select("id", "text", "vector", "sessionFile", "timestamp", "source", *extra)
 

@@ -107,6 +107,8 @@ def session_search(
         hits = rerank_by_score(hits.filter(F.col("source") == source))
     if notes is None or note_embedder is None:
         return hits.filter(F.col("rank") <= limit).withColumn("fallback", F.lit(False))
-    poor = asked.join(thin_queries(hits, queries), "qid", "left_semi")
-    spare = _hybrid(poor, notes, note_index, note_embedder, limit, 0.05, as_of, NOTE_CONFIG, fts_score)
+    # top-k rows per query, used several times below; a lost part is computed again
+    hits = hits.persist()
+    poor = asked.join(thin_queries(hits, queries), "qid", "left_semi").persist()
+    spare = _hybrid(poor, notes, note_index, note_embedder, limit, 0.05, as_of, NOTE_CONFIG, fts_score).persist()
     return splice(hits, spare, limit)
