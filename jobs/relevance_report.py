@@ -32,7 +32,7 @@ from lodeframe.functions.text import tokens
 from lodeframe.operators.bm25 import BROADCAST_TERMS, TextIndex, build_index, text_search
 from lodeframe.operators.evaluate import judged_metrics
 from lodeframe.operators.knn import vector_search
-from lodeframe.plans.search import retrieve
+from lodeframe.plans.search import BROADCAST_HITS, retrieve
 from lodeframe.schema import NOTE_CONFIG, PAYLOAD, SESSION_CONFIG
 
 MODES = ("text", "vector", "weighted", "rrf", "mmr")
@@ -52,19 +52,23 @@ def judge(items: DataFrame, chunks: DataFrame, index: TextIndex) -> DataFrame:
     words = items.select("qid", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL").distinct()
     found = words.join(index.terms.join(small(words.select("term").distinct()), "term", "left_semi"), "term", "left")
     rarest = found.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest")).filter("rarest.df > 0").select("qid", "rarest.term")
-    near = index.postings.select("term", "id").join(small(rarest), "term").select("qid", "id")
+    listed = index.listed(rarest.select("term").distinct(), few)
+    postings = index.of_terms(index.postings, rarest.select("term").distinct(), few, listed)  # of few terms: their buckets and row groups only
+    near = postings.select("term", "id").join(small(rarest), "term").select("qid", "id")
+    if near.count() <= BROADCAST_HITS:  # then no text is shuffled to meet them
+        near = F.broadcast(near)
     wanted = items.select("qid", _padded(F.col("text")).alias("wanted"))
-    held = near.join(small(wanted), "qid").join(chunks.select("id", "text"), "id")
+    held = chunks.select("id", "text").join(near, "id").join(small(wanted), "qid")
     return held.filter(F.contains(_padded(F.col("text")), F.col("wanted"))).select("qid", "id").distinct()
 
 
-def _hits(mode: str, text: DataFrame, vector: DataFrame, payload: DataFrame, config: dict) -> DataFrame:
-    """qid, id, rank of one way of searching, from the shared lists."""
+def _hits(mode: str, text: DataFrame, vector: DataFrame, payload: DataFrame, config: dict, few: bool = False) -> DataFrame:
+    """qid, id, rank of one way of searching, from the shared lists; few: these may be broadcast past the documents."""
     if mode in ("text", "vector"):
         return (text if mode == "text" else vector).select("qid", "id", "rank")
     base = SESSION_CONFIG if mode == "rrf" else NOTE_CONFIG
     chosen = base.but(mmr=mode == "mmr", vector_weight=config["vector_weight"], text_weight=config["text_weight"])
-    return retrieve(vector, text, payload, F.current_timestamp(), chosen).select("qid", "id", "rank")
+    return retrieve(vector, text, payload, F.current_timestamp(), chosen, few=few).select("qid", "id", "rank")
 
 
 def run(spark: SparkSession, documents: str, embeddings: str, benchmark: str, out: str, config: str | None = None) -> None:
@@ -91,8 +95,9 @@ def run(spark: SparkSession, documents: str, embeddings: str, benchmark: str, ou
     vector, text = spark.read.parquet(f"{out}/lists/vector"), spark.read.parquet(f"{out}/lists/text")
     log.info("read %d documents of %s and %d items of %s; wrote %d judgments, %d vector and %d text hits", docs.count(), documents, items.count(), benchmark, judgments.count(), vector.count(), text.count())
 
+    few = vector.count() + text.count() <= BROADCAST_HITS
     for mode in chosen["modes"]:
-        hits = _hits(mode, text, vector, chunks.select("id", *PAYLOAD), chosen)
+        hits = _hits(mode, text, vector, chunks.select("id", *PAYLOAD), chosen, few)
         scored = judged_metrics(hits, judgments, asked.select("qid"), tuple(chosen["depths"])).withColumn("mode", F.lit(mode))
         scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode").parquet(f"{out}/results")
         done = spark.read.parquet(f"{out}/results").filter(F.col("mode") == mode)
