@@ -472,8 +472,8 @@ def session_logs(spark, sf_dir):
     folder, layouts = _folder(spark), {0: ".claude/projects", 1: ".pi/agent/sessions"}
     for rest, layout in layouts.items():
         own = c.filter(F.pmod("conv_id", F.lit(2)) == rest).select("conv_id", "turn", line.alias("line"))
-        own.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("line", F.col("conv_id").alias("of")).write.partitionBy("of").text(f"{folder}/{layout}")
-    lines = sources.numbered_lines(spark, [f"{folder}/{layout}/*/*.txt" for layout in layouts.values()])
+        own.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("line", F.col("conv_id").alias("of")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("of").text(f"{folder}/{layout}")  # version 2: tasks move their files, not the driver all of them
+    lines = sources.numbered_lines(spark, [f"{folder}/{layout}" for layout in layouts.values()], "*.txt")
     chunks = chunk_sessions.session_chunks(chunk_sessions.said_lines(lines))
     return chunks.select(F.regexp_extract("sessionFile", r"/of=(\d+)/", 1).cast("long").alias("conv_id"), F.col("lineNumber").alias("line"), "role", "text", "source")
 

@@ -47,19 +47,22 @@ def _whole(reader_paths: list[str], spark: SparkSession, **options) -> DataFrame
     return frame.select(F.url_decode(path).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
 
 
-def numbered_lines(spark: SparkSession, patterns: list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, patterns: list[str], below: str | None = None) -> DataFrame:
     """sessionFile, lineNumber (from 1), line of every line of the text files that the patterns match.
 
     Lines end with LF or CR LF.  The files are read in splits, so that a long log is many
     tasks' work and never one row: a line's number is its place in its split and the lines of
-    the file's splits before it, which one pass over the files counts.
+    the file's splits before it, which one pass over the files counts.  With below (a glob of
+    names) the patterns are folders, whose files of such names at any depth are read: Spark lists
+    them in tasks, where a pattern with a directory per log is walked on the driver, one by one.
     """
     found = _glob(spark, patterns)
     if not found:
         return spark.createDataFrame([], "sessionFile string, lineNumber long, line string")
     path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
     # ids of a partition's rows are consecutive, and its splits come one after the other
-    rows = spark.read.text(found, lineSep="\n").select(path.alias("sessionFile"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    listing = {"recursiveFileLookup": True, "pathGlobFilter": below} if below else {}
+    rows = spark.read.text(found, lineSep="\n", **listing).select(path.alias("sessionFile"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
     splits = rows.groupBy("sessionFile", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
     before = F.sum("_lines").over(Window.partitionBy("sessionFile").orderBy("_at")) - F.col("_lines")
     starts = splits.withColumn("_before", before).drop("_lines")  # one row per split
