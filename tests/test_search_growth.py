@@ -62,3 +62,8 @@ def compared(spark, grown, name):
 def test_relevance_changes_shuffles_the_best_only_and_once(spark, grown):
     few, many = compared(spark, grown, "relevance_changes")
     assert many < 1.5 * few and many < 14_000  # with a second text list 3,000 more
+
+
+def test_diversity_shuffles_words_of_the_best_only(spark, grown):
+    few, many = compared(spark, grown, "mmr_rerank")
+    assert many < 1.5 * few and many < 60_000
