@@ -67,3 +67,8 @@ def test_relevance_changes_shuffles_the_best_only_and_once(spark, grown):
 def test_diversity_shuffles_words_of_the_best_only(spark, grown):
     few, many = compared(spark, grown, "mmr_rerank")
     assert many < 1.5 * few and many < 60_000
+
+
+def test_a_summary_shuffles_the_best_only(spark, grown):
+    few, many = compared(spark, grown, "relevance_summary")
+    assert many < 1.5 * few and many < 10_000
