@@ -72,3 +72,8 @@ def test_diversity_shuffles_words_of_the_best_only(spark, grown):
 def test_a_summary_shuffles_the_best_only(spark, grown):
     few, many = compared(spark, grown, "relevance_summary")
     assert many < 1.5 * few and many < 10_000
+
+
+def test_rank_fusion_shuffles_the_best_only(spark, grown):
+    few, many = compared(spark, grown, "fuse_rrf")
+    assert many < 1.5 * few and many < 18_000
