@@ -77,3 +77,8 @@ def test_a_summary_shuffles_the_best_only(spark, grown):
 def test_rank_fusion_shuffles_the_best_only(spark, grown):
     few, many = compared(spark, grown, "fuse_rrf")
     assert many < 1.5 * few and many < 18_000
+
+
+def test_metrics_shuffle_the_best_only(spark, grown):
+    few, many = compared(spark, grown, "relevance_metrics")
+    assert many < 1.5 * few and many < 10_000
