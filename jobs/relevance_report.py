@@ -5,15 +5,17 @@
 Reads documents (doc_id, text, source), embeddings (vec_id, embedding; a document's or
 a benchmark item's vector) and benchmark (item_id, text) and writes
 
-    OUT/index                   full-text index of the documents
+    OUT/index                   full-text index of the documents: each one's words in order, and all terms with
+                                the number of documents that hold them
     OUT/judgments               item_id, doc_id: documents that hold the item's words in order
     OUT/results/mode=..         per item: relevant, recall at each depth, mrr, hit
     OUT/summary/mode=..         means over the items that some document holds
 
-Judgments need no comparison of all pairs: a document that holds an item holds its
-rarest word, so only that word's postings are looked at.  Modes are text (BM25),
-vector (exact nearest neighbours), weighted and rrf (fusions of both lists), and mmr
-(weighted, then diversity); every mode shares the same two lists.
+The index is kept by document: nearly all documents hold some word of the items, so that a
+search reads it whole, and no posting has to be shuffled.  Judgments need no comparison of all
+pairs: a document that holds an item holds its rarest word, so only those are compared.  Modes are text (BM25), vector (exact nearest
+neighbours), weighted and rrf (fusions of both lists), and mmr (weighted, then diversity);
+every mode shares the same two lists.
 
 Safe to rerun: each run writes the modes it was asked for anew, and those of earlier
 runs stay.  An item that no document holds counts in results with recall and mrr 0,
@@ -28,8 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command_line, log, settings
-from lodeframe.functions.text import tokens
-from lodeframe.operators.bm25 import BROADCAST_TERMS, TextIndex, build_index, text_search
+from lodeframe.operators.bm25 import WordIndex, phrase_search, text_search
 from lodeframe.operators.evaluate import judged_metrics
 from lodeframe.operators.knn import vector_search
 from lodeframe.plans.search import BROADCAST_HITS, retrieve
@@ -40,28 +41,6 @@ DEFAULTS = {"modes": list(MODES), "each": 20, "vector_weight": 0.7, "text_weight
 VECTOR_LEAST = 0.05
 
 
-def _padded(text) -> F.Column:
-    """The words of a text, a blank before and after each."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-
-
-def judge(items: DataFrame, chunks: DataFrame, index: TextIndex) -> DataFrame:
-    """(qid, id): chunks (id, text) that hold the words of items (qid, text) in order, by the items' rarest words."""
-    few = items.count() <= BROADCAST_TERMS // 64
-    small = lambda frame: F.broadcast(frame) if few else frame
-    words = items.select("qid", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL").distinct()
-    found = words.join(index.terms.join(small(words.select("term").distinct()), "term", "left_semi"), "term", "left")
-    rarest = found.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest")).filter("rarest.df > 0").select("qid", "rarest.term")
-    listed = index.listed(rarest.select("term").distinct(), few)
-    postings = index.of_terms(index.postings, rarest.select("term").distinct(), few, listed)  # of few terms: their buckets and row groups only
-    near = postings.select("term", "id").join(small(rarest), "term").select("qid", "id")
-    if near.count() <= BROADCAST_HITS:  # then no text is shuffled to meet them
-        near = F.broadcast(near)
-    wanted = items.select("qid", _padded(F.col("text")).alias("wanted"))
-    held = chunks.select("id", "text").join(near, "id").join(small(wanted), "qid")
-    return held.filter(F.contains(_padded(F.col("text")), F.col("wanted"))).select("qid", "id").distinct()
-
-
 def _hits(mode: str, text: DataFrame, vector: DataFrame, payload: DataFrame, config: dict, few: bool = False) -> DataFrame:
     """qid, id, rank of one way of searching, from the shared lists; few: these may be broadcast past the documents."""
     if mode in ("text", "vector"):
@@ -81,9 +60,9 @@ def run(spark: SparkSession, documents: str, embeddings: str, benchmark: str, ou
     own = {"id": F.col("doc_id"), "sessionFile": F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), "doc_id"), "project": F.col("source"), "lineNumber": F.lit(1), "timestamp": F.lit(""), "role": F.lit("content")}
     chunks = docs.select("text", *[c.alias(name) for name, c in own.items()], F.coalesce("source", F.lit("")).alias("source"), F.create_map(F.lit("type"), F.lit("document")).alias("metadata"))
 
-    build_index(chunks.select("id", "text")).write(f"{out}/index")
-    index = TextIndex.read(spark, f"{out}/index")
-    judge(asked, chunks, index).write.mode("overwrite").parquet(f"{out}/judgments")
+    WordIndex.write(chunks.select("id", "text"), f"{out}/index")
+    index = WordIndex.read(spark, f"{out}/index")
+    phrase_search(asked, index).write.mode("overwrite").parquet(f"{out}/judgments")
     judgments = spark.read.parquet(f"{out}/judgments")
 
     # both lists are written once, a mode reads them again

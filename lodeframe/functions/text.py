@@ -11,8 +11,8 @@ SPACE = r"[\s\p{Z}\uFEFF]"
 #: Session path layouts and the home prefixes of their directory names.
 CLAUDE_MARK, CLAUDE_SESSIONS, PI_SESSIONS = "/.claude/", "/.claude/projects/", "/.pi/agent/sessions/"
 REPOS_NAME, HOME_NAME, HOME_ITSELF = r"^home-[^-]+-repos-(?:gh|work|3rd)-(.+)$", r"^home-[^-]+-(.+)$", r"^home-[^-]+$"
-#: Token and Hangul runs.
-TOKEN = r"[\p{L}\p{N}_]+"
+#: Token runs, what stands between them, and Hangul runs.
+TOKEN, NO_TOKEN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 HANGUL = r"[\uAC00-\uD7AF]+"
 
 
@@ -54,6 +54,11 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def token_text(text: Column) -> Column:
+    """The tokens in order with one blank between, as one string: less work than an array of them."""
+    return F.trim(F.regexp_replace(F.lower(text), NO_TOKEN, " "))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two sets; both empty is 1, one empty is 0."""
     both = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
